@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from traceqc.llm import quality_rules
+from traceqc.llm import mixing, quality_rules
 
 QUERIES = {
+    "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
+    "op7_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
