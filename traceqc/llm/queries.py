@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from traceqc.llm import mixing, quality_rules
+from traceqc.llm import mixing, quality_rules, url_filters
 
 QUERIES = {
+    "op4_url_filters": url_filters.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
 }
