@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from traceqc.llm import mixing, quality_rules, url_filters
+from traceqc.llm import mixing, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op4_url_filters": url_filters.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
+    "op1_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
