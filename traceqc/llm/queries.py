@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from traceqc.llm import licenses, mixing, quality_rules, url_filters, warc
+from traceqc.llm import licenses, line_dedup, mixing, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op5_licenses": licenses.query,
     "op1_warc": warc.query,
     "op4_url_filters": url_filters.query,
