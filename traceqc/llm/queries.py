@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from traceqc.llm import decontamination, licenses, line_dedup, mixing, quality_rules, url_filters, warc
+from traceqc.llm import decontamination, licenses, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op10_quality_classifier": quality_classifier.query,
     "op6_decontamination": decontamination.query,
     "op2_line_dedup": line_dedup.query,
     "op5_licenses": licenses.query,
