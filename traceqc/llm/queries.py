@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from traceqc.llm import decontamination, licenses, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from traceqc.llm import decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.query,
     "op10_quality_classifier": quality_classifier.query,
     "op6_decontamination": decontamination.query,
     "op2_line_dedup": line_dedup.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op1_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
