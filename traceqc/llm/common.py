@@ -43,3 +43,14 @@ def with_result(df: DataFrame, result: DataFrame, key: str) -> DataFrame:
     """All columns of ``df`` but those that ``result`` brings, then those of ``result``."""
     mine = [c for c in df.columns if c == key or c not in result.columns]
     return df.select(*mine).join(result, key)
+
+
+def narrowed(df: DataFrame, keys: DataFrame, key: str, bits: int = 20) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``: none that is there is lost, few others stay.
+
+    What is broadcast is a set of at most ``2 ** bits`` hash buckets, whatever the number of keys; where these fill up,
+    all rows stay and the join that follows does the whole work.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_bucket")
+    held = keys.select(bucket).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(held), "_bucket", "left_semi").drop("_bucket")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from traceqc.llm import decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from traceqc.llm import decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 
 QUERIES = {
+    "op8_suffix_dedup": suffix_dedup.query,
     "op3_jaccard_join": jaccard_join.query,
     "op10_quality_classifier": quality_classifier.query,
     "op6_decontamination": decontamination.query,
