@@ -1,27 +1,67 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again before the next."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceqc.llm import quality_rules
+from traceqc.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules
+from traceqc.llm.common import cut, shared_dir, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules or their host's verdict reject go."""
-    kept = quality_rules.judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rejected = cut(quality_rules.judged(docs).where("not kept").select("doc_id", "text_hash").distinct())
+    return without(docs.withColumn("text_hash", F.xxhash64("text")), rejected, "doc_id", ("text_hash",)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds in an aligned block go; documents that lose all their text go with them."""
+    out = line_dedup.deduplicated(docs)
+    changed = F.col("n_removed") > 0
+    out = out.where(~changed | (F.trim("text") != ""))
+    return out.select(*(F.when(changed, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 5-word shingles (similarity 0.8 or more), that of the smallest id stays."""
+    joined = jaccard_join.joined(docs, jaccard_join.Join(width=5, percent=80))
+    gone = cut(joined.where("doc_id <> component_id").select("doc_id").distinct())
+    return without(docs, gone, "doc_id")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, cut(found.select("doc_id").distinct()), "doc_id")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture at its target weights, one row for each epoch that reads a document."""
+    return mixing.mixture(docs)
 
 
-STAGES = [("quality_rules", quality)]
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmark),
+    ("mixing", mix),
+]
 
+#: Line alignment and windowed SimHashes have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``."""
+    """Applies all stages to ``documents``; what lies between two stages is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

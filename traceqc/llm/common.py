@@ -45,12 +45,17 @@ def with_result(df: DataFrame, result: DataFrame, key: str) -> DataFrame:
     return df.select(*mine).join(result, key)
 
 
-def narrowed(df: DataFrame, keys: DataFrame, key: str, bits: int = 20) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``: none that is there is lost, few others stay.
+def narrowed(df: DataFrame, keys: DataFrame, key: str, bits: int = 20, anti: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``: none that is there is lost, few others stay; ``anti``: all other rows.
 
     What is broadcast is a set of at most ``2 ** bits`` hash buckets, whatever the number of keys; where these fill up,
     all rows stay and the join that follows does the whole work.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_bucket")
     held = keys.select(bucket).distinct()
-    return df.withColumn("_bucket", bucket).join(F.broadcast(held), "_bucket", "left_semi").drop("_bucket")
+    return df.withColumn("_bucket", bucket).join(F.broadcast(held), "_bucket", "left_anti" if anti else "left_semi").drop("_bucket")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (and further columns ``also``) are not in ``gone``; only rows that may be are shuffled."""
+    return narrowed(df, gone, key, anti=True).unionByName(narrowed(df, gone, key).join(gone, [key, *also], "left_anti").select(*df.columns))

@@ -10,7 +10,7 @@ The prefix is found without bringing a leaf together: an epoch's order is by has
 bucket_digits`` hash ranges, sums of ranges tell where the budget ends, and only within ranges rows are ordered.
 
 Defined results: null texts have no tokens; null languages or sources are the node ``(none)``; nodes without a given
-weight have weight 1, those of weight 0 get nothing; repeated rows count each; an empty table gives an empty result.
+weight have weight 1, those of weight 0 get nothing; repeated rows count each, and rows of one id are selected together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,30 +93,65 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(out, LEVELS).withColumn("whole", whole).withColumn("rest", (goal - F.col("whole") * tokens).cast("long")).select(*LEVELS, "whole", "rest")
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
-    """The selected documents: id, leaf, tokens and ``copies``, the number of epochs that read it."""
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            domain_of(F.col("source")).alias("domain"),
-            F.coalesce("lang", F.lit("(none)")).alias("language"),
-            F.coalesce("source", F.lit("(none)")).alias("leaf_source"),
-            F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"),
-        )
-    )
+def with_leaf(docs: DataFrame) -> DataFrame:
+    """Adds the three levels of a document's leaf."""
+    return docs.withColumns({"domain": domain_of(F.col("source")), "language": F.coalesce("lang", F.lit("(none)")), "leaf_source": F.coalesce("source", F.lit("(none)"))})
+
+
+def epoch_key(mix: Mix, id_col: str) -> Column:
+    """Where a document stands in the leaf's last epoch."""
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.col(id_col).cast("string")))
+
+
+def with_plan(df: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
+    """``df`` joined with the leaves' plan, which is broadcast up to ``broadcast_rows`` leaves."""
+    small = plan.limit(mix.broadcast_rows + 1).count() <= mix.broadcast_rows
+    return df.join(F.broadcast(plan) if small else plan, LEVELS)
+
+
+def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
+    """One row for each leaf: whole epochs, and the last key of the prefix of the next one (null: none)."""
     leaves = cut(leaf_budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), mix))
-    small = leaves.limit(mix.broadcast_rows + 1).count() <= mix.broadcast_rows
-    planned = rows.join(F.broadcast(leaves) if small else leaves, LEVELS)
-    key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
-    planned = planned.withColumn("key", key).withColumn("range", F.substring("key", 1, mix.bucket_digits))
+    planned = with_plan(rows, leaves, mix).where("rest > 0").withColumn("key", epoch_key(mix, "doc_id")).withColumn("range", F.substring("key", 1, mix.bucket_digits))
     cell = [*LEVELS, "range"]
     sums = planned.groupBy(*cell).agg(F.sum("n_tokens").alias("in_range"))
     order = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*cell, F.coalesce(F.sum("in_range").over(order), F.lit(0)).alias("start"))
-    inner = Window.partitionBy(*cell).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*cell).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
-    out = planned.join(starts, cell).withColumn("copies", F.col("whole") + (before < F.col("rest")).cast("long"))
-    return out.where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    last = planned.join(starts, cell).where(F.col("start") < F.col("rest")).withColumn("before", before).where("before < rest").groupBy(*LEVELS).agg(F.max("key").alias("last"))
+    return cut(leaves.join(last, LEVELS, "left").select(*LEVELS, "whole", "last"))
+
+
+def select(rows: DataFrame, plan: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
+    """The selected rows with ``copies``, the number of epochs that read them; rows of one id go together."""
+    copies = F.col("whole") + F.coalesce(epoch_key(mix, id_col) <= F.col("last"), F.lit(False)).cast("long")
+    return with_plan(rows, plan, mix).withColumn("copies", copies).where("copies > 0").drop("whole", "last")
+
+
+def token_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A slim row for each document: id, leaf and tokens."""
+    tokens = F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long")
+    return cut(with_leaf(docs).select(F.col(id_col).alias("doc_id"), *LEVELS, tokens.alias("n_tokens")))
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
+    """The selected documents: id, leaf, tokens and copies."""
+    rows = token_rows(docs, id_col)
+    return select(rows, leaf_plan(rows, mix), mix).select("doc_id", *LEVELS, "n_tokens", "copies")
+
+
+def mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
+    """The selected documents themselves, one row for each epoch that reads them, with the number of the ``epoch``.
+
+    The leaves' plan is applied where documents are read; texts aren't shuffled.
+    """
+    columns = [c for c in docs.columns if c != "epoch"]
+    plan = leaf_plan(token_rows(docs, id_col), mix)
+    # a column of a level's name is kept aside
+    kept = {c: f"_{c}" for c in columns if c in (*LEVELS, "whole", "last", "copies")}
+    chosen = select(with_leaf(docs.select(*columns).withColumnsRenamed(kept)), plan, mix, id_col)
+    return chosen.select(*(F.col(kept.get(c, c)).alias(c) for c in columns), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

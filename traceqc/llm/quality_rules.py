@@ -63,6 +63,7 @@ def measures(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", do
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANK_CHARS, "") != "")
     counted = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
         F.col(domain_col).alias("domain"),
         words_of(F.col("text")).alias("words"),
         F.length(F.translate(text, BLANK_CHARS, "")).cast("long").alias("word_chars"),
@@ -70,6 +71,7 @@ def measures(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", do
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     ).select(
         "doc_id",
+        "text_hash",
         "domain",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
