@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceqc.plans import report_queries
+from traceqc.plans import linkage_queries, report_queries
 
-QUERIES = {**report_queries.QUERIES}
-ORACLE = {**report_queries.ORACLE}
+QUERIES = {**report_queries.QUERIES, **linkage_queries.QUERIES}
+ORACLE = {**report_queries.ORACLE, **linkage_queries.ORACLE}
