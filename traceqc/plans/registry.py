@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from traceqc.plans import linkage_queries, report_queries
+from traceqc.plans import linkage_queries, report_queries, signal_queries
 
-QUERIES = {**report_queries.QUERIES, **linkage_queries.QUERIES}
-ORACLE = {**report_queries.ORACLE, **linkage_queries.ORACLE}
+_ALL = (report_queries, linkage_queries, signal_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _ALL for k, v in m.ORACLE.items()}
