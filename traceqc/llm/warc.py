@@ -9,6 +9,8 @@ candidate record; where its header ends and how long its content is gives the of
 their offsets by prefix sums (within a split, then over the splits of a file). Pointer jumping from offset 0 of each
 file doubles the verified part of each chain in every round, so only records reachable from the start of their file
 are kept; the magic inside a payload starts no record, and such pieces are put back into the record that holds them.
+What the caller derives of a record's content is computed where the record is read, so contents are shuffled only for
+records that the magic cuts.
 
 Defined results: a null or empty payload gives a response record without payload; a record whose header can't be read
 ends its file's chain, and nothing after it is trusted (the writer escapes the magic in URLs, so that headers never hold
@@ -23,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traceqc.llm.common import cut, shared_dir, table
+from traceqc.llm.common import cut, narrowed, shared_dir, table
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
@@ -39,8 +41,11 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, i
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = F.octet_length("payload") >= min_revisit_bytes
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(long & (F.col("first") != F.col("page_id")), F.col("first"))).drop("first")
+    first = cut(rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # payloads that can't be repeated need no join, so they aren't shuffled
+    alone = narrowed(rows, first, "digest", anti=True).withColumn("refers_to", F.lit(None).cast("long"))
+    some = narrowed(rows, first, "digest").join(first, "digest", "left").withColumn("refers_to", F.when(long & (F.col("first") != F.col("page_id")), F.col("first")).cast("long")).drop("first")
+    return alone.unionByName(some)
 
 
 def record(row_id: Column) -> Column:
@@ -72,20 +77,34 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The archives cut at every magic: file, split, order, offset of the magic, size, header and content.
+    """The archives cut at every magic: file, split, order and bytes up to the next magic.
 
-    The first piece of a file stands before its first magic and has offset -7.
+    The first piece of a file stands before its first magic. Splits depend on the number of cores unless that of
+    partitions is set, so both readings of an archive set it.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
-    return cut(raw.withColumn("size", F.octet_length("body").cast("long") + len(MAGIC)))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
 
 
-def with_offsets(raw: DataFrame) -> DataFrame:
-    """Adds ``off``: where the magic before a piece stands in its file."""
+class FixedSplits:
+    """Within it, files are cut into the same splits whatever executors there are."""
+
+    KEY = "spark.sql.files.minPartitionNum"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before = spark, spark.conf.get(self.KEY, None)
+
+    def __enter__(self):
+        self.spark.conf.set(self.KEY, self.before or "8")
+
+    def __exit__(self, *_):
+        self.spark.conf.unset(self.KEY) if self.before is None else self.spark.conf.set(self.KEY, self.before)
+
+
+def with_offsets(slim: DataFrame) -> DataFrame:
+    """Adds ``off``: where the magic before a piece stands in its file; -7 for the first piece of a file."""
     within = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    slim = raw.select("file", "split", "seq", "size", *(c for c in raw.columns if c not in ("file", "split", "seq", "size", "body")))
     starts = slim.groupBy("file", "split").agg(F.sum("size").alias("total"))
     starts = starts.select("file", "split", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("start"))
     local = slim.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -121,60 +140,73 @@ def reachable(candidates: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise ValueError(f"a chain of more than 2**{max_rounds} records")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The verified records below ``path``: file, offset, header and content block (bytes)."""
-    raw = pieces(spark, path)
-    header = header_of(F.col("body"))
-    length = named(F.col("header"), "Content-Length").try_cast("long")
-    start = len(MAGIC) + F.octet_length("header") + 2  # of the content, from the magic
-    parsed = raw.withColumn("header", header).withColumn("content", length).withColumn("skip", start.cast("long"))
-    at = cut(with_offsets(parsed.drop("header"))).where("off >= 0")
-    candidates = at.where("content is not null").withColumn("next", F.col("off") + F.col("skip") + F.col("content") + len(END))
-    good = reachable(candidates).withColumn("start", F.lit(True))
-    # the record that holds a piece: the last verified one before it, in its split or at the end of an earlier one
-    marked = at.join(good, ["file", "off"], "left").withColumn("owner", F.when(F.col("start"), F.col("off")))
-    within = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    over = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    tails = marked.groupBy("file", "split").agg(F.max("owner").alias("tail"))
-    tails = tails.select("file", "split", F.max("tail").over(over).alias("earlier"))
-    owned = marked.withColumn("owner", F.max("owner").over(within)).join(tails, ["file", "split"]).withColumn("owner", F.coalesce("owner", "earlier")).where("owner is not null")
-    placed = raw.join(owned.select("file", "split", "seq", "off", "owner", "start"), ["file", "split", "seq"])
-    whole = placed.where("start").select("file", "off", "body")
-    parts = placed.where("start is null").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "body"))).alias("parts"))
-    more = F.aggregate(F.col("parts"), F.lit(b""), lambda a, x: F.concat(a, F.lit(MAGIC.encode()), x["body"]))
-    joined = whole.join(parts.select("file", F.col("owner").alias("off"), more.alias("more")), ["file", "off"], "left")
-    body = F.concat("body", F.coalesce("more", F.lit(b"")))
-    out = joined.select("file", "off", body.alias("body")).withColumn("header", header_of(F.col("body")))
-    content = F.substring(F.col("body"), (F.octet_length("header") + 3).cast("int"), named(F.col("header"), "Content-Length").cast("int"))
-    return out.select("file", "off", "header", content.alias("block"))
-
-
-def responses(records: DataFrame) -> DataFrame:
-    """Pages of verified records: id, type, payload as stored, size and digest of the full payload, what it refers to.
+def block_of(body: Column, header: Column, content: Column) -> Column:
+    """The content block of a piece or an assembled record."""
+    return F.substring(body, (F.octet_length(header) + 3).cast("int"), content.cast("int"))
+
+
+def read(spark: SparkSession, path: str, derive=lambda block: block) -> DataFrame:
+    """The verified records below ``path``: file, offset, header and what ``derive`` makes of the content block."""
+    with FixedSplits(spark):
+        raw = pieces(spark, path).withColumn("header", header_of(F.col("body"))).withColumn("content", named(F.col("header"), "Content-Length").try_cast("long"))
+        raw = raw.withColumn("size", F.octet_length("body").cast("long") + len(MAGIC)).withColumn("skip", (F.octet_length("header") + 2 + len(MAGIC)).cast("long"))
+        whole = F.col("skip") + F.col("content") <= F.col("size")
+        derived = F.when(whole, derive(block_of(F.col("body"), F.col("header"), F.col("content")))).alias("derived")
+        slim = cut(raw.select("file", "split", "seq", "size", "header", "content", "skip", whole.alias("whole"), derived))
+        at = cut(with_offsets(slim.select("file", "split", "seq", "size", "content", "skip", "whole"))).where("off >= 0")
+        candidates = at.where("content >= 0").withColumn("next", F.col("off") + F.col("skip") + F.col("content") + len(END))
+        good = cut(reachable(candidates).join(at, ["file", "off"]).where("content >= 0").select("file", "off", "split", "seq", "whole"))
+        out = slim.join(good.where("whole").select("file", "split", "seq", "off"), ["file", "split", "seq"]).select("file", "off", "header", "derived")
+        if good.where("not whole").limit(1).count() == 0:
+            return out
+        # the pieces of a record that the magic cuts: those after it and before the next verified one
+        marked = at.join(good.select("file", "off", F.col("off").alias("owner")), ["file", "off"], "left")
+        within = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        over = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        tails = marked.groupBy("file", "split").agg(F.max("owner").alias("tail"))
+        tails = tails.select("file", "split", F.max("tail").over(over).alias("earlier"))
+        owned = marked.withColumn("owner", F.max("owner").over(within)).join(tails, ["file", "split"]).withColumn("owner", F.coalesce("owner", "earlier"))
+        broken = good.where("not whole").select("file", F.col("off").alias("owner"))
+        needed = cut(owned.join(broken, ["file", "owner"]).select("file", "split", "seq", "off", "owner"))
+        parts = narrowed(pieces(spark, path), needed, "seq").join(needed, ["file", "split", "seq"])
+        parts = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "body"))).alias("parts"))
+        first = F.get("parts", F.lit(0))["body"]
+        more = F.aggregate(F.slice("parts", 2, F.size("parts")), first, lambda a, x: F.concat(a, F.lit(MAGIC.encode()), x["body"]))
+        joined = cut(parts.select("file", F.col("owner").alias("off"), more.alias("body")))
+    joined = joined.withColumn("header", header_of(F.col("body"))).withColumn("content", named(F.col("header"), "Content-Length").try_cast("long"))
+    block = block_of(F.col("body"), F.col("header"), F.col("content"))
+    return out.unionByName(joined.where(F.octet_length(block) == F.col("content")).select("file", "off", "header", derive(block).alias("derived")))
+
+
+def http_of(block: Column) -> Column:
+    """Of an HTTP response: its header, and the size and digest of its payload."""
+    header = header_of(block)
+    payload = F.substring(block, (F.octet_length(header) + 3).cast("int"), F.octet_length(block))
+    return F.struct(header.alias("http"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
+
+
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of the verified records: id, size and digest of the full payload, type, and what a revisit refers to.
 
     A revisit stores no payload: its digest is that of its header, its size that of the HTTP header it repeats.
     """
     page = lambda name: F.regexp_extract(named(F.col("header"), name), rf"{ID}(-?\d+)", 1).try_cast("long")
-    kind = F.lower(named(F.col("header"), "WARC-Type"))
-    http = header_of(F.col("block"))
-    out = records.withColumn("kind", kind).where("kind in ('response', 'revisit')").withColumn("http", http)
-    payload = F.when(F.col("kind") == "response", F.substring(F.col("block"), (F.octet_length("http") + 3).cast("int"), F.octet_length("block")))
-    out = out.withColumn("payload", payload)
+    out = read(spark, path, http_of).withColumn("kind", F.lower(named(F.col("header"), "WARC-Type"))).where("kind in ('response', 'revisit')")
     claimed = F.regexp_extract(named(F.col("header"), "WARC-Payload-Digest"), "(?i)^sha256:(.*)$", 1)
+    stored = F.col("kind") == "response"
     return out.select(
         page("WARC-Record-ID").alias("page_id"),
-        F.when(F.col("kind") == "response", F.octet_length("payload")).otherwise(named(F.col("http"), "Content-Length").try_cast("long")).cast("long").alias("payload_bytes"),
-        F.when(F.col("kind") == "response", F.sha2("payload", 256)).otherwise(claimed).alias("payload_digest"),
+        F.when(stored, F.col("derived.size")).otherwise(named(F.col("derived.http"), "Content-Length").try_cast("long")).alias("payload_bytes"),
+        F.when(stored, F.col("derived.digest")).otherwise(claimed).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"),
-        "payload",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
-    return responses(read(spark, path)).drop("payload")
+    return responses(spark, path)
 
 
 ORACLE = """
