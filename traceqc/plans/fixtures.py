@@ -79,25 +79,25 @@ from (select *, cast(row_number() over (partition by l_orderkey order by l_linen
 PAGES = f"""
 select rec, page_no, wave_idx, stage, sensitivity, speed, time_in_record, channels, part, supp, ord,
   case when channels like '%A1%' then 'A1/A2参考' when channels like '%REF%' then 'REF' else '双极' end montage,
-  sensitivity = '' sens_missing, cast(800 + part%3 as int) n_points, cast(100.0 + part%3/8.0 as double) fs_len, cast(99.0 + supp%2/3.0 as double) fs_paper,
-  cast(0.85 + supp%4/1000.0 as double) x_step_pt, cast(0.12 + part%5/100.0 as double) y_min_step_pt,
-  cast(case when sensitivity = '50uV/3.5mm' then 5.04 else 3.53 end as double) uV_per_pt, cast((0.12 + part%5/100.0)*3.5 as double) y_res_uV,
-  cast(20.0 + supp%7/50.0 as double) row_spacing_pt, cast(part%7 as int) marker_transitions, part%7 = 3 marker_regular,
+  sensitivity = '' sens_missing, cast(800 + part%3 as int) n_points, cast(100.0 + part%3/cast(8.0 as double) as double) fs_len, cast(99.0 + supp%2/cast(3.0 as double) as double) fs_paper,
+  cast(0.85 + supp%4/cast(1000.0 as double) as double) x_step_pt, cast(0.12 + part%5/cast(100.0 as double) as double) y_min_step_pt,
+  cast(case when sensitivity = '50uV/cast(3.5 as double)mm' then 5.04 else 3.53 end as double) uV_per_pt, cast((0.12 + part%5/cast(100.0 as double))*3.5 as double) y_res_uV,
+  cast(20.0 + supp%7/cast(50.0 as double) as double) row_spacing_pt, cast(part%7 as int) marker_transitions, part%7 = 3 marker_regular,
   case when part%7=3 then '48 98 148' when part%7=0 then '' else concat('48 ', cast(50 + part%40 as string)) end marker_positions
 from ({WAVES}) w"""
 
 #: Channel QC rows: four channels a page.
 CHANNELS = f"""
 select rec, page_no, ch, std_uV, ptp_pt, ptp_pt*3.5 ptp_uV, flat_frac, clip_frac, ptp_pt > 95 overrange, off_center_pt, zcr_hz, hf_40_49, p_hf_ratio, p_lo_ratio, cast(n_levels as int) n_levels,
-  rel_alpha, abs_alpha, abs_delta, alpha_seg_cv, start_rms_ratio, start_slope_ratio, h1_alpha, h1_alpha*0.8 + h2x h2_alpha, h2x h1_beta, h2x*h2x h2_beta, rel_alpha*0.5 h1_delta, std_uV/30.0 h2_delta, zcr_hz/60.0 h1_theta, zcr_hz/60.0 + h2x/9.0 h2_theta
+  rel_alpha, abs_alpha, abs_delta, alpha_seg_cv, start_rms_ratio, start_slope_ratio, h1_alpha, h1_alpha*0.8 + h2x h2_alpha, h2x h1_beta, h2x*h2x h2_beta, rel_alpha*0.5 h1_delta, std_uV/cast(30.0 as double) h2_delta, zcr_hz/cast(60.0 as double) h1_theta, zcr_hz/cast(60.0 as double) + h2x/cast(9.0 as double) h2_theta
 from (select rec, page_no, case i when 0 then 'O1-A1' when 1 then 'O2-A2' when 2 then 'FP1-A1' else 'FP2-A2' end ch,
-  cast(case when (part*7+i)%211=0 then 900.0 when (part+i)%97=0 then 0.5 else 10.0 + (part*(i+3)+supp)%200/10.0 end as double) std_uV,
-  cast((part*(i+1)+supp*3)%1000/10.0 as double) ptp_pt, cast((supp*(i+5)+part)%113/200.0 as double) flat_frac, cast(case when (part*5+i)%53=0 then 0.02 else 0.0 end as double) clip_frac,
-  cast((part+i*17)%41/10.0 - 2 as double) off_center_pt, cast(5.0 + (part*3+i*11+supp)%307/20.0 as double) zcr_hz, cast(0.0001 + (part*11+i)%503/9000.0 as double) hf_40_49,
-  cast(case when (part*13+i)%307=0 then null else 0.01 + (part*17+i*3+supp)%401/1000.0 end as double) p_hf_ratio, cast(0.05 + (supp*19+i*7+part)%197/400.0 as double) p_lo_ratio,
-  40 + (part+supp*i)%60 n_levels, cast((part*23+i*5)%331/400.0 as double) rel_alpha, cast((part*29+supp*i)%977/9.0 as double) abs_alpha, cast((supp*31+part+i)%611/7.0 as double) abs_delta,
-  cast((part*37+i)%89/100.0 as double) alpha_seg_cv, cast((part*41+supp*i)%257/100.0 as double) start_rms_ratio, cast((supp*43+part*i)%401/110.0 as double) start_slope_ratio,
-  cast((part*47+supp+i)%347/500.0 as double) h1_alpha, cast((supp*53+part*i)%149/900.0 as double) h2x
+  cast(case when (part*7+i)%211=0 then 900.0 when (part+i)%97=0 then 0.5 else 10.0 + (part*(i+3)+supp)%200/cast(10.0 as double) end as double) std_uV,
+  cast((part*(i+1)+supp*3)%1000/cast(10.0 as double) as double) ptp_pt, cast((supp*(i+5)+part)%113/cast(200.0 as double) as double) flat_frac, cast(case when (part*5+i)%53=0 then 0.02 else 0.0 end as double) clip_frac,
+  cast((part+i*17)%41/cast(10.0 as double) - 2 as double) off_center_pt, cast(5.0 + (part*3+i*11+supp)%307/cast(20.0 as double) as double) zcr_hz, cast(0.0001 + (part*11+i)%503/cast(9000.0 as double) as double) hf_40_49,
+  cast(case when (part*13+i)%307=0 then null else 0.01 + (part*17+i*3+supp)%401/cast(1000.0 as double) end as double) p_hf_ratio, cast(0.05 + (supp*19+i*7+part)%197/cast(400.0 as double) as double) p_lo_ratio,
+  40 + (part+supp*i)%60 n_levels, cast((part*23+i*5)%331/cast(400.0 as double) as double) rel_alpha, cast((part*29+supp*i)%977/cast(9.0 as double) as double) abs_alpha, cast((supp*31+part+i)%611/cast(7.0 as double) as double) abs_delta,
+  cast((part*37+i)%89/cast(100.0 as double) as double) alpha_seg_cv, cast((part*41+supp*i)%257/cast(100.0 as double) as double) start_rms_ratio, cast((supp*43+part*i)%401/cast(110.0 as double) as double) start_slope_ratio,
+  cast((part*47+supp+i)%347/cast(500.0 as double) as double) h1_alpha, cast((supp*53+part*i)%149/cast(900.0 as double) as double) h2x
   from ({WAVES}) w cross join (select 0 i union all select 1 union all select 2 union all select 3) n) m"""
 
 #: Texts found on pages besides the known ones.
