@@ -1 +1 @@
-
+"""Column functions and statistics."""

@@ -1 +1 @@
-
+"""Jobs of the library: DataFrame in, DataFrame out."""

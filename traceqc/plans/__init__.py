@@ -1 +1 @@
-
+"""Fixtures, queries and their SQL."""

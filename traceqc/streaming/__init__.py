@@ -1 +1 @@
-
+"""Nothing in the surveyed work is a stream; batch jobs only."""
