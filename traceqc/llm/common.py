@@ -51,11 +51,17 @@ def narrowed(df: DataFrame, keys: DataFrame, key: str, bits: int = 20, anti: boo
     What is broadcast is a set of at most ``2 ** bits`` hash buckets, whatever the number of keys; where these fill up,
     all rows stay and the join that follows does the whole work.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_held_bucket")
     held = keys.select(bucket).distinct()
-    return df.withColumn("_bucket", bucket).join(F.broadcast(held), "_bucket", "left_anti" if anti else "left_semi").drop("_bucket")
+    return df.withColumn("_held_bucket", bucket).join(F.broadcast(held), "_held_bucket", "left_anti" if anti else "left_semi").drop("_held_bucket")
 
 
 def without(df: DataFrame, gone: DataFrame, key: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``df`` whose ``key`` (and further columns ``also``) are not in ``gone``; only rows that may be are shuffled."""
-    return narrowed(df, gone, key, anti=True).unionByName(narrowed(df, gone, key).join(gone, [key, *also], "left_anti").select(*df.columns))
+    """Rows of ``df`` whose ``key`` (and further columns ``also``) are not in ``gone``; only rows that may be are shuffled.
+
+    A null key is in ``gone`` if a null key is there.
+    """
+    keys = (key, *also)
+    right = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    return narrowed(df, gone, key, anti=True).unionByName(narrowed(df, gone, key).join(right, on, "left_anti"))

@@ -18,7 +18,7 @@ Runs of suffixes that cover the same bytes (copies of a passage, periodic text)
 anything is shuffled. Hashes have 64 bits.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than ``length`` keep all; repeated rows
-are copies of each other; an empty table gives an empty result; texts of any length are read whole; further columns are
+are copies of each other; rows may lack an id; an empty table gives an empty result; texts of any length are read whole; further columns are
 ignored.
 """
 
@@ -40,6 +40,9 @@ from traceqc.llm.common import cut, narrowed, table
 #: A perfect difference set modulo 31: every other residue is the difference of exactly one pair.
 COVER, RESIDUES = 31, [1, 5, 11, 24, 25, 27]
 
+#: Stands for a missing id between steps, where ids always go with the digest of their text.
+NO_ID = -(1 << 63)
+
 U = np.uint64
 
 
@@ -267,8 +270,9 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, dedup: Dedup = Dedup(), id_col: str = "doc_id") -> DataFrame:
     """One row for each document: bytes, removed bytes, removed runs and the digest of what remains."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = cut(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+    own = docs.select(F.col(id_col).cast("long").alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = own.withColumn("doc_id", F.coalesce("own", F.lit(NO_ID)))
+    base = cut(texts.select("own", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     classes = base.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     long = texts.where(F.octet_length("text") >= dedup.length)
     signed = long.withColumn("sha", F.sha2("text", 256))
@@ -295,7 +299,7 @@ def removed(docs: DataFrame, dedup: Dedup = Dedup(), id_col: str = "doc_id") ->
         F.when(full, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(full, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    return base.join(result, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return base.join(result, "sha").select(F.col("own").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

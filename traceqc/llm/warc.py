@@ -14,7 +14,8 @@ records that the magic cuts.
 
 Defined results: a null or empty payload gives a response record without payload; a record whose header can't be read
 ends its file's chain, and nothing after it is trusted (the writer escapes the magic in URLs, so that headers never hold
-it); archives without records give an empty result; repeated page
+it); archives without records give an empty result; a page without an id is a
+response and comes back without one; repeated page
 ids are written as they are, and a revisit refers to the smallest id; further columns are ignored.
 """
 
@@ -58,7 +59,7 @@ def record(row_id: Column) -> Column:
     head = F.concat(
         F.lit(f"{MAGIC}1\r\n"),
         line("WARC-Type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")),
-        line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), row_id.cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), F.coalesce(row_id.cast("string"), F.lit("none")), F.lit(">"))),
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
