@@ -14,6 +14,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Every round a node takes the smallest label among its own, its neighbours' and its label's label. Labels are
     checked by a count of changes, so nothing but that count reaches the driver; lineage is cut in each round.
     """
+    edges = cut(edges)
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(max_rounds):

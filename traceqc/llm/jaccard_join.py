@@ -3,19 +3,22 @@
 A document is its set of hashed shingles; 1 - Jaccard similarity is a metric. Documents of equal sets are one class.
 
 Pivots and regions: most documents are at distance 1 from any pivot, so a pivot only draws those it can matter for. With
-shingles in hash order, two sets that link share ``ell`` of their first ``2 * m + 1`` shingles, ``m`` being how many
-shingles a set may lack in the other and ``ell`` the smaller ``m`` plus 1. Classes that share too few of these with
+shingles in hash order, two sets that link share ``ell`` of their first ``m + ell`` shingles, ``m`` being how many
+shingles a set may lack in the other and ``ell`` a share of the smaller ``m`` plus 1. Classes that share too few of these with
 any others can't link and drop out. For each such shingle the smallest class that holds it is the pivot, and every
-holder joins its region; any two classes that link therefore meet in a region.
+holder joins its region; any two classes that link therefore meet in a region. Of a class's shared shingles only the
+rarest make regions, as many as are needed for that.
 
 Regions join recursively: a region of more than ``cell`` members picks pivots among them, each member goes to its
 nearest pivot, and, by the triangle inequality, also to every pivot at most ``2 * eps`` farther (``eps`` is the link
 distance), so no link crosses cells; the cells do the same. Small cells, and cells that no longer shrink, are joined by
-exact intersection counts in blocks. A region of more than ``block`` members is dealt out over pairs of blocks, so no
-task holds more than two blocks. Tasks return a spanning forest of each region's links, not all pairs.
+exact intersection counts in blocks. A region of more than ``block`` members is dealt out in parts, each with the pivot.
+Members that are linked to the pivot within their part need no test among each other; only the others (the outer ones)
+are then sent to all parts of their region and tested there. Tasks return spanning forests of links, not all pairs.
 
 Defined results: a null or blank text has the empty set and links with nothing; a text of fewer words than a shingle has
-its word sequence as its one shingle; repeated ids give one row for each row; an empty table gives an empty result;
+its word sequence as its one shingle; repeated ids give one row for each row; a row without an id
+joins its class's component or, where the whole class has none, has none; an empty table gives an empty result;
 texts of any length are read whole; further columns are ignored.
 """
 
@@ -27,11 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceqc.llm import grams
-from traceqc.llm.common import cut, table
+from traceqc.llm.common import cut, narrowed, table
 from traceqc.llm.components import components
 
 
@@ -41,9 +44,10 @@ class Join:
 
     width: int = 3
     percent: int = 90
-    block: int = 1024
+    block: int = 2048
     cell: int = 128
     pivots: int = 8
+    share: float = 0.5  # of the shingles a set may lack, that linked sets must share in hash order besides
 
 
 def sets_of(w: grams.Words, width: int) -> list[np.ndarray]:
@@ -78,25 +82,62 @@ def signatures(docs: DataFrame, join: Join, id_col: str) -> DataFrame:
             for part, data, offsets in grams.sliced(batch):
                 sets = sets_of(grams.words(data, offsets, inside), join.width)
                 sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                head = [s[: 2 * slack(len(s), join.percent) + 1].view(np.int64) for s in sets]
+                head = [s[: m + int(m * join.share) + 1].view(np.int64) for s in sets for m in [slack(len(s), join.percent)]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(head, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "head"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, head array<long>")
 
 
 def regions(classes: DataFrame, join: Join) -> DataFrame:
-    """(pivot, member) for the classes (rep, n, head) that may link, the pivots being members of their own regions."""
+    """(pivot, member, members) for the classes (rep, n, head) that may link.
+
+    Two classes that link share at least ``needed`` shingles of their heads. Those with fewer shared ones drop out; of
+    the others' shared shingles, all but the ``needed - 1`` most frequent ones still hold one that both have, so only
+    these rarest ones make regions.
+    """
     least = F.lit(join.percent)
     other = F.floor((F.col("n") * least + 99) / 100).cast("long")  # size of the smallest set it may link with
-    needed = other - F.floor((other * least + 99) / 100).cast("long") + 1
-    postings = classes.select("rep", needed.alias("needed"), F.explode("head").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    held = postings.join(shared, "token")
-    enough = held.groupBy("rep").agg(F.count("*").alias("got"), F.first("needed").alias("needed")).where("got >= needed").select("rep")
-    held = cut(held.select("rep", "token").join(enough, "rep"))
-    pivots = held.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("token", "pivot")
-    member = held.join(pivots, "token").where("rep <> pivot").select("pivot", F.col("rep").alias("member")).distinct()
-    return cut(member.union(member.select("pivot", F.col("pivot").alias("member")).distinct()))
+    needed = F.floor((other - F.floor((other * least + 99) / 100)).cast("long") * join.share).cast("long") + 1
+    needs = classes.select("rep", needed.alias("needed"))
+    # counted in a window, so that postings are exchanged once; a frequent shingle's rows spill, they aren't gathered
+    postings = classes.select("rep", F.explode("head").alias("token"))
+    held = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"))
+    for _ in range(2):  # without the classes that can't link, more shingles have one holder
+        enough = held.groupBy("rep").agg(F.count("*").alias("got")).join(needs, "rep").where("got >= needed").select("rep")
+        left = held.drop("df").join(enough, "rep")
+        shared = left.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        held = cut(left.join(shared, "token"))
+    own = Window.partitionBy("rep")
+    rare = held.withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("got", F.count("*").over(own)).join(needs, "rep")
+    rare = cut(rare.where("got >= needed and place <= got - needed + 1").select("rep", "token"))
+    pivots = rare.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1").select("token", "pivot")
+    member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member"))
+    member = member.union(pivots.select("pivot", F.col("pivot").alias("member"))).distinct()
+    several = member.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
+    member = cut(member.join(several, "pivot"))
+    own = held.groupBy("rep").agg(F.collect_list("token").alias("set")).join(needs, "rep").withColumnRenamed("rep", "member")
+    large = F.col("members") > join.block
+    tight = member.where(~large).join(own, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, members long")
+    return cut(tight.unionByName(member.where(large).select("pivot", "member", "members")))
+
+
+def promising(join: Join):
+    """Keeps the members of a region that share enough head shingles with another one; only their sets are read."""
+
+    def region(rows: pa.Table) -> pa.Table:
+        sets = rows.column("set").combine_chunks()
+        bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        needed = rows.column("needed").to_numpy()
+        cells = Cells([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], join)
+        every, keep = np.arange(len(needed)), np.zeros(len(needed), bool)
+        for i in range(0, len(every), 512):
+            part = every[i : i + 512]
+            enough = cells.common(part, every) >= np.minimum(needed[part][:, None], needed[None, :])
+            enough[np.arange(len(part)), part] = False
+            keep[part] = enough.any(axis=1)
+        return rows.select(["pivot", "member", "members"]).filter(pa.array(keep))
+
+    return region
 
 
 class Cells:
@@ -172,8 +213,14 @@ class Cells:
             if len(cell) > 1:
                 self.run(cell)
 
+    def against(self, some: np.ndarray, members: np.ndarray) -> None:
+        step = 1024
+        for i in range(0, len(some), step):
+            for j in range(0, len(members), step):
+                self.link(some[i : i + step], members[j : j + step])
+
     def blocks(self, members: np.ndarray) -> None:
-        step = self.join.block
+        step = 1024
         for i in range(0, len(members), step):
             for j in range(i, len(members), step):
                 self.link(members[i : i + step], members[j : j + step])
@@ -189,34 +236,63 @@ def links(docs: DataFrame, member: DataFrame, join: Join, id_col: str) -> DataFr
                 sets = sets_of(grams.words(data, offsets, inside), join.width)
                 yield pa.RecordBatch.from_arrays([part.column("member"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["member", "set"])
 
-    def region(rows: pa.Table) -> pa.Table:
+    def loaded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Cells]:
+        """Members in order of id with their outer flags, and their sets."""
         ids = rows.column("member").to_numpy()
         order = np.argsort(ids, kind="stable")
         order = order[np.unique(ids[order], return_index=True)[1]]
-        ids = ids[order]
         sets = rows.column("set").combine_chunks()
         bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
-        cells = Cells([flat[bounds[k] : bounds[k + 1]] for k in order.tolist()], join)
-        cells.run(np.arange(len(ids)))
+        outer = rows.column("outer").to_numpy()[order]
+        return ids[order], outer, Cells([flat[bounds[k] : bounds[k + 1]] for k in order.tolist()], join)
+
+    def forest(ids: np.ndarray, cells: Cells, home: int | None) -> pa.Table:
+        """Edges from members to their roots; with ``home``, members outside its component are marked as outer."""
         roots = np.array([cells.root(k) for k in range(len(ids))])
         far = roots != np.arange(len(ids))
-        return pa.table({"a": pa.array(ids[far], pa.int64()), "b": pa.array(ids[roots[far]], pa.int64())})
+        outer = far & False if home is None else roots != roots[home]
+        a, b = np.concatenate([ids[far], ids[outer]]), np.concatenate([ids[roots[far]], ids[outer]])
+        return pa.table({"pivot": pa.array(np.full(len(a), -1 if home is None else ids[home])), "a": pa.array(a), "b": pa.array(b)})
+
+    def part(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, _, cells = loaded(rows)
+        cells.run(np.arange(len(ids)))
+        split = key[1].as_py() >= 0
+        return forest(ids, cells, int(np.searchsorted(ids, key[0].as_py())) if split else None)
+
+    def across(rows: pa.Table) -> pa.Table:
+        ids, outer, cells = loaded(rows)
+        cells.against(np.flatnonzero(outer), np.arange(len(ids)))
+        return forest(ids, cells, None)
 
-    needed = member.select("member").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("member"), "text").join(needed, "member")
+    needed = cut(member.select("member").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("member"), "text")
+    texts = narrowed(texts, needed, "member").join(needed, "member")
     sets = texts.mapInArrow(read, "member long, set array<long>")
-    parts = member.groupBy("pivot").agg(F.ceil(F.count("*") / join.block).cast("int").alias("parts"))
-    dealt = member.join(parts, "pivot").withColumn("own", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    dealt = dealt.select("pivot", "member", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("member", "pivot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    return sets.join(dealt, "member").groupBy("pivot", "i", "j").applyInArrow(region, "a long, b long")
+    parts = F.ceil(F.col("members") / join.block).cast("int")
+    dealt = member.withColumn("parts", parts).withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("member"), parts)).otherwise(-1).cast("int"))
+    # the pivot goes to all parts
+    pivots = dealt.where("parts > 1 and pivot = member").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = dealt.where("parts = 1 or pivot <> member").unionByName(pivots)
+    found = sets.join(first.select("pivot", "member", "part", F.lit(False).alias("outer")), "member").groupBy("pivot", "part").applyInArrow(part, "pivot long, a long, b long")
+    found = cut(found)
+    outer = found.where("a = b").select("pivot", F.col("a").alias("member")).distinct()
+    large = dealt.where("parts > 1 and pivot <> member")
+    if outer.limit(1).count() == 0:
+        return found.select("a", "b").where("a <> b")
+    moved = large.join(outer, ["pivot", "member"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    stay = large.join(outer, ["pivot", "member"], "left_anti")
+    again = stay.withColumn("outer", F.lit(False)).unionByName(moved.withColumn("outer", F.lit(True)))
+    rest = sets.join(again.select("pivot", "member", "part", "outer"), "member").groupBy("pivot", "part").applyInArrow(across, "pivot long, a long, b long")
+    return found.where("a <> b").unionByName(cut(rest)).select("a", "b")
 
 
 def joined(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id") -> DataFrame:
     """One row for each document: id, size of its set, and the smallest id that it reaches by links."""
     base = cut(signatures(docs, join, id_col))
     reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = base.join(reps, "sig").where("doc_id = rep").select("rep", "n", "head").dropDuplicates(["rep"])
+    first = base.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
+    classes = first.select("rep", "n", "head")
     edges = links(docs, regions(classes, join), join, id_col)
     linked = components(edges).select(F.col("node").alias("rep"), "component")
     rows = base.select("doc_id", "n", "sig").join(reps, "sig", "left").join(linked, "rep", "left")
