@@ -1,95 +1,63 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication by the runs of lines that documents share.
 
 Documents of equal texts are one class; only the smallest id of a class takes part, its copies lose all lines. Lines
-(trimmed) are hashed. A rare line is one of at least ``anchor_chars`` characters that few classes hold; for each rare
-line every class is paired with the first class that holds it, so a line of n classes makes n - 1 pairs, not n * n.
-Each pair is aligned by patience diff over the line hashes, and aligned common blocks (runs of lines that follow each
-other in both documents) of at least ``block_chars`` characters are deleted from the later document, the one with the
-larger id. A line that stands in more than ``rare_share`` of all classes is no evidence of an overlap and makes no
-pairs; it goes where an alignment that other lines found covers it.
+(trimmed) are hashed. A line is deleted where it lies in a block (lines that follow each other) of at least
+``block_chars`` characters that a document with a smaller id holds as a block too. That covers what an alignment with
+any earlier document finds, since aligned blocks follow each other in both; which of the earlier documents would be
+aligned with, how many hold the block and how short its lines are make no difference.
+
+A block is the union of its shortest runs: for each first line the shortest run that reaches ``block_chars``, and for
+each last line likewise. So only these runs (two a line at most) are compared, by the hash of their lines, each with
+the smallest id that holds it; a run of n classes makes n rows, and no lines of two documents are brought together.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line and is never a copy of
 another; rows that repeat an id and text are treated alike and never delete each other; a row without an id
 loses and deletes nothing; an empty table gives an empty
-result; texts of any length are aligned whole; further columns are kept, but for ``n_lines`` and ``n_removed``.
+result; texts of any length are compared whole; further columns are kept, but for ``n_lines`` and ``n_removed``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceqc.llm import grams
 from traceqc.llm.common import cut, table
 
 
 @dataclass(frozen=True)
 class Limits:
-    anchor_chars: int = 25
     block_chars: int = 50
-    rare_share: float = 0.1
 
 
-def match(a: list, b: list) -> list[tuple[int, int]]:
-    """Patience diff: pairs of equal places, increasing in both.
+def shortest(sizes: np.ndarray, offsets: np.ndarray, block_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, end) of the shortest runs of at least ``block_chars`` from each first and to each last line.
 
-    Equal ends of a range match; between them, lines unique on both sides match along a longest increasing run, and
-    the gaps between these are matched in the same way.
+    ``sizes`` are those of all lines; document ``d`` has the lines ``offsets[d]:offsets[d + 1]``.
     """
-    found, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        i, m, j, n = todo.pop()
-        while i < m and j < n and a[i] == b[j]:
-            found.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            found.append((m, n))
-        if i == m or j == n:
-            continue
-        in_b: dict = {}
-        for k in range(j, n):
-            in_b[b[k]] = -1 if b[k] in in_b else k
-        in_a: dict = {}
-        for k in range(i, m):
-            if in_b.get(a[k], -1) >= 0:
-                in_a[a[k]] = -1 if a[k] in in_a else k
-        pairs = [(k, in_b[x]) for x, k in in_a.items() if k >= 0]
-        tops, last, back = [], [], []
-        for at, (_, y) in enumerate(pairs):
-            pile = bisect_left(tops, y)
-            back.append(last[pile - 1] if pile else -1)
-            tops[pile : pile + 1], last[pile : pile + 1] = [y], [at]
-        run, at = [], last[-1] if last else -1
-        while at >= 0:
-            run.append(pairs[at])
-            at = back[at]
-        if not run:
-            continue
-        edge = (i, j)
-        for x, y in [*reversed(run), (m, n)]:
-            todo.append((edge[0], x, edge[1], y))
-            edge = (x, y)  # the anchor itself opens the next range and matches as its equal start
-    return sorted(found)
-
-
-def deleted(later: list, sizes: list, earlier: list, block_chars: int) -> list[int]:
-    """Places of the lines of ``later`` in aligned common blocks of enough characters."""
-    out: list[int] = []
-    block: list[int] = []
-    previous = (-2, -2)
-    for x, y in [*match(later, earlier), (-9, -9)]:
-        if (x, y) != (previous[0] + 1, previous[1] + 1):
-            if sum(sizes[k] for k in block) >= block_chars:
-                out += block
-            block = []
-        block.append(x)
-        previous = (x, y)
-    return out
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(len(sizes))
+    end = np.searchsorted(total, total[at] + block_chars, "left")
+    fore = end <= offsets[doc + 1]
+    first = np.searchsorted(total, total[at + 1] - block_chars, "right") - 1
+    back = first >= offsets[doc]
+    # a run found both ways counts once
+    back &= ~((first >= 0) & (end[first] == at + 1))
+    return np.concatenate([doc[fore], doc[back]]), np.concatenate([at[fore], first[back]]), np.concatenate([end[fore], at[back] + 1])
+
+
+def hashed(lines: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs ``first:end`` of ``lines``."""
+    up, down = grams.powers(len(lines) + 1)
+    total = np.zeros(len(lines) + 1, np.uint64)
+    np.cumsum(grams.mix(lines) * up[: len(lines)], out=total[1:])
+    return grams.mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -104,36 +72,44 @@ def line_classes(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     return base.select("doc_id", "_key"), base.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
 
 
-def pairs_of(classes: DataFrame, limits: Limits) -> DataFrame:
-    """(later, earlier): classes that share a rare line, each with the first class that holds it."""
-    long = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= limits.anchor_chars)
-    anchors = classes.select("rep", F.explode(F.array_distinct(F.transform(long, lambda x: x["hashes"]))).alias("line"))
-    total = classes.count()
-    held = anchors.groupBy("line").agg(F.count("*").alias("n"), F.min("rep").alias("earlier"))
-    rare = held.where((F.col("n") >= 2) & (F.col("n") <= 2 + limits.rare_share * total)).drop("n")
-    return anchors.join(rare, "line").where("earlier < rep").select(F.col("rep").alias("later"), "earlier").distinct()
+def runs_of(classes: DataFrame, block_chars: int) -> DataFrame:
+    """(run, rep, class, first, end): the shortest runs of all classes."""
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = batch.column(2), batch.column(3)
+            offsets = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            doc, first, end = shortest(sizes.flatten().to_numpy(), offsets, block_chars)
+            run = hashed(hashes.flatten().to_numpy().view(np.uint64), first, end).view(np.int64)
+            places = [pa.array((x - offsets[doc]).astype(np.int32)) for x in (first, end)]
+            taken = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(run), batch.column(0).take(taken), batch.column(1).take(taken), *places], ["run", "rep", "class", "first", "end"])
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    return classes.select("rep", "class", "hashes", "sizes").mapInArrow(cut_out, f"run long, rep {kind}, class long, first int, end int")
+
+
+def union_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, gone): the places that the runs of a class cover, from lists of their bounds."""
+    for batch in batches:
+        gone = []
+        for first, end in zip(batch.column(1), batch.column(2)):
+            first, end = first.values.to_numpy(), end.values.to_numpy()
+            n = int(end.max()) + 1
+            gone.append(np.flatnonzero(np.cumsum(np.bincount(first, minlength=n) - np.bincount(end, minlength=n)) > 0).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["class", "gone"])
 
 
 def removals(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
     """(id, key, gone) of the documents that lose lines; ``gone`` holds the places, null: all lines."""
     every, classes = line_classes(docs, id_col)
-    classes = cut(classes)
-    pairs = pairs_of(classes, limits)
-    later = classes.select(F.col("rep").alias("later"), F.col("_key").alias("later_key"), F.col("hashes").alias("a"), F.col("sizes").alias("a_sizes"))
-    earlier = classes.select(F.col("rep").alias("earlier"), F.col("hashes").alias("b"))
-    ready = pairs.join(later, "later").join(earlier, "earlier").select("later_key", "a", "a_sizes", "b")
-    block_chars = limits.block_chars
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0)
-            gone = [deleted(*(batch.column(c)[k].as_py() for c in (1, 2, 3)), block_chars) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([key, pa.array(gone, pa.list_(pa.int32()))], ["_key", "gone"])
-
-    found = ready.mapInArrow(align, "_key string, gone array<int>").where(F.size("gone") > 0)
-    found = found.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    runs = runs_of(classes, limits.block_chars)
+    held = runs.groupBy("run").agg(F.min("rep").alias("earlier"), F.max("rep").alias("last")).where("earlier < last").drop("last")
+    later = runs.join(held, "run").where("earlier < rep")
+    found = later.groupBy("class").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end")).mapInArrow(union_of, "class long, gone array<int>")
     whole = F.aggregate("sizes", F.lit(0), lambda a, x: a + x) >= limits.block_chars
-    decided = classes.select("_key", "rep", whole.alias("whole")).join(found, "_key", "left").where("gone is not null or whole")
+    decided = classes.select("_key", "rep", "class", whole.alias("whole")).join(found, "class", "left").drop("class").where("gone is not null or whole")
     copies = every.join(decided, "_key")
     first = copies.where("doc_id = rep and gone is not null").select("doc_id", "_key", "gone")
     other = copies.where("doc_id <> rep and whole").select("doc_id", "_key", F.lit(None).cast("array<int>").alias("gone"))
