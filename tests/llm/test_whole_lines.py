@@ -36,3 +36,20 @@ def test_a_line_that_every_document_holds_goes_from_all_but_the_first(spark):
     hot = "a line of more than fifty characters that stands in every document"
     rows = [(i, f"own {i}\n{hot}\nend {i}") for i in range(40)]
     assert places(spark, rows) == {i: [1] for i in range(1, 40)}
+
+
+def test_a_block_goes_though_its_lines_stand_alone_in_earlier_documents(spark):
+    one, two = "a line of thirty characters xx", "another of thirty characters y"
+    rows = [(1, f"{one}\nfirst"), (2, f"second\n{two}"), (3, f"b\n{one}\n{two}\nbb"), (4, f"c\n{one}\n{two}\ncc")]
+    assert places(spark, rows) == {4: [1, 2]}
+
+
+def test_a_block_goes_though_the_first_holder_has_it_in_another_order(spark):
+    one, two = [[f"{name} passage, line {k} of it" for k in range(3)] for name in ("some", "other")]
+    rows = [(1, "\n".join(two + ["x"] + one)), (2, "\n".join(one + ["y"] + two))]
+    assert places(spark, rows) == {2: [0, 1, 2, 4, 5, 6]}
+
+
+def test_given_documents_lose_all_that_earlier_ones_hold(spark):
+    rows = duckdb.sql("select min(doc_id), text from '/root/testdata/sf0.001/documents.parquet' where doc_id is not null group by text").fetchall()
+    assert {i: g for i, g in places(spark, rows).items()} == held_by_earlier(rows)
