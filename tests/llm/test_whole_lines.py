@@ -53,3 +53,9 @@ def test_a_block_goes_though_the_first_holder_has_it_in_another_order(spark):
 def test_given_documents_lose_all_that_earlier_ones_hold(spark):
     rows = duckdb.sql("select min(doc_id), text from '/root/testdata/sf0.001/documents.parquet' where doc_id is not null group by text").fetchall()
     assert {i: g for i, g in places(spark, rows).items()} == held_by_earlier(rows)
+
+
+def test_blocks_of_short_lines_go(spark):
+    verse = "\n".join(f"verse {k} of a song" for k in range(30))
+    rows = [(1, f"one\n{verse}\nend"), (2, f"two\n\n{verse}\n\nlast"), (3, "verse 4 of a song\nverse 5 of a song\nelse")]
+    assert places(spark, rows) == {2: list(range(2, 32))}
