@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 Words are runs of non-blank characters, A-Z lower-cased; shingles are runs of five words, weighted by their inverse
-frequency over the benchmark items. A window has as many words as the item it is compared with. Its 64-bit SimHash is
-looked up in an index of the items' fingerprints: eight blocks of eight bits, each searched within Hamming distance 1,
+frequency over the benchmark items. A window has as many words as the item it is compared with; a document of fewer
+words than the item is one window as a whole. A window's 64-bit SimHash is looked up in an index of the items' fingerprints: eight blocks of eight bits, each searched within Hamming distance 1,
 so no fingerprint within distance 15 is missed (a fingerprint that differs by 2 bits or more in each of 8 blocks
 differs by 16 at least). Candidates are verified by the exact weighted Jaccard similarity of the shingle multisets.
 A window that shares no shingle with an item of its size has similarity 0, so only windows that hold one are
-fingerprinted; this loses nothing.
+fingerprinted; this loses nothing. Nor does leaving out a shorter document whose shingles of such items weigh less than
+``similarity`` of the lightest of them.
 
 The items travel to the tasks in groups of at most ``max_items`` rows, one pass over the documents for each group.
 Documents are read once, whole, in vectorised slices; nothing is shuffled but the verified pairs.
@@ -76,7 +77,8 @@ class Items:
                 order = np.argsort(values.ravel(), kind="stable")
                 index.append((np.searchsorted(values.ravel()[order], np.arange(257)), order // values.shape[1]))
             own = np.unique(np.concatenate([self.rows[k][1] for k in members]))
-            self.sizes[size] = {"members": members, "prints": prints, "index": index, "shingles": own}
+            least = min(int(self.weight(self.rows[k][1]).sum()) for k in members)
+            self.sizes[size] = {"members": members, "prints": prints, "index": index, "shingles": own, "least": least}
 
     def scaled(self, n: int) -> int:
         """The weight of a shingle of n items, as an integer."""
@@ -122,11 +124,30 @@ class Items:
         hits = hits[np.isin(s[hits], self.known)]
         if not len(hits):
             return best
+        whole: dict = {}  # SimHashes of whole documents
+
+        def verify(prints: np.ndarray, size: int, starts: np.ndarray, n: int) -> None:
+            own = self.sizes[size]
+            for w, m in zip(*self.candidates(prints, size)):
+                k = own["members"][m]
+                value = self.similarity(s[starts[w] : starts[w] + n], self.rows[k][1])
+                doc = int(np.searchsorted(first, starts[w], "right")) - 1
+                if value >= self.search.similarity and (value, -starts[w]) > best.get((doc, k), (0.0, 0)):
+                    best[doc, k] = (value, -starts[w])
+
         for size, own in self.sizes.items():
             h = hits[np.isin(s[hits], own["shingles"])]
             if not len(h):
                 continue
-            begin, stop = first[np.searchsorted(first, h, "right") - 1], first[np.searchsorted(first, h, "right")]
+            doc = np.searchsorted(first, h, "right") - 1
+            begin, stop = first[doc], first[doc + 1]
+            short = stop - begin < size
+            held = np.bincount(doc[short], self.weight(s[h[short]]))
+            for d in np.flatnonzero((held > 0) & (held + 1e-6 >= self.search.similarity * own["least"])):
+                text = s[first[d] : first[d + 1]]
+                if d not in whole:
+                    whole[d] = self.prints(text, np.zeros(1, np.int64), len(text))
+                verify(whole[d], size, first[d : d + 1], len(text))
             lo, hi = np.maximum(h - size + 1, begin), np.minimum(h, stop - size)
             n = np.maximum(hi - lo + 1, 0)
             starts = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -138,12 +159,7 @@ class Items:
                 group = near_by[: far[0] + 1] if len(far) else near_by
                 at += len(group)
                 part = s[group[0] : group[-1] + size]
-                for w, m in zip(*self.candidates(self.prints(part, group - group[0], size), size)):
-                    k = own["members"][m]
-                    value = self.similarity(s[group[w] : group[w] + size], self.rows[k][1])
-                    doc = int(np.searchsorted(first, group[w], "right")) - 1
-                    if value >= self.search.similarity and (value, -group[w]) > best.get((doc, k), (0.0, 0)):
-                        best[doc, k] = (value, -group[w])
+                verify(self.prints(part, group - group[0], size), size, group, size)
         return best
 
 
@@ -173,7 +189,7 @@ def scanner(index: Items):
                 s, first = grams.shingles(grams.words(data, offsets, inside), WIDTH)
                 found = index.matches(s, first)
                 ids = part.column("doc_id").to_pylist() if found else []
-                rows = [(ids[d], index.rows[k][0], -start - int(first[d]), len(index.rows[k][1]) + WIDTH - 1, value) for (d, k), (value, start) in found.items()]
+                rows = [(ids[d], index.rows[k][0], -start - int(first[d]), min(len(index.rows[k][1]), int(first[d + 1] - first[d])) + WIDTH - 1, value) for (d, k), (value, start) in found.items()]
                 columns = list(zip(*rows)) or [[]] * 5
                 types = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([x if t is types[4] else (None if x is None else int(x)) for x in c], t) for c, t in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")])
