@@ -43,3 +43,17 @@ def test_a_document_shorter_than_the_item_is_found(spark):
     assert got == contaminated(docs, items)
     assert {d for d, i in got if i == 1} >= {1, 2, 3}
     assert [n_words[d, 1] for d in (1, 2, 3)] == [59, 56, 52]
+
+
+def test_groups_of_items_change_no_similarity(spark):
+    head, tail = [[f"{name}{k}" for k in range(20)] for name in ("head", "tail")]
+    items = [(i, " ".join(head + [f"item{i}x{k}" for k in range(25)] + tail)) for i in range(12)] + [(12, " ".join(tail + head))]
+    # words of the item that differ in shared or in own shingles, so that weights decide
+    docs = []
+    for i in range(12):
+        w = items[i][1].split()
+        docs += [(10 * i, " ".join(w[:-i] if i else w)), (10 * i + 1, " ".join([*w[:22], "z", *w[23:]])), (10 * i + 2, " ".join([*tail[:i], *w[i:]])), (10 * i + 3, " ".join(w[i // 2 :]))]
+    one = found(spark, docs, items)[0]
+    assert one == contaminated(docs, items)
+    assert found(spark, docs, items, max_items=1)[0] == one
+    assert found(spark, docs, items, max_items=4)[0] == one

@@ -9,7 +9,9 @@ A window that shares no shingle with an item of its size has similarity 0, so on
 fingerprinted; this loses nothing. Nor does leaving out a shorter document whose shingles of such items weigh less than
 ``similarity`` of the lightest of them.
 
-The items travel to the tasks in groups of at most ``max_items`` rows, one pass over the documents for each group.
+The items travel to the tasks in groups of about ``max_items`` rows, one pass over the documents for each group.
+Frequencies are counted over all items in Spark, and each group weighs by them, so groups change no result. Shingles of
+one item weigh the same as unknown ones; only those of two or more are held as a table, 16 bytes each.
 Documents are read once, whole, in vectorised slices; nothing is shuffled but the verified pairs.
 
 Defined results: null and empty texts match nothing; items of fewer than five words have no shingles and match nothing;
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +55,55 @@ def near(block: np.ndarray) -> np.ndarray:
     return np.concatenate([block[:, None], block[:, None] ^ (1 << np.arange(8))], axis=1)
 
 
+@dataclass(frozen=True)
+class Weights:
+    """Integer weights of the shingles that several items hold, in order, and that of all others."""
+
+    shared: np.ndarray
+    scaled: np.ndarray
+    other: int
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return np.full(len(s), self.other)
+        at = np.minimum(np.searchsorted(self.shared, s), len(self.shared) - 1)
+        return np.where(self.shared[at] == s, self.scaled[at], self.other)
+
+
+def weighed(total: int, shingles: np.ndarray, items: np.ndarray) -> Weights:
+    """Weights by the number of items, of ``total``, that hold a shingle; one that is not given counts as held by one."""
+    order = np.argsort(shingles[items > 1], kind="stable")
+    kinds, where = np.unique(items[items > 1][order], return_inverse=True)
+    scaled = [round(16 * (1 + math.log(max(1, total) / int(n)))) for n in kinds]
+    return Weights(shingles[items > 1][order], np.array(scaled, np.int64)[where], round(16 * (1 + math.log(max(1, total)))))
+
+
+def weights_of(items: DataFrame) -> Weights:
+    """The weights over all items."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                s = np.unique(shingles_of(text.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.arange(len(s)) == 0)], ["shingle", "head"])
+
+    every = items.select("text").mapInArrow(distinct, "shingle long, head boolean")
+    total = every.where("head").count()
+    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    return weighed(total, shared.column("shingle").to_numpy().view(np.uint64), shared.column("n").to_numpy())
+
+
 class Items:
     """Fingerprints and shingles of benchmark items, by number of shingles."""
 
-    def __init__(self, rows: list[tuple], search: Search):
+    def __init__(self, rows: list[tuple], search: Search, weights: Weights | None = None):
         self.search = search
         self.rows = [(i, s) for i, t in rows if len(s := shingles_of(t or ""))]
         df = Counter(h for _, s in self.rows for h in set(s.tolist()))
-        weights = {h: self.scaled(n) for h, n in df.items()}
         self.known = np.array(sorted(df), np.uint64)
-        self.weights = np.array([weights[int(h)] for h in self.known], np.int64)
-        self.other = self.scaled(1)
+        if weights is None:
+            weights = weighed(len(self.rows), np.array(list(df), np.uint64), np.array(list(df.values()), np.int64))
+        self.weight = weights
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.sizes: dict[int, dict] = {}
@@ -80,14 +121,6 @@ class Items:
             least = min(int(self.weight(self.rows[k][1]).sum()) for k in members)
             self.sizes[size] = {"members": members, "prints": prints, "index": index, "shingles": own, "least": least}
 
-    def scaled(self, n: int) -> int:
-        """The weight of a shingle of n items, as an integer."""
-        return round(16 * (1 + math.log(max(1, len(self.rows)) / n)))
-
-    def weight(self, s: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == s, self.weights[at], self.other) if len(self.known) else np.full(len(s), self.other)
-
     def prints(self, s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """SimHashes of the windows of ``size`` shingles at ``starts``."""
         signs = (((s[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1) * self.weight(s)[:, None].astype(np.int32)
@@ -171,19 +204,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     groups = max(1, math.ceil(items.count() / search.max_items))
+    weights = weights_of(items)
+    sent = docs.sparkSession.sparkContext.broadcast((weights.shared, weights.scaled, weights.other))
     out = None
     for g in range(groups):
-        index = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()], search)
-        found = slim.mapInArrow(scanner(index), SCHEMA)
+        index = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()], search, weights)
+        index.weight = None  # sent once for all groups
+        found = slim.mapInArrow(scanner(index, sent), SCHEMA)
         out = found if out is None else out.union(found)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start_word", "n_words")
     return out.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def scanner(index: Items):
+def scanner(index: Items, weights: Broadcast):
     inside = grams.blank_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index.weight = Weights(*weights.value)
         for batch in batches:
             for part, data, offsets in grams.sliced(batch):
                 s, first = grams.shingles(grams.words(data, offsets, inside), WIDTH)
