@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share.
+
+    It is that of ``spark.checkpoint.dir``. Only a local master, where all run on one machine, may go without one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application writes between steps lies here."""
+    return f"{shared_dir(spark)}/traceqc-{spark.sparkContext.applicationId}"
+
+
+def released(spark: SparkSession) -> None:
+    """Deletes what this application wrote between steps; results that were not read to their end are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder and read again.
+
+    A lost executor costs no recomputation, and the planner knows the table's real size; a checkpoint would keep the
+    estimate of the plan behind it, which grows with each join of a loop.
+    """
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:
@@ -39,21 +63,49 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def with_result(df: DataFrame, result: DataFrame, key: str) -> DataFrame:
-    """All columns of ``df`` but those that ``result`` brings, then those of ``result``."""
-    mine = [c for c in df.columns if c == key or c not in result.columns]
-    return df.select(*mine).join(result, key)
+#: Bits of one row of a key set; what ``bitmap_construct_agg`` makes.
+CHUNK_BITS = 15
+#: A key set has at least and at most 2 ** so many bits; the most is 64 MB.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 29, 16
+
 
+def set_bits(n: int, most: int | None = None) -> int:
+    """The logarithm of the size of a set of ``n`` keys."""
+    return min(max(LEAST_BITS, math.ceil(math.log2(max(1, n) * BITS_A_KEY))), MOST_BITS if most is None else most)
 
-def narrowed(df: DataFrame, keys: DataFrame, key: str, bits: int = 20, anti: bool = False) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``: none that is there is lost, few others stay; ``anti``: all other rows.
 
-    What is broadcast is a set of at most ``2 ** bits`` hash buckets, whatever the number of keys; where these fill up,
-    all rows stay and the join that follows does the whole work.
+def split(df: DataFrame, keys: DataFrame, key: str, most_bits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ``df`` whose ``key`` may be in ``keys``, all other rows); none that is there is lost.
+
+    What is broadcast is a set of ``BITS_A_KEY`` bits a key, so about a sixteenth of the other rows stay with the
+    first part, whatever the number of keys, until the set would take more than 64 MB (33 million keys). Beyond that
+    it fills up; where it would hold more than half of the other rows, there is no second part.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_held_bucket")
-    held = keys.select(bucket).distinct()
-    return df.withColumn("_held_bucket", bucket).join(F.broadcast(held), "_held_bucket", "left_anti" if anti else "left_semi").drop("_held_bucket")
+    n = keys.count()
+    bits = set_bits(n, most_bits)
+    if 1 - math.exp(-n / (1 << bits)) > 0.5:
+        return df, None
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    at, chunk, bitmap = (fresh(df, name) for name in ("_place", "_chunk", "_held"))
+    place = F.col(at).bitwiseAND((1 << CHUNK_BITS) - 1)
+    held = keys.select(bucket.alias(at)).groupBy(F.shiftright(at, CHUNK_BITS).alias(chunk)).agg(F.bitmap_construct_agg(place).alias(bitmap))
+    # at most 2 ** (MOST_BITS - CHUNK_BITS) rows of 4 KB
+    tested = df.withColumn(at, bucket).withColumn(chunk, F.shiftright(at, CHUNK_BITS)).join(F.broadcast(held), chunk, "left")
+    octet = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(octet, place.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return tuple(tested.where(x).select(*df.columns) for x in (inside, ~inside))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has not."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def narrowed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``: none that is there is lost, few others stay."""
+    return split(df, keys, key)[0]
 
 
 def without(df: DataFrame, gone: DataFrame, key: str, also: tuple[str, ...] = ()) -> DataFrame:
@@ -64,4 +116,6 @@ def without(df: DataFrame, gone: DataFrame, key: str, also: tuple[str, ...] = ()
     keys = (key, *also)
     right = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
     on = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
-    return narrowed(df, gone, key, anti=True).unionByName(narrowed(df, gone, key).join(right, on, "left_anti"))
+    maybe, sure = split(df, gone, key)
+    left = maybe.join(right, on, "left_anti")
+    return left if sure is None else sure.unionByName(left)

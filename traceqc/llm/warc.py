@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traceqc.llm.common import cut, narrowed, shared_dir, table
+from traceqc.llm.common import cut, narrowed, own_dir, split, table
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
@@ -44,9 +44,9 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, i
     long = F.octet_length("payload") >= min_revisit_bytes
     first = cut(rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     # payloads that can't be repeated need no join, so they aren't shuffled
-    alone = narrowed(rows, first, "digest", anti=True).withColumn("refers_to", F.lit(None).cast("long"))
-    some = narrowed(rows, first, "digest").join(first, "digest", "left").withColumn("refers_to", F.when(long & (F.col("first") != F.col("page_id")), F.col("first")).cast("long")).drop("first")
-    return alone.unionByName(some)
+    maybe, alone = split(rows, first, "digest")
+    some = maybe.join(first, "digest", "left").withColumn("refers_to", F.when(long & (F.col("first") != F.col("page_id")), F.col("first")).cast("long")).drop("first")
+    return some if alone is None else alone.withColumn("refers_to", F.lit(None).cast("long")).unionByName(some)
 
 
 def record(row_id: Column) -> Column:
@@ -123,22 +123,21 @@ def named(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(header, rf"(?i)\r\n{name}[ \t]*:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))
 
 
-def reachable(candidates: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reachable(candidates: DataFrame) -> DataFrame:
     """Of candidates (file, off, next), those on the chain of successors from offset 0 of their file.
 
     Each round doubles the length of the jumps: what a verified record reaches by a jump is verified, and each jump is
-    followed by that of its target. Chains of n records need log2(n) rounds.
+    followed by that of its target. Chains of n records need log2(n) rounds, and end because offsets only grow.
     """
     state = cut(candidates.select("file", "off", F.col("next").alias("jump"), (F.col("off") == 0).alias("good")))
-    for _ in range(max_rounds):
+    while state.where("good and jump is not null").limit(1).count():
         live = state.where("jump is not null")
         target = state.select("file", F.col("off").alias("jump"), F.col("jump").alias("then"))
         hit = live.where("good").select("file", F.col("jump").alias("off")).distinct().withColumn("hit", F.lit(True))
-        moved = state.join(target, ["file", "jump"], "left").select("file", "off", F.col("then").alias("jump"), "good")
+        # rows whose chain ended need no join, where all their nulls would meet in one task
+        moved = live.join(target, ["file", "jump"], "left").select("file", "off", F.col("then").alias("jump"), "good").unionByName(state.where("jump is null"))
         state = cut(moved.join(hit, ["file", "off"], "left").select("file", "off", "jump", (F.col("good") | F.coalesce("hit", F.lit(False))).alias("good")))
-        if state.where("good and jump is not null").limit(1).count() == 0:
-            return state.where("good").select("file", "off")
-    raise ValueError(f"a chain of more than 2**{max_rounds} records")
+    return state.where("good").select("file", "off")
 
 
 def block_of(body: Column, header: Column, content: Column) -> Column:
@@ -205,7 +204,7 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     return responses(spark, path)
 
