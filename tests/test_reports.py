@@ -43,6 +43,20 @@ def test_pages_and_record_ids(spark):
     assert {r.source_file: len(r.waveforms) for r in R.nested(pages).collect()} == {"a": 0, "b": 0, "c": 1}
 
 
+def test_a_record_id_may_begin_the_next_page(spark):
+    docs = [("a", "x\fend 编号：\f \n\f 31 y\f编号：5"), ("b", "编号：\fno 7"), ("c", "x 编号： 4 编号：\f9"), ("d", "编号：\f编号：8"), ("e", "编号：")]
+    pages = io.pages(spark.createDataFrame(docs, "source_file string, text string"))
+    assert {r.source_file: r.any_id for r in R.any_record_id(pages).collect()} == {"a": "31", "c": "4", "d": "8"}
+
+
+def test_subject_and_manual_tables(spark, tmp_path):
+    io.write_csv(spark.createDataFrame([("S1", " A", "05", "M"), ("S2", None, "", "F")], "subject_id string, name string, age string, sex string").coalesce(1), f"{tmp_path}/s")
+    assert sorted(tuple(r) for r in io.read_subjects(spark, f"{tmp_path}/s").collect()) == [("S1", " A", "05", "M"), ("S2", None, None, "F")]
+    spark.createDataFrame([(1, 2)], "record_id long, subject_id int").write.parquet(f"{tmp_path}/m.parquet")
+    assert io.read_manual(spark, f"{tmp_path}/m.parquet").first() == ("1", "2")
+    assert io.read_manual(spark, None) is None and io.read_manual(spark, f"{tmp_path}/none.csv") is None
+
+
 def test_seconds_and_sensitivity(spark):
     assert [one(spark, v, T.seconds) for v in ("起点12秒 3", "x", "", None, "9" * 20)] == [12, None, None, None, None]
     assert one(spark, "50uV/3.5mm", lambda c: F.array(*T.sensitivity(c))) == [50.0, 3.5]
@@ -53,6 +67,8 @@ def test_csv_keeps_line_ends_and_quotes(spark, tmp_path):
     rows = [("a", 'x\ny "q", z'), ("b", ""), ("c", None)]
     io.write_csv(spark.createDataFrame(rows, "k string, v string").coalesce(1), f"{tmp_path}/c")
     assert sorted(tuple(r) for r in io.read_csv(spark, f"{tmp_path}/c", ["k", "v"]).collect()) == [("a", 'x\ny "q", z'), ("b", None), ("c", None)]
+    part = next(tmp_path.glob("c/part-*")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfk,v\n")
     (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfk,v\n1,2\n")
     assert io.read_csv(spark, f"{tmp_path}/bom.csv", ["k", "v"]).first().k == "1"
 

@@ -97,13 +97,37 @@ def test_missing_sensitivity_counts_as_the_default(spark):
 
 def test_average_ranks_and_outliers(spark):
     rows = [("a", v) for v in (3.0, 1.0, 3.0, 2.0, None)] + [("b", 7.0)]
-    got = {(r.g, r.v): r.rank for r in stats.average_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", "rank", 3).collect()}
+    got = {(r.g, r.v): r.rank for r in stats.average_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", "rank").collect()}
     assert got == {("a", 1.0): 1, ("a", 2.0): 2, ("a", 3.0): 3.5, ("a", None): None, ("b", 7.0): 1}
     values = [10.0, 11.0, 9.0, 10.5, 9.5, 100.0, float("nan"), None]
     z = stats.robust_z(spark.createDataFrame([("x", v) for v in values], "ch string, v double"), "v").where("abs(z) > 4").collect()
     assert [r.v for r in z] == [100.0]
 
 
+def test_quantiles_by_rank_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in np.round(rng.normal(size=137 if g == "a" else 40), 1)] + [("c", 7.0), ("d", None)]
+    got = {r.g: r for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", (0.0, 0.05, 0.5, 0.99, 1.0), ["a", "b", "c", "d", "e"]).collect()}
+    assert set(got) == {"a", "b", None, "c"}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g]
+        assert r.n == len(own) and np.allclose([r.a, r.b, r.c, r.d, r.e], np.quantile(own, [0, 0.05, 0.5, 0.99, 1]), atol=1e-12)
+    assert stats.quantiles(spark.createDataFrame([(1.0,), (2.0,)], "v double"), [], "v", (0.5,), ["m"]).first().m == 1.5
+
+
+def test_summaries_of_start_and_marker(spark):
+    t = spark.createDataFrame([("a", 1, 1.0, 2.0, False), ("b", 1, 3.0, 4.0, True)], "rec string, page_no int, rms double, slope double, bad boolean")
+    p = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("b", 1, 5), ("c", 1, None)], "rec string, page_no int, marker_transitions int")
+    got = {r.metric: r for r in C.transient_summary(t, p).collect()}
+    assert (got["rms"].p50, got["slope"].max, got["rms"].share, got["rms"].bad) == (2.0, 4.0, 0.5, 1)
+    assert [(r.value, r.n) for r in C.marker_transitions(p, 2).collect()] == [(3, 2), (5, 1)]
+
+
+def test_the_rate_without_a_number_of_points(spark):
+    df = spark.createDataFrame([(800,), (None,)], "n_points int").selectExpr("n_points", "'' sensitivity", "0.1D min_ystep", "0.85D med_xstep")
+    assert {r.n_points: r.fs for r in qc.with_calibration(df).collect()} == {800: 100.0, None: 100.0}
+
+
 def test_pages_that_overlap(spark):
     rows = [("a", 1, "3秒", "m"), ("a", 2, "10秒", "m"), ("b", 1, "3", "m"), ("b", 2, "11", "m"), ("c", 1, "3", "m"), ("d", 1, "5", "m"), ("d", 2, "5", "n"), ("e", 1, "", "m"), ("e", 2, None, "m")]
     p = spark.createDataFrame(rows, "rec string, page_no int, time_in_record string, montage string")

@@ -33,25 +33,73 @@ def unpivot(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.select(pairs.alias("_p")).select("_p.*").where("value is not null")
 
 
+def ranged(rows: DataFrame, group: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their counts ``_n``, dealt out by range, and for each range the rows ``_below`` it in its group,
+    those ``_in`` it, and ``_all`` of the group.
+
+    The ranges are written before they are used twice, since each dealing samples anew. No group is brought together.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    parts = cut(counts.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*group, "_part").agg(F.sum("_n").alias("_in"))  # a row for each range
+    lower = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = sums.select(*group, "_part", "_in", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_below"), F.sum("_in").over(Window.partitionBy(*group)).alias("_all"))
+    return parts, below
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, probs: tuple, names: list[str]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` in each group, with its number of values ``n``.
+
+    Their ranks are looked up in ranges of values, so that memory doesn't grow with the distinct values of a group as
+    it does for an aggregate. Only ranges that hold a rank are read again. Null groups are one group.
+    """
+    parts, below = ranged(rows, group, value)
+    at = [(F.col("_all") - 1) * F.lit(float(p)) for p in probs]
+    wanted = F.array(*(f(x).cast("long") for x in at for f in (F.floor, F.ceil)))
+    held = below.withColumn("_wanted", wanted).where(F.exists("_wanted", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_in"))))
+    keys = [*group, "_part"]
+    right = held.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_below", "_all")
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    near = parts.join(right, on).drop(*(f"_of_{k}" for k in keys))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_from", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    has = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("_n"))
+    found = placed.groupBy(*group).agg(F.first("_all").alias("_all"), *(F.max(F.when(has(f(x)), F.col(value))).alias(f"_{tag}{k}") for k, x in enumerate(at) for f, tag in ((F.floor, "lo"), (F.ceil, "hi"))))
+    between = lambda k, x: F.when(F.ceil(x) == F.floor(x), F.col(f"_lo{k}")).otherwise((F.ceil(x) - x) * F.col(f"_lo{k}") + (x - F.floor(x)) * F.col(f"_hi{k}"))
+    return found.select(*group, F.col("_all").alias("n"), *(between(k, x).cast("double").alias(name) for k, (x, name) in enumerate(zip(at, names))))
+
+
+def medians(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """The exact median of each group."""
+    return quantiles(rows, group, value, (0.5,), [name]).drop("n")
+
+
 def profile(df: DataFrame, metrics: list[str], approx: bool = False) -> DataFrame:
-    """Quantiles, minimum and maximum of each metric, by one aggregate over one pass; ``approx`` for sketches."""
-    rows = unpivot(df, metrics).groupBy("metric")
-    q = F.percentile_approx("value", list(QUANTILES), 10_000) if approx else F.percentile("value", list(QUANTILES))
-    return rows.agg(F.count("*").alias("n"), q.alias("_q"), F.min("value").alias("min"), F.max("value").alias("max")).select("metric", "n", *(F.get("_q", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(QUANTILES)), "min", "max")
+    """Quantiles, minimum and maximum of each metric; ``approx`` for sketches in one pass."""
+    rows = unpivot(df, metrics)
+    names = [f"p{round(100 * p)}" for p in QUANTILES]
+    if approx:
+        q = F.percentile_approx("value", list(QUANTILES), 10_000)
+        out = rows.groupBy("metric").agg(F.count("*").alias("n"), q.alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"))
+        return out.select("metric", "n", *(F.get("_q", F.lit(k)).alias(name) for k, name in enumerate(names)), "min", "max")
+    out = quantiles(rows, ["metric"], "value", (*QUANTILES, 0.0, 1.0), [*names, "min", "max"])
+    return out.select("metric", "n", *names, "min", "max")
 
 
 def robust_z(df: DataFrame, metric: str, group: str = "ch", log: bool = False, name: str = "z") -> DataFrame:
     """Adds the distance from the group's median in units of its scaled median absolute deviation.
 
-    Two aggregates over slim rows; the groups (channel names) come back by a join that adaptive execution broadcasts
-    when they are few.
+    Both medians come from slim rows by rank; the groups (channel names) come back by a join that adaptive execution
+    broadcasts when they are few.
     """
     value = F.log10(F.greatest(known(metric), F.lit(1e-6))) if log else known(metric)
     rows = df.withColumn("_v", F.when(known(metric).isNotNull(), value))
-    middle = rows.groupBy(group).agg(F.median("_v").alias("_m"))
-    slim = rows.select(group, "_v").join(middle, group)
-    spread = slim.groupBy(group).agg(F.first("_m").alias("_m"), F.median(F.abs(F.col("_v") - F.col("_m"))).alias("_s"))
-    return rows.join(spread, group).withColumn(name, (F.col("_v") - F.col("_m")) / (1.4826 * F.col("_s") + 1e-12)).drop("_v", "_m", "_s")
+    slim = rows.select(group, "_v")
+    middle = medians(slim, [group], "_v", "_m")
+    spread = medians(slim.join(middle, group).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))), [group], "_d", "_s")
+    return rows.join(middle.join(spread, group), group).withColumn(name, (F.col("_v") - F.col("_m")) / (1.4826 * F.col("_s") + 1e-12)).drop("_v", "_m", "_s")
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 60, log: bool = False) -> DataFrame:
@@ -65,18 +113,13 @@ def histogram(df: DataFrame, metric: str, bins: int = 60, log: bool = False) ->
     return counted.select(F.lit(metric).alias("metric"), "bin", (F.col("lo") + F.col("bin") * F.col("_w")).alias("low"), "n")
 
 
-def average_rank(df: DataFrame, group: str, value: str, name: str, parts: int = 16) -> DataFrame:
+def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Adds the average rank of ``value`` within ``group`` (ties share theirs) without bringing a group into one task.
 
-    Distinct values are counted and dealt out by range. A value's rank is the rows below its range, those below it in its
-    range, and half of its ties. The ranges are written before they are used twice, since each dealing samples anew.
+    A value's rank is the rows below its range, those below it in its range, and half of its ties.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    ranged = cut(counts.repartitionByRange(parts, group, value).withColumn("_part", F.spark_partition_id()))
-    sums = ranged.groupBy(group, "_part").agg(F.sum("_n").alias("_in"))
-    lower = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    below = sums.select(group, "_part", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_below"))  # a row for each range
+    parts, below = ranged(df, [group], value)
     inside = Window.partitionBy(group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ranks = ranged.join(below, [group, "_part"]).select(group, value, (F.col("_below") + before + (F.col("_n") + 1) / 2).alias(name))
+    ranks = parts.join(below, [group, "_part"]).select(group, value, (F.col("_below") + before + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, [group, value], "left")

@@ -40,10 +40,17 @@ def _break(lines: Column, line: Column, i: Column) -> Column:
     return F.when((i == 0) | glued, F.lit("")).otherwise(F.lit("\n"))
 
 
-def header_and_body(c: Column) -> tuple[Column, Column]:
-    """Text split after the line of the bed number, or else at the first EEG label; one label goes from the body's start."""
-    line = r"床号[:：][^\n]*\n"
-    head = F.regexp_extract(c, rf"(?s)^(.*?{line})", 1)
+def bed_line(c: Column) -> Column:
+    """All up to the end of the line of the bed number, ``""`` without one."""
+    return F.regexp_extract(c, r"(?s)^(.*?床号[:：][^\n]*\n)", 1)
+
+
+def header_and_body(c: Column, head: Column | None = None) -> tuple[Column, Column]:
+    """Text split after the line of the bed number, or else at the first EEG label; one label goes from the body's start.
+
+    ``head`` is ``bed_line(c)`` where that is a column already.
+    """
+    head = bed_line(c) if head is None else head
     at = F.instr(c, "脑电图：")
     header = F.when(head != "", head).otherwise(F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c))
     after = F.when(at > 0, F.substring(c, at + F.lit(4), F.length(c))).otherwise("")
@@ -91,7 +98,7 @@ def sensitivity(c: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(c, pattern, g), F.lit("")).try_cast("double") for g in (1, 2))
 
 
-#: Texts that pages are known to hold (fixed values).
+#: Texts that pages are known to hold, names of channels, and words of filters (fixed values).
 KNOWN_TEXT = (
     r"(?U)^(智能脑电|-|贵州医科大学附属医院|标记|\d+秒|\d\d:\d\d:\d\d|背景|闪光刺激|过度换气|"
     r"\d+uV/[\d.]+mm|\d厘米/秒|编号:\d+|[A-Za-z0-9]+-[A-Za-z0-9]+)$"

@@ -43,10 +43,11 @@ def pages_per_record(records: DataFrame) -> DataFrame:
     return records.groupBy(F.size("waveforms").alias("n_pages")).agg(F.count("*").alias("n_records"))
 
 
-def channel_shares(waves: DataFrame, n_records: int) -> DataFrame:
-    """In how many records a channel occurs, and their share."""
+def channel_shares(waves: DataFrame, records: DataFrame) -> DataFrame:
+    """In how many records a channel occurs, and their share of all records."""
     pairs = waves.select("rec", F.explode("channels").alias("ch")).distinct()
-    return pairs.groupBy("ch").agg(F.count("*").alias("n"), (F.count("*") / n_records).alias("share"))
+    total = records.agg(F.count("*").alias("_all"))  # one row
+    return pairs.groupBy("ch").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("ch", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
 def tuples(waves: DataFrame, top: int = 5) -> DataFrame:
@@ -127,15 +128,21 @@ def spacing(pages: DataFrame, limit: float = 0.1) -> DataFrame:
 
 
 def std_by_sensitivity(enriched_channels: DataFrame) -> DataFrame:
-    return enriched_channels.where(F.col("montage") == REFERENCE).groupBy("sensitivity").agg(F.median("std_uV").alias("median_std_uV"))
+    return stats.medians(enriched_channels.where(F.col("montage") == REFERENCE), ["sensitivity"], "std_uV", "median_std_uV")
 
 
 def outlier_counts(channels: DataFrame, metric: str, k: float, log: bool) -> DataFrame:
     """Channel rows and distinct pages beyond ``k`` robust deviations."""
-    out = stats.robust_z(channels, metric, log=log).where(F.abs("z") > k)
+    out = stats.robust_z(channels.select(*PAGE, "ch", metric), metric, log=log).where(F.abs("z") > k)
     return out.agg(F.lit(metric).alias("metric"), F.count("*").alias("rows"), F.countDistinct(F.struct(*PAGE)).alias("pages"))
 
 
+def spectral_shape(channels: DataFrame) -> DataFrame:
+    """One row: median and 99th percentile of the high frequencies, and the median ratio."""
+    high = stats.quantiles(channels.select("hf_40_49"), [], "hf_40_49", (0.5, 0.99), ["hf_median", "hf_p99"]).drop("n")
+    return high.crossJoin(stats.medians(channels.select("p_hf_ratio"), [], "p_hf_ratio", "ratio_median"))
+
+
 def flags(channels: DataFrame) -> DataFrame:
     """Channels with the flags flat, saturated, overrange, outlier and bad (flat, saturated or outlier)."""
     out = stats.robust_z(channels, "std_uV", log=True).withColumns({"flat": (F.col("std_uV") < 1) | (F.col("flat_frac") > 0.5), "saturated": F.col("clip_frac") > 0.01, "outlier": F.coalesce(F.abs("z") > 5, F.lit(False))})
@@ -157,10 +164,11 @@ def bad_per_page(flagged: DataFrame) -> DataFrame:
 def extremes(channels: DataFrame, pages: DataFrame) -> DataFrame:
     """Largest amplitude, median row spacing, zero-crossing outliers, and rows above the 99th percentile of high
     frequencies. Every part is one row."""
-    top = channels.agg(F.max("ptp_pt").alias("max_ptp_pt"), F.percentile("hf_40_49", 0.99).alias("_p99"))
+    high = stats.quantiles(channels.select("hf_40_49"), [], "hf_40_49", (0.99,), ["_p99"]).drop("n")
+    top = channels.agg(F.max("ptp_pt").alias("max_ptp_pt")).crossJoin(F.broadcast(high))
     above = channels.crossJoin(F.broadcast(top)).agg(F.first("max_ptp_pt").alias("max_ptp_pt"), F.count_if(F.col("hf_40_49") > F.col("_p99")).alias("above_p99"))
     odd = stats.robust_z(channels, "zcr_hz").where(F.abs("z") > 5).agg(F.count("*").alias("zcr_outliers"))
-    return above.crossJoin(odd).crossJoin(pages.agg(F.median("row_spacing_pt").alias("row_spacing_pt")))
+    return above.crossJoin(odd).crossJoin(stats.medians(pages.select("row_spacing_pt"), [], "row_spacing_pt", "row_spacing_pt_").withColumnRenamed("row_spacing_pt_", "row_spacing_pt"))
 
 
 def top_outliers(flagged: DataFrame, n: int = 5) -> DataFrame:
@@ -168,15 +176,16 @@ def top_outliers(flagged: DataFrame, n: int = 5) -> DataFrame:
 
 
 def channel_ranking(channels: DataFrame, n: int = 8) -> DataFrame:
-    return channels.groupBy("ch").agg(F.median("std_uV").alias("std_uV")).orderBy(F.desc("std_uV"), "ch").limit(n)
+    return stats.medians(channels, ["ch"], "std_uV", "_median").withColumnRenamed("_median", "std_uV").orderBy(F.desc("std_uV"), "ch").limit(n)
 
 
 def precision(pages: DataFrame, channels: DataFrame) -> DataFrame:
     """Steps, resolution, quantisation noise, and channels too small for the resolution."""
-    p = pages.agg(F.countDistinct(F.round("y_min_step_pt", 3)).alias("n_steps"), F.min("y_res_uV").alias("res_min"), F.max("y_res_uV").alias("res_max"), F.median(F.col("y_res_uV") / F.sqrt(F.lit(12.0))).alias("noise_uV"))
-    scale = channels.agg(F.median(F.col("ptp_uV") / F.greatest("ptp_pt", F.lit(1e-3))).alias("_scale"))  # one row
+    p = pages.agg(F.countDistinct(F.round("y_min_step_pt", 3)).alias("n_steps"), F.min("y_res_uV").alias("res_min"), F.max("y_res_uV").alias("res_max"))
+    noise = stats.medians(pages.select((F.col("y_res_uV") / F.sqrt(F.lit(12.0))).alias("v")), [], "v", "noise_uV")
+    scale = stats.medians(channels.select((F.col("ptp_uV") / F.greatest("ptp_pt", F.lit(1e-3))).alias("v")), [], "v", "_scale")  # one row
     small = channels.crossJoin(F.broadcast(scale)).agg(F.count_if(F.col("std_uV") < 5 * 0.12 * F.col("_scale")).alias("small"))
-    return p.crossJoin(small)
+    return p.crossJoin(noise).crossJoin(small)
 
 
 def decimals_merged(counts: DataFrame, top: int = 4) -> DataFrame:
@@ -187,6 +196,11 @@ def decimals_merged(counts: DataFrame, top: int = 4) -> DataFrame:
 # --- states
 
 
+def marker_transitions(pages: DataFrame, top: int = 6) -> DataFrame:
+    """The most common numbers of transitions of the marker row, with their pages and share."""
+    return stats.frequencies(pages, F.col("marker_transitions"), F.struct(*PAGE), top=top)
+
+
 def marker_counts(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count_if("marker_regular").alias("regular"), F.count_if(~F.col("marker_regular")).alias("irregular"))
 
@@ -248,6 +262,14 @@ def start_transients(enriched_channels: DataFrame) -> DataFrame:
     return out.withColumn("bad", (F.col("rms") > 2) | (F.col("slope") > 3))
 
 
+def transient_summary(transients: DataFrame, pages: DataFrame) -> DataFrame:
+    """For both start ratios, the profile over the pages at second 0; with these pages, their share of all pages, and the
+    bad ones among them."""
+    counts = transients.agg(F.count("*").alias("at_start"), F.count_if("bad").alias("bad"))  # one row
+    counts = counts.crossJoin(pages.agg(F.count("*").alias("_pages"))).withColumn("share", F.col("at_start") / F.col("_pages")).drop("_pages")
+    return stats.profile(transients, ["rms", "slope"]).crossJoin(F.broadcast(counts))
+
+
 def half_stability(enriched_channels: DataFrame) -> DataFrame:
     """For each band: correlations over pages of the medians of both halves, and their median difference."""
     names = [f"{h}_{b}" for b in HALVES for h in ("h1", "h2")]
@@ -255,7 +277,8 @@ def half_stability(enriched_channels: DataFrame) -> DataFrame:
     bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"h1_{b}").alias("x"), F.col(f"h2_{b}").alias("y")) for b in HALVES)))
     rows = cut(page.select(bands.alias("_b")).select("_b.*").where("x is not null and y is not null"))
     rows = stats.average_rank(stats.average_rank(rows, "band", "x", "rx"), "band", "y", "ry")
-    out = rows.groupBy("band").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.median(F.abs(F.col("x") - F.col("y"))).alias("difference"))
+    out = rows.groupBy("band").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    out = out.join(stats.medians(rows.select("band", F.abs(F.col("x") - F.col("y")).alias("d")), ["band"], "d", "difference"), "band")
     return out.withColumn("unstable", F.col("pearson") < 0.7)
 
 

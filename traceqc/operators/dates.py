@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceqc.plans.checks import unique_keys
+from traceqc.functions.checks import unique_keys
 
 FORMATS = ("y-M-d H:m:s", "y-M-d", "y/M/d", "y.M.d", "yyyyMMdd")
 FROM_REPORT, ORIGINAL, MISSING = "report", "original", "missing"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceqc.functions.text import strip
-from traceqc.plans.checks import unique_keys
+from traceqc.functions.checks import unique_keys
 
 KEYS = ["name", "age", "sex"]
 TIER1, MANUAL = "name+age+sex", "manual"

@@ -11,6 +11,7 @@ from traceqc.operators.traces import MARKER, PAGE
 PT_PER_MM = 72 / 25.4
 SECONDS = 8.0
 EXTREME, MARKER_STEP = 0.13, 0.3
+FALLBACK_HZ = 100.0
 
 
 def mean_of(a: Column) -> Column:
@@ -18,14 +19,16 @@ def mean_of(a: Column) -> Column:
 
 
 def with_calibration(pages: DataFrame) -> DataFrame:
-    """Adds microvolts for a point, resolution and sampling rates; an unreadable sensitivity counts as 50 uV/5 mm.
+    """Adds microvolts for a point, resolution and sampling rates; an unreadable sensitivity counts as 50 uV/5 mm, and
+    without a number of points the rate ``fs`` is 100 Hz.
 
     Needs sensitivity, n_points, min_ystep and med_xstep.
     """
     uv, mm = sensitivity(F.col("sensitivity"))
     out = pages.withColumn("sens_missing", uv.isNull() | mm.isNull())
     out = out.withColumn("uV_per_pt", F.when(F.col("sens_missing"), 50.0 / (5.0 * PT_PER_MM)).otherwise(uv / (mm * PT_PER_MM)))
-    return out.withColumns({"y_res_uV": F.col("min_ystep") * F.col("uV_per_pt"), "fs_len": F.col("n_points") / SECONDS, "fs_paper": 1 / F.col("med_xstep") * 30 * PT_PER_MM})
+    fs_len = F.col("n_points") / SECONDS
+    return out.withColumns({"y_res_uV": F.col("min_ystep") * F.col("uV_per_pt"), "fs_len": fs_len, "fs_paper": 1 / F.col("med_xstep") * 30 * PT_PER_MM, "fs": F.coalesce(fs_len, F.lit(FALLBACK_HZ))})
 
 
 def row_spacing(labels: DataFrame) -> DataFrame:

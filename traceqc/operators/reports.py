@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceqc.functions import text as T
@@ -22,34 +22,58 @@ HEADER = {
     "medication": rf"药物[:：]{B}(\S*)",
     "diagnosis": rf"临床诊断[:：]{B}(.*)",
 }
-#: fields of page 1 that describe the recording; these may cross lines
+#: fields of page 1 that describe the recording; these may cross lines (fixed values)
 TIMES = {
     "examiner": r"检查者[:：]\s*(\S+)",
     "start": r"起点\s*(\d+秒)\s*[\d:]+",
     "start_time": r"起点\s*\d+秒\s*([\d:]+)",
     "length": r"处理长度\s*(\d+秒)",
 }
+#: The footer of a waveform page (fixed value) and its groups.
 FOOTER = r"(?U)(\d+)秒\s+([\d:]+)\s+(\S+)\s+(\S+)\s+(\S+)\s+编号[:：]\s*(\d+)"
 FOOTER_FIELDS = ["time_in_record", "clock_time", "stage", "sensitivity", "speed"]
 
 
-def report_columns(page: Column) -> dict[str, Column]:
-    """Header fields and free texts of a report page."""
-    header, body = T.header_and_body(page)
-    eeg, topo, conclusion = T.sections(T.without_overlays(body))
-    out = {name: T.field(header, pattern) for name, pattern in HEADER.items()}
-    return out | {"eeg_text": T.join_wrapped(T.without_rules(eeg)), "topo_text": T.join_wrapped(topo), "conclusion": T.join_wrapped(T.cut_conclusion(conclusion))}
+def with_sections(first_pages: DataFrame, text: str = "page_text") -> DataFrame:
+    """Adds header, body (without overlays), eeg, topo and conclusion of report pages.
 
+    Each is made once, from columns of the step before, so that no pattern is matched again for each field.
+    """
+    header, body = T.header_and_body(F.col(text), F.col("_head"))
+    df = first_pages.withColumn("_head", T.bed_line(F.col(text))).withColumns({"header": header, "body": body}).withColumn("body", T.without_overlays(F.col("body")))
+    eeg, topo, conclusion = T.sections(F.col("body"))
+    return df.withColumns({"eeg": eeg, "topo": topo, "conclusion": conclusion}).drop("_head")
 
-def reports(pages: DataFrame) -> DataFrame:
-    """One row for each document, from its first page; an absent record id is taken from any page.
 
-    The first record id of all pages is that of the first page that has one; pages are pre-aggregated by document.
+RECORD_ID = r"编号[:：]\s*"
+
+
+def any_record_id(pages: DataFrame) -> DataFrame:
+    """(source_file, any_id): the first record id in the pages of a document read as one text; none, no row.
+
+    The label may end a page and the id begin the next one that isn't blank. Only ids and what stands at both ends
+    of a page are exchanged, never texts.
     """
-    found = F.regexp_extract("page_text", r"(?U)编号[:：]\s*(\d+)", 1)
-    ids = pages.where(found != "").groupBy("source_file").agg(F.min_by(found, "page_no").alias("any_id"))
-    first = pages.where("page_no = 1").select("source_file", "n_pages", *(c.alias(n) for n, c in report_columns(F.col("page_text")).items()))
-    return first.join(ids, "source_file", "left").withColumn("record_id", F.coalesce(F.nullif("record_id", F.lit("")), "any_id", F.lit(""))).drop("any_id")
+    text = F.col("page_text")
+    slim = pages.select(
+        "source_file",
+        "page_no",
+        F.nullif(F.regexp_extract(text, rf"(?U){RECORD_ID}(\d+)", 1), F.lit("")).alias("own"),
+        text.rlike(rf"(?U){RECORD_ID}$").alias("open"),
+        F.when(text.rlike(r"(?U)\S"), F.regexp_extract(text, r"(?U)^\s*(\d*)", 1)).alias("digits"),
+    )
+    later = Window.partitionBy("source_file").orderBy("page_no").rowsBetween(1, Window.unboundedFollowing)
+    carried = F.when(F.col("open"), F.nullif(F.first("digits", True).over(later), F.lit("")))
+    found = slim.withColumn("id", F.coalesce("own", carried)).where("id is not null")
+    return found.groupBy("source_file").agg(F.min_by("id", "page_no").alias("any_id"))
+
+
+def reports(pages: DataFrame) -> DataFrame:
+    """One row for each document, from its first page; an absent record id is taken from all pages."""
+    first = with_sections(pages.where("page_no = 1").select("source_file", "n_pages", "page_text"))
+    texts = {"eeg_text": T.join_wrapped(T.without_rules(F.col("eeg"))), "topo_text": T.join_wrapped(F.col("topo")), "conclusion": T.join_wrapped(T.cut_conclusion(F.col("conclusion")))}
+    own = first.select("source_file", "n_pages", *(T.field(F.col("header"), p).alias(n) for n, p in HEADER.items()), *(c.alias(n) for n, c in texts.items()))
+    return own.join(any_record_id(pages), "source_file", "left").withColumn("record_id", F.coalesce(F.nullif("record_id", F.lit("")), "any_id", F.lit(""))).drop("any_id")
 
 
 def recordings(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Segments come with their draw order (``seq``). All steps are keyed by record and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,46 +40,62 @@ def page_rows(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def assigned(segments: DataFrame, words: DataFrame) -> DataFrame:
-    """Each segment with its column ``j`` and its row ``ch_idx``.
+    """Each segment of a page that can be rebuilt, with its column ``j``, its row ``ch_idx`` and the page's samples ``n``.
 
     In a column with one segment for each row, draw order is row order; in any other, which is marked ambiguous, a
-    segment goes to the row whose centre is nearest to its start, the upper one on ties.
+    segment goes to the row whose centre is nearest to its start, the upper one on ties. Segments are exchanged once, by
+    page; all windows share that key.
     """
-    s = kept(segments).withColumn("xkey", F.round("x0", 2)).join(page_rows(segments, words), PAGE)
+    rows = labels(words).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ch_idx", "center"))).alias("rows"))
+    rows = rows.select(*PAGE, F.size("rows").alias("n_rows"), F.transform("rows", lambda r: r["center"]).alias("centers"))
+    page = Window.partitionBy(*PAGE)
+    s = kept(segments).select(*PAGE, "seq", F.round("x0", 2).alias("xkey"), "y0", "y1").join(rows, PAGE)
+    s = s.withColumn("_of_page", F.count("*").over(page)).where(F.col("_of_page") >= MIN_SEGMENTS)
     column = Window.partitionBy(*PAGE, "xkey")
     nearest = F.array_min(F.transform("centers", lambda c, i: F.struct(F.abs(c - F.col("y0")).alias("d"), i.alias("i"))))["i"]
-    s = s.withColumn("j", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("xkey")) - 1)
+    s = s.withColumn("j", F.dense_rank().over(page.orderBy("xkey")) - 1)
     s = s.withColumn("k", F.row_number().over(column.orderBy("seq")) - 1).withColumn("ambiguous", F.count("*").over(column) != F.col("n_rows"))
-    return s.select(*PAGE, "seq", "xkey", "j", F.when(F.col("ambiguous"), nearest).otherwise(F.col("k")).alias("ch_idx"), "ambiguous", "y0", "y1", "n_rows")
+    s = s.withColumn("n", F.max("j").over(page) + 2)
+    return s.select(*PAGE, "seq", "xkey", "j", F.when(F.col("ambiguous"), nearest).otherwise(F.col("k")).alias("ch_idx"), "ambiguous", "y0", "y1", "n_rows", "n")
 
 
 def points(assigned_segments: DataFrame) -> DataFrame:
     """One y for each row and sample: the start of the last segment of its column, else the end of the last one of the
-    column before."""
-    a = assigned_segments
-    starts = a.select(*PAGE, "ch_idx", "j", F.lit(1).alias("prio"), "seq", F.col("y0").alias("y"))
-    ends = a.select(*PAGE, "ch_idx", (F.col("j") + 1).alias("j"), F.lit(0).alias("prio"), "seq", F.col("y1").alias("y"))
-    return starts.union(ends).groupBy(*PAGE, "ch_idx", "j").agg(F.max_by("y", F.struct("prio", "seq")).alias("y"))
-
-
-def filled(assigned_segments: DataFrame, known_points: DataFrame) -> DataFrame:
-    """All rows and samples of a page; gaps filled linearly, flat beyond the ends, where a row has over two points."""
-    size = assigned_segments.groupBy(*PAGE).agg((F.max("j") + 2).alias("n"), F.max("n_rows").alias("n_rows"))
-    grid = size.select(*PAGE, F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("ch_idx"), "n").select(*PAGE, "ch_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    row = Window.partitionBy(*PAGE, "ch_idx")
-    at = F.when(F.col("y").isNotNull(), F.struct("j", "y"))
-    g = grid.join(known_points, [*PAGE, "ch_idx", "j"], "left").withColumn("a", F.last(at, True).over(row.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)))
-    g = g.withColumn("b", F.first(at, True).over(row.orderBy("j").rowsBetween(0, Window.unboundedFollowing))).withColumn("known", F.count("y").over(row))
-    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) / (F.col("b.j") - F.col("a.j")) * (F.col("j") - F.col("a.j"))
-    value = F.when(F.col("y").isNotNull(), F.col("y")).when(F.col("known") > 2, F.coalesce(line, "a.y", "b.y"))
-    return g.select(*PAGE, "ch_idx", "j", value.alias("y"))
+    column before. Both ends of a segment come from one pass."""
+    end = lambda j, prio, y: F.struct(j.alias("j"), F.struct(F.lit(prio).alias("prio"), "seq").alias("rank"), F.col(y).alias("y"))
+    ends = assigned_segments.select(*PAGE, "ch_idx", "n", F.inline(F.array(end(F.col("j"), 1, "y0"), end(F.col("j") + 1, 0, "y1"))))
+    return ends.groupBy(*PAGE, "ch_idx", "j").agg(F.max_by("y", "rank").alias("y"), F.first("n").alias("n"))
+
+
+def gap_filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``samples``: known points on the whole grid, gaps filled linearly, flat beyond the ends, where over two are known."""
+    for batch in batches:
+        out = []
+        for known, n in zip(batch.column("known"), batch.column("n").to_pylist()):
+            at = known.values.field("j").to_numpy() if known.is_valid else np.zeros(0, np.int64)
+            y = np.full(n, np.nan)
+            if len(at):
+                value = known.values.field("y").to_numpy(zero_copy_only=False)
+                order = np.argsort(at)
+                if len(at) > 2:
+                    y = np.interp(np.arange(n), at[order], value[order])
+                else:
+                    y[at] = value
+            out.append(pa.array(y, from_pandas=True))
+        columns = [batch.column(c) for c in batch.schema.names if c not in ("known", "n")]
+        names = [c for c in batch.schema.names if c not in ("known", "n")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], [*names, "samples"])
 
 
 def signals(segments: DataFrame, words: DataFrame) -> DataFrame:
     """One row for each page and row: its label, its centre and its samples (in points, downwards)."""
-    a = assigned(segments, words)
-    full = filled(a, points(a)).groupBy(*PAGE, "ch_idx").agg(F.array_sort(F.collect_list(F.struct("j", "y"))).alias("s"))
-    return full.select(*PAGE, "ch_idx", F.transform("s", lambda x: x["y"]).alias("samples")).join(labels(words), [*PAGE, "ch_idx"])
+    known = points(assigned(segments, words)).groupBy(*PAGE, "ch_idx").agg(F.collect_list(F.struct("j", "y")).alias("known"), F.max("n").alias("n"))
+    rows = labels(words).join(known, [*PAGE, "ch_idx"], "left")
+    # rows without a segment are as long as the others of their page; pages without any are no pages
+    rows = rows.withColumn("n", F.max("n").over(Window.partitionBy(*PAGE))).where("n is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "ch_idx", "ch", "center"))
+    return rows.select(*PAGE, "ch_idx", "ch", "center", "known", "n").mapInArrow(gap_filled, f"{out}, samples array<double>").select(*PAGE, "ch_idx", "samples", "ch", "center")
 
 
 def geometry(segments: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def c14(spark, d):
 
 @query("c14_spectral_shape", f"with {CH} select round(median(hf_40_49), 9) hf_median, round(quantile_cont(hf_40_49, 0.99), 9) hf_p99, round(median(p_hf_ratio), 9) ratio_median from c")
 def c14_shape(spark, d):
-    return rounded(channels(spark, d).agg(F.median("hf_40_49").alias("hf_median"), F.percentile("hf_40_49", 0.99).alias("hf_p99"), F.median("p_hf_ratio").alias("ratio_median")), 9)
+    return rounded(C.spectral_shape(channels(spark, d)), 9)
 
 
 MONTAGE = "case when c[1] like '%A1' then 'A1/A2参考' when contains(c[1], 'REF') then 'REF' else '双极' end"
@@ -121,7 +121,7 @@ def c6(spark, d):
 
 @query("c6_channel_shares", f"with {W}, {R} select ch, count(distinct rec) n, round(count(distinct rec) / (select count(*) from r), 9) share from (select rec, unnest(c) ch from w) group by 1")
 def c6_shares(spark, d):
-    return rounded(C.channel_shares(waves(spark, d), frame(spark, d, RECORDS).count()), 9)
+    return rounded(C.channel_shares(waves(spark, d), frame(spark, d, RECORDS)), 9)
 
 
 @query("c6_channel_tuples", f"with {W} select channels, case when len(list_filter(c, lambda x: x like '%A1' or x like '%A2')) > 0 then 'A1/A2参考' when len(c) > 0 then '双极' else '' end kind, count(*) n, round(count(*) / (select count(*) from w), 9) share from w group by 1, 2 order by n desc, channels limit 5")
@@ -234,6 +234,11 @@ def c20_decimals(spark, d):
     return C.decimals_merged(frame(spark, d, DECIMALS))
 
 
+@query("c21_marker_transitions", f"with {P}, f as (select marker_transitions \"value\", count(*) n, min(struct_pack(a := rec, b := page_no)) o from p group by 1) select \"value\", n, round(n / (select sum(n) from f), 6) share, greatest((select count(*) from f) - 6, 0) further from f order by n desc, o limit 6")
+def c21_transitions(spark, d):
+    return rounded(C.marker_transitions(pages(spark, d)))
+
+
 @query("c21_marker_counts", f"with {P} select count(*) filter (marker_regular) regular, count(*) filter (not marker_regular) irregular from p")
 def c21(spark, d):
     return C.marker_counts(pages(spark, d))
@@ -281,11 +286,17 @@ def c26_counts(spark, d):
     return C.missing_counts(records(spark, d))
 
 
-@query("c27_start_transients", f"with {E} select rec, page_no, round(median(start_rms_ratio), 6) rms, round(median(start_slope_ratio), 6) slope, median(start_rms_ratio) > 2 or median(start_slope_ratio) > 3 bad from e where sec0 % 10 = 1 and montage = 'A1/A2参考' group by 1, 2")
+START = f"{E}, st as (select rec, page_no, median(start_rms_ratio) rms, median(start_slope_ratio) slope, median(start_rms_ratio) > 2 or median(start_slope_ratio) > 3 bad from e where sec0 = 0 and montage = 'A1/A2参考' group by 1, 2)"
+
+
+@query("c27_start_transients", f"with {START} select rec, page_no, round(rms, 6) rms, round(slope, 6) slope, bad from st")
 def c27(spark, d):
-    """The given pages start at second 1 or later, so those whose second ends in 1 stand for the record's start."""
-    e = enriched(spark, d).withColumn("sec0", F.when(F.col("sec0") % 10 == 1, 0).otherwise(F.col("sec0")))
-    return rounded(C.start_transients(e))
+    return rounded(C.start_transients(enriched(spark, d)))
+
+
+@query("c27_transient_summary", f"with {START}, n as (select count(*) at_start, count(*) filter (bad) bad, round(count(*) / (select count(*) from p), 6) share from st), pr as ({profile_sql(['rms', 'slope'], 'st')}) select pr.*, at_start, bad, share from pr, n")
+def c27_summary(spark, d):
+    return rounded(C.transient_summary(C.start_transients(enriched(spark, d)), pages(spark, d)))
 
 
 def stability_sql() -> str:

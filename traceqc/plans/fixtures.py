@@ -19,6 +19,7 @@ def _wave(i: int) -> str:
     names = f"case when c_custkey%2=0 then concat('O1-A1', {NL}, ' O2-A2 ', {NL}, 'FP1-A1') else concat('FP1-F3', {NL}, 'F3-C3') end"
     return f"""case when c_custkey%4 < {i} then '' when c_custkey%17 = {i} then concat(chr(12), '姓名 脑电图', {NL}, 'O1-A1')
       when c_custkey%19 = {i} then concat(chr(12), 'no waveform here')
+      when c_custkey%23 = {i} then concat(chr(12), '编号：', {NL}, chr(12), {NL}, chr(12), ' ', cast(c_custkey as string), ' x')
       else concat(chr(12), {names}, {NL}, case when c_custkey%3<>1 then concat('标记', {NL}) else '' end, {_FOOTER.replace("{i}", str(i))}, {NL}) end"""
 
 
@@ -38,26 +39,32 @@ select concat('f', lpad(cast({K} as string), 9, '0'), '.pdf') source_file, conca
   {_wave(1)}, {_wave(2)}, {_wave(3)}, case when {K}%2=0 then chr(12) else '' end) text
 from {{customer}}"""
 
+#: A report for each customer; one in 71 shares the record id of the one before.
 REPORTS = f"""
-select concat('f', lpad(cast({K} as string), 9, '0')) source_file, cast({K}%1400 as string) record_id,
-  case when {K}%97=0 then null else concat('N', cast({K}%300 as string)) end name,
+select concat('f', lpad(cast({K} as string), 9, '0')) source_file, cast(case when {K}%71=0 then {K}-1 else {K} end as string) record_id,
+  case when {K}%97=0 then null else concat('N', cast({K} as string)) end name,
   case when c_nationkey%2=0 then 'M' else 'F' end sex, case when {K}%89=0 then 'x' else cast(20+{K}%5 as string) end age
 from {{customer}}"""
 
+#: A subject for each order, ten for each customer. Three of these have the customer's name (of which two the same key
+#: for one name in six), the others names of their own.
 SUBJECTS = """
-select concat('S', cast(o_orderkey as string)) subject_id, concat(' N', cast(o_custkey%300 as string)) name,
-  case when o_orderkey%2=0 then 'M' else 'F' end sex, cast(20+o_orderkey%9 as string) age
-from {orders} where o_orderkey%14=0 or o_orderkey%15=0"""
+select concat('S', cast(o_orderkey as string)) subject_id, case when i < 3 then concat(' N', cast(k as string)) when o_orderkey%997 = 0 then null else concat(' U', cast(o_orderkey as string)) end name,
+  case when i%2=0 then 'M' else 'F' end sex, cast(20 + (k*4 + case when i=2 and k%6=0 then 0 else i*5 end)%9 as string) age
+from (select o_orderkey, cast(floor(o_orderkey/10) as bigint) k, o_orderkey%10 i from {orders}) o"""
 
+#: A manual row for each customer, of which one in fifty names a record; one in a hundred has no subject.
 MANUAL = f"""
-select distinct cast({K}%1400 as string) record_id, case when {K}%1400%100=0 then null else concat('M', cast({K}%1400 as string)) end subject_id
-from {{customer}} where {K}%1400%50=0"""
+select case when {K}%50=0 then cast({K} as string) else concat('other', cast({K} as string)) end record_id,
+  case when {K}%100=0 then null else concat('M', cast({K} as string)) end subject_id
+from {{customer}}"""
 
+#: An exam for each line item; those of one order in twenty have no subject.
 EXAMS = """
-select cast(l_orderkey as string) subject_id, concat('r', cast(l_orderkey as string)) record_id, l_shipdate ship,
+select case when l_orderkey%20=0 then null else cast(l_orderkey as string) end subject_id, concat('r', cast(l_orderkey as string)) record_id, l_shipdate ship,
   concat(cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_shipdate as string), '-', cast(l_quantity as string)) source_file,
   case when l_partkey%11=0 then null when l_partkey%7=0 then '2024-13-40' else substr(cast(l_shipdate as string), 1, 10) end exam_date
-from {lineitem} where l_linenumber=1 and l_orderkey%20<>0"""
+from {lineitem}"""
 
 VISITS = """
 select cast(o_orderkey as string) subject_id, o_orderdate + o_orderkey%24 * interval '1' hour test_time,
@@ -70,7 +77,7 @@ select cast(l_orderkey as string) rec, wave_idx, wave_idx + 1 page_no, l_partkey
   case l_returnflag when 'A' then '背景' when 'N' then '闪光刺激' else '' end stage,
   case when l_partkey%13=0 then '' when l_linestatus='F' then '50uV/5mm' else '50uV/3.5mm' end sensitivity,
   case when l_partkey%29=0 then '' else '3厘米/秒' end speed,
-  cast(cast(floor(l_quantity) as int) as string) time_in_record,
+  cast(cast(floor(l_quantity) as int) - 1 as string) time_in_record,
   case when l_partkey%31=0 then '' when l_linenumber%3=0 then 'O1-A1,O2-A2,FP1-A1,FP2-A2' when l_linenumber%3=1 then 'O1-REF,O2-REF,O1-REF' else 'FP1-F3,F3-C3' end channels,
   l_suppkey%5>0 marker_row
 from (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) as int) wave_idx from {lineitem}) x"""
@@ -81,7 +88,7 @@ select rec, page_no, wave_idx, stage, sensitivity, speed, time_in_record, channe
   case when channels like '%A1%' then 'A1/A2参考' when channels like '%REF%' then 'REF' else '双极' end montage,
   sensitivity = '' sens_missing, cast(800 + part%3 as int) n_points, cast(100.0 + part%3/cast(8.0 as double) as double) fs_len, cast(99.0 + supp%2/cast(3.0 as double) as double) fs_paper,
   cast(0.85 + supp%4/cast(1000.0 as double) as double) x_step_pt, cast(0.12 + part%5/cast(100.0 as double) as double) y_min_step_pt,
-  cast(case when sensitivity = '50uV/cast(3.5 as double)mm' then 5.04 else 3.53 end as double) uV_per_pt, cast((0.12 + part%5/cast(100.0 as double))*3.5 as double) y_res_uV,
+  cast(case when sensitivity = '50uV/3.5mm' then 5.04 when part%17 = 0 then 3.54 else 3.53 end as double) uV_per_pt, cast((0.12 + part%5/cast(100.0 as double))*3.5 as double) y_res_uV,
   cast(20.0 + supp%7/cast(50.0 as double) as double) row_spacing_pt, cast(part%7 as int) marker_transitions, part%7 = 3 marker_regular,
   case when part%7=3 then '48 98 148' when part%7=0 then '' else concat('48 ', cast(50 + part%40 as string)) end marker_positions
 from ({WAVES}) w"""
@@ -100,10 +107,11 @@ from (select rec, page_no, case i when 0 then 'O1-A1' when 1 then 'O2-A2' when 2
   cast((part*47+supp+i)%347/cast(500.0 as double) as double) h1_alpha, cast((supp*53+part*i)%149/cast(900.0 as double) as double) h2x
   from ({WAVES}) w cross join (select 0 i union all select 1 union all select 2 union all select 3) n) m"""
 
-#: Texts found on pages besides the known ones.
+#: Texts found on pages besides the known ones; none on some pages.
 TEXTS = """
-select cast(l_orderkey as string) rec, l_linenumber page_no, case l_partkey%6 when 0 then '滤波 70Hz' when 1 then '陷波' when 2 then '采样率' when 3 then 'abc' when 4 then '50 Hz' else '滤波器' end text
-from {lineitem} where l_partkey%4<>0"""
+select cast(l_orderkey as string) rec, l_linenumber page_no, case when l_partkey%4=0 then null else
+  case l_partkey%6 when 0 then '滤波 70Hz' when 1 then '陷波' when 2 then '采样率' when 3 then 'abc' when 4 then '50 Hz' else '滤波器' end end text
+from {lineitem}"""
 
 TABLES = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings)\}")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from traceqc.operators import dates as D
 from traceqc.operators import linkage as L
 from traceqc.plans.fixtures import EXAMS, MANUAL, REPORTS, SUBJECTS, VISITS, frame, plain
+from traceqc.plans.scratch import scratch
+from traceqc.sources import io
 
 QUERIES, ORACLE = {}, {}
 
@@ -64,6 +66,23 @@ def l7(spark, d):
     return L.linked(*parts(spark, d))
 
 
+@query("s6_subject_ingest", f"with {U} select * from linked")
+def s6(spark, d):
+    """Subjects and manual matches written as CSV, read as strings, and linked."""
+    reports, subjects, manual = parts(spark, d)
+    paths = [scratch(spark, name) for name in ("subjects", "manual")]
+    io.write_csv(subjects.select(*io.SUBJECT_COLUMNS), paths[0])
+    io.write_csv(manual.select(*io.MANUAL_COLUMNS), paths[1])
+    return L.linked(reports, io.read_subjects(spark, paths[0]), io.read_manual(spark, paths[1]))
+
+
+@query("s6_without_manual", f"with {U} select source_file, coalesce(id1, id2) subject_id, case when id1 is not null then 'name+age+sex' when b.source_file is not null then 'name+sex+age<=2' else '' end match_method from t1 left join b using (source_file)")
+def s6_without(spark, d):
+    """The manual table may be absent."""
+    reports, subjects, _ = parts(spark, d)
+    return L.linked(reports, subjects, io.read_manual(spark, scratch(spark, "absent"))).select("source_file", "subject_id", "match_method")
+
+
 @query("l8_coverage", f"with {U} select count(*) total, count(subject_id) matched, count(*) - count(subject_id) unmatched from linked")
 def l8(spark, d):
     return L.coverage(L.linked(*parts(spark, d)))
@@ -83,7 +102,7 @@ def l9(spark, d):
 
 G = f"""e as ({plain(EXAMS)}),
 v as ({plain(VISITS)}),
-f as (select subject_id, arg_min(record_id, source_file) record_id, arg_min(coalesce(exam_date, '~'), source_file) x from e group by 1),
+f as (select subject_id, arg_min(record_id, source_file) record_id, arg_min(coalesce(exam_date, '~'), source_file) x from e where subject_id is not null group by 1),
 j as (select v.*, record_id, try_strptime(nullif(x, '~'), '%Y-%m-%d') pdf, try_strptime(eeg_time, '%Y-%m-%d') own from v left join f using (subject_id)),
 gaps as (select subject_id, record_id, test_time::date test_date, eeg_time eeg_date_original, coalesce(pdf, own)::date eeg_date,
   case when pdf is not null then 'report' when own is not null then 'original' else 'missing' end eeg_date_source,

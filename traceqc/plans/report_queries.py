@@ -51,6 +51,10 @@ def pages_of(spark, d):
     return io.pages(frame(spark, d, DOCUMENTS))
 
 
+def sections_of(spark, d):
+    return R.with_sections(pages_of(spark, d).where("page_no = 1"))
+
+
 @query("s1_pages", f"with {PAGES_SQL} select source_file, n_pages, page_no, page_text from pages")
 def s1(spark, d):
     return pages_of(spark, d)
@@ -69,7 +73,7 @@ e as (select *, case when contains(rest, '结论：') then left(rest, strpos(res
     when contains(rest, '结论：') then substr(rest, strpos(rest, '结论：') + 3) else '' end concl from c)"""
 FIELDS_SQL = ", ".join(f"{field_sql('h', p)} {n}" for n, p in R.HEADER.items())
 REPORTS_SQL = f"""{SECTIONS_SQL},
-i as (select source_file, arg_min(regexp_extract(page_text, '编号[:：]\\s*(\\d+)', 1), page_no) any_id from pages where regexp_matches(page_text, '编号[:：]\\s*\\d+') group by 1),
+i as (select source_file, regexp_extract(t, '编号[:：]\\s*(\\d+)', 1) any_id from (select source_file, string_agg(page_text, chr(10) order by page_no) t from pages group by 1) where regexp_matches(t, '编号[:：]\\s*\\d+')),
 r as (select source_file, n_pages, {FIELDS_SQL}, {wrapped_sql("regexp_replace(eeg, '(?m)^-{3,}.*$', '', 'g')")} eeg_text, {wrapped_sql("topo")} topo_text,
   {wrapped_sql("string_split_regex(concl, '仅供参考|起点[0-9]+秒|处理长度')[1]")} conclusion from e),
 reports as (select r.* replace (coalesce(nullif(record_id, ''), any_id, '') as record_id) from r left join i using (source_file))"""
@@ -83,22 +87,18 @@ def t1(spark, d):
 
 @query("t3_wrapped_lines", f"with {SECTIONS_SQL} select source_file, {wrapped_sql('eeg')} joined from e")
 def t3(spark, d):
-    _, body = T.header_and_body(F.col("page_text"))
-    return pages_of(spark, d).where("page_no = 1").select("source_file", T.join_wrapped(T.sections(T.without_overlays(body))[0]).alias("joined"))
+    return sections_of(spark, d).select("source_file", T.join_wrapped(F.col("eeg")).alias("joined"))
 
 
 @query("t4_header_body", f"with {SECTIONS_SQL} select source_file, h header, body from e")
 def t4(spark, d):
-    header, body = T.header_and_body(F.col("page_text"))
-    return pages_of(spark, d).where("page_no = 1").select("source_file", header.alias("header"), T.without_overlays(body).alias("body"))
+    return sections_of(spark, d).select("source_file", "header", "body")
 
 
 @query("t6_sections", f"with {SECTIONS_SQL} select source_file, regexp_replace(eeg, '(?m)^-{{3,}}.*$', '', 'g') eeg, topo, string_split_regex(concl, '仅供参考|起点[0-9]+秒|处理长度')[1] conclusion from e")
 def t6(spark, d):
     """Overlays, sections, cut conclusion, rule lines."""
-    _, body = T.header_and_body(F.col("page_text"))
-    eeg, topo, concl = T.sections(T.without_overlays(body))
-    return pages_of(spark, d).where("page_no = 1").select("source_file", T.without_rules(eeg).alias("eeg"), topo.alias("topo"), T.cut_conclusion(concl).alias("conclusion"))
+    return sections_of(spark, d).select("source_file", T.without_rules(F.col("eeg")).alias("eeg"), "topo", T.cut_conclusion(F.col("conclusion")).alias("conclusion"))
 
 
 @query("t9_reports", f"with {REPORTS_SQL} select * from reports")
@@ -146,18 +146,18 @@ def t14(spark, d):
 @query("s3_waveform_json", NESTED_SQL)
 def s3(spark, d):
     """Nested records written as JSON and read back."""
-    with scratch(spark, "json") as path:
-        io.write_waveforms(R.nested(pages_of(spark, d)), path)
+    path = scratch(spark, "json")
+    io.write_waveforms(R.nested(pages_of(spark, d)), path)
     return flat_waves(io.read_waveforms(spark, path))
 
 
-LATEST_SQL = f"with {REPORTS_SQL} select case when length(record_id) > 2 then right(record_id, 2) else record_id end key, max(source_file) source_file, count(*) n from reports group by 1"
+LATEST_SQL = f"with {REPORTS_SQL} select case when length(record_id) > 2 then left(record_id, length(record_id) - 1) else record_id end key, max(source_file) source_file, count(*) n from reports group by 1"
 
 
 @query("s4_latest_report", f"select key, source_file from ({LATEST_SQL})")
 def s4(spark, d):
     """Of documents with one key, that of the last file stays."""
-    key = F.when(F.length("record_id") > 2, F.right("record_id", F.lit(2))).otherwise(F.col("record_id"))
+    key = F.when(F.length("record_id") > 2, F.left("record_id", F.length("record_id") - 1)).otherwise(F.col("record_id"))
     return io.latest(R.reports(pages_of(spark, d)).select(key.alias("key"), "source_file"), "key")
 
 
@@ -165,8 +165,8 @@ def s4(spark, d):
 def s2(spark, d):
     """Reports written as CSV and read back as strings; what was empty is null."""
     columns = ["source_file", "name", "medication", "eeg_text", "conclusion"]
-    with scratch(spark, "csv") as path:
-        io.write_csv(R.reports(pages_of(spark, d)).select(*columns), path)
+    path = scratch(spark, "csv")
+    io.write_csv(R.reports(pages_of(spark, d)).select(*columns), path)
     return io.read_csv(spark, path, columns)
 
 
@@ -223,7 +223,7 @@ def s5(spark, d):
     """Signals written as arrays of floats and read back."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     traces = e.groupBy(F.floor(F.col("vec_id") / 13).cast("int").alias("trace_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("samples"))
-    with scratch(spark, "signals") as path:
-        io.write_signals(traces, path)
+    path = scratch(spark, "signals")
+    io.write_signals(traces, path)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return io.read_signals(spark, path).select("trace_id", F.size("samples").alias("n"), F.round(total, 4).alias("total"))

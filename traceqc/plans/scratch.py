@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from traceqc.functions.lineage import own_dir
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession, name: str):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    yield f"{root}/{name}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"

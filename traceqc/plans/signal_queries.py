@@ -28,15 +28,17 @@ def value(v: str) -> str:
       when ch_idx = 0 then least(101.0, round(100+20*cast({v} as double), 2)) when ch_idx = 1 then round(160+20*cast({v} as double), 0) else round(100+60*ch_idx+20*cast({v} as double), 2) end as double)"""
 
 
-POINTS_SPARK = f"""select rec, page_no, ch_idx, j, {value("v")} y from (
-  select cast(1+floor(trace_id/12) as string) rec, cast(floor(trace_id/4) as int) page_no, cast(trace_id%4 as int) ch_idx, j, v from (
-    select cast(floor(vec_id/13) as int) trace_id, slice(flatten(transform(array_sort(collect_list(struct(vec_id, embedding))), x -> x.embedding)), 1, 800) y
-    from {{embeddings}} group by 1 having count(*) = 13) t lateral view posexplode(y) z as j, v) p"""
-POINTS = f"""t as (select cast(floor(vec_id/13) as int) trace_id, flatten(list(embedding order by vec_id))[1:800] y from embeddings group by 1 having count(*) = 13),
-p as (select (1 + trace_id//12)::varchar rec, (trace_id//4)::int page_no, (trace_id%4)::int ch_idx, unnest(range(800))::int j, unnest(y) v from t),
+SAMPLES = 800
+#: Value k of vector v is sample (64 v + k) of one long signal, cut into traces of 800 samples.
+AT = f"""select cast(floor(i/{SAMPLES}) as int) trace_id, cast(i%{SAMPLES} as int) j, v from"""
+PLACED = f"""select cast(1+floor(trace_id/12) as string) rec, cast(floor(trace_id/4) as int) page_no, cast(trace_id%4 as int) ch_idx, j, v from"""
+POINTS_SPARK = f"""select rec, page_no, ch_idx, j, {value("v")} y from ({PLACED} ({AT} (select vec_id*64 + k i, v from {{embeddings}} lateral view posexplode(embedding) z as k, v) a) t) p"""
+POINTS = f"""p as (select (1 + trace_id//12)::varchar rec, (trace_id//4)::int page_no, (trace_id%4)::int ch_idx, j, v from (
+  select (i//{SAMPLES})::int trace_id, (i%{SAMPLES})::int j, v from (select vec_id*64 + unnest(range(len(embedding))) i, unnest(embedding) v from embeddings))),
 q as (select rec, page_no, ch_idx, j, {value("v")} y from p)"""
-SEGMENT = """select a.rec, a.page_no, a.j*4+a.ch_idx seq, cast(round(50+cast(0.85 as double)*a.j, 2) as double) x0, a.y y0, cast(round(50+cast(0.85 as double)*(a.j+1), 2) as double) x1, b.y y1
-from {q} a join {q} b on a.rec=b.rec and a.page_no=b.page_no and a.ch_idx=b.ch_idx and b.j=a.j+1 where (a.j*7+a.ch_idx)%101<>0 and (a.page_no%5<>4 or a.j<120)"""
+#: One segment in 101, and most of every fifth page, does not advance in x.
+SEGMENT = """select a.rec, a.page_no, a.j*4+a.ch_idx seq, cast(round(50+cast(0.85 as double)*a.j, 2) as double) x0, a.y y0, cast(round(50+cast(0.85 as double)*(a.j + case when (a.j*7+a.ch_idx)%101=0 or (a.page_no%5=4 and a.j>=120) then 0 else 1 end), 2) as double) x1, b.y y1
+from {q} a join {q} b on a.rec=b.rec and a.page_no=b.page_no and a.ch_idx=b.ch_idx and b.j=a.j+1"""
 NAME = "case ch_idx when 0 then 'O1-A1' when 1 then 'O2-A2' when 2 then 'FP1-A1' else case when page_no%2=1 then '标记' else 'FP2-A2' end end"
 WORD = f"""select distinct rec, page_no, ch_idx seq, {NAME} text, cast(20 as double) x0, cast(95+60*ch_idx as double) top, cast(105+60*ch_idx as double) bottom from {{q}}
 union all select distinct rec, page_no, 10 + ch_idx, case ch_idx when 0 then concat('note', cast(page_no as string)) when 1 then '10:00:05' else '滤波' end, cast(200 as double), cast(10 as double), cast(20 as double) from {{q}}"""
@@ -90,7 +92,7 @@ def g5(spark, d):
 
 @query("g6_points", f"with {REBUILT} select * from pt")
 def g6(spark, d):
-    return G.points(G.assigned(*inputs(spark, d)))
+    return G.points(G.assigned(*inputs(spark, d))).drop("n")
 
 
 @query("g7_signals", f"with {REBUILT} select rec, page_no, ch_idx, ch, center, len(s)::int n, round(list_sum(s), 4) total, round(s[700], 4) at_700, round(s[1], 4) first, round(s[len(s)], 4) last from (select rec, page_no, ch_idx, list(y order by j) s from fil group by 1, 2, 3) join lab using (rec, page_no, ch_idx)")
@@ -163,12 +165,14 @@ def q4(spark, d):
 
 @query(
     "q1_calibration",
-    f"with {POINTS} select rec, page_no, {SENS} sensitivity, page_no%3 = 2 sens_missing, round({UV}, 9) \"uV_per_pt\", round(0.01*({UV}), 9) \"y_res_uV\", count(*)/8.0::double fs_len, round(1/0.85*30*72/25.4, 6) fs_paper from q where ch_idx = 0 group by 1, 2",
+    f"with {POINTS} select rec, page_no, {SENS} sensitivity, page_no%3 = 2 sens_missing, round({UV}, 9) \"uV_per_pt\", round(0.01*({UV}), 9) \"y_res_uV\", count(*)/8.0::double fs_len, round(1/0.85*30*72/25.4, 6) fs_paper, case when page_no%7=6 then 100.0 else count(*)/8.0::double end fs from q where ch_idx = 0 group by 1, 2",
 )
 def q1(spark, d):
     """Q1 and Q2: calibration, resolution and sampling rates of a page."""
     c = channels(spark, d).where("ch_idx = 0")
-    return c.select("rec", "page_no", "sensitivity", "sens_missing", F.round("uV_per_pt", 9).alias("uV_per_pt"), F.round("y_res_uV", 9).alias("y_res_uV"), "fs_len", F.round("fs_paper", 6).alias("fs_paper"))
+    # the number of points of every seventh page counts as unknown for the rate that is used
+    unknown = qc.with_calibration(c.withColumn("n_points", F.when(F.col("page_no") % 7 != 6, F.col("n_points")))).select("rec", "page_no", "fs")
+    return c.drop("fs").join(unknown, ["rec", "page_no"]).select("rec", "page_no", "sensitivity", "sens_missing", F.round("uV_per_pt", 9).alias("uV_per_pt"), F.round("y_res_uV", 9).alias("y_res_uV"), "fs_len", F.round("fs_paper", 6).alias("fs_paper"), "fs")
 
 
 SIGNAL = f"{POINTS}, mu as (select rec, page_no, ch_idx, avg(y) m, max(y) hi, min(y) lo, count(*) n from q group by 1, 2, 3), sg as (select q.*, m, hi, lo, n, -(y - m) * ({UV}) uv, {NAME} ch from q join mu using (rec, page_no, ch_idx))"

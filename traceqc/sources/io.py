@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WAVEFORM_SCHEMA = (
@@ -18,9 +18,15 @@ def pages(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(*(c for c in documents.columns if c != text), F.size(kept).alias("n_pages"), F.posexplode(kept).alias("page_no", "page_text")).withColumn("page_no", F.col("page_no") + 1)
 
 
+BOM = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, quotes doubled; texts may hold line ends."""
-    df.write.option("header", True).option("escape", '"').option("quoteAll", True).mode("overwrite").csv(path)
+    """CSV with a byte order mark and a header in each file, quotes doubled; texts may hold line ends and outer blanks."""
+    first, *others = df.columns
+    marked = df.select(F.col(first).alias(BOM + first), *others)
+    writer = marked.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.mode("overwrite").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -29,6 +35,27 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
 
 
+SUBJECT_COLUMNS, MANUAL_COLUMNS = ["subject_id", "name", "age", "sex"], ["record_id", "subject_id"]
+
+
+def read_subjects(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The table of subjects, all columns as strings; CSV, or Parquet where the path ends so."""
+    columns = SUBJECT_COLUMNS if columns is None else columns
+    if not path.rstrip("/").endswith(".parquet"):
+        return read_csv(spark, path, columns)
+    return spark.read.parquet(path).select(*(F.col(c).cast("string").alias(c) for c in columns))
+
+
+def read_manual(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The table of manual matches as strings, None where there is none."""
+    if path is None:
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return read_subjects(spark, path, MANUAL_COLUMNS)
+
+
 def write_waveforms(df: DataFrame, path: str) -> None:
     """One JSON object a line for each record."""
     df.write.mode("overwrite").json(path)
@@ -51,8 +78,3 @@ def write_signals(df: DataFrame, path: str) -> None:
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
