@@ -3,14 +3,17 @@
 A token budget goes down the tree. At each node it is shared among the children by weight; a child that can't use its
 share (its documents, repeated ``max_epochs`` times, are too few) takes what it can and the shortage goes to its
 siblings by weight. Only what no sibling can use reaches the parent's siblings, because a parent never takes more than
-its children can. Each leaf then reads its documents in seeded epochs (another order each time) until its budget is
+its children can: capacities are summed from the leaves up, and a leaf counts for nothing if it or a node above it has
+weight 0. Each leaf then reads its documents in seeded epochs (another order each time) until its budget is
 used: so many whole epochs, then a prefix of the next one.
 
 The prefix is found without bringing a leaf together: an epoch's order is by hash, leaves are cut into ``16 **
 bucket_digits`` hash ranges, sums of ranges tell where the budget ends, and only within ranges rows are ordered.
 
 Defined results: null texts have no tokens; null languages or sources are the node ``(none)``; nodes without a given
-weight have weight 1, those of weight 0 get nothing; repeated rows count each, and rows of one id are selected together; an empty table gives an empty result.
+weight have weight 1, those of weight 0 get nothing; repeated rows count each, and rows of one id are selected together
+(so are those whose hashes tie); texts of any length count whole; columns of names that are used here are kept aside by
+``mixture`` and ignored by ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,7 +82,10 @@ def fill(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """One row for each leaf: its tokens, whole epochs and the tokens of the last, partial one."""
-    nodes = leaves.withColumn("cap", F.col("tokens") * float(mix.max_epochs))
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ &= weight_of(level, mix) > 0
+    nodes = leaves.withColumn("cap", F.when(open_, F.col("tokens") * float(mix.max_epochs)).otherwise(F.lit(0.0)))
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(mix.budget_share)).cast("double").alias("budget"))
     out = None
     for depth in range(len(LEVELS)):
@@ -158,47 +164,61 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-def _level(name: str, keys: list[str], weight: str, above: str, budget: str) -> str:
+def _weight(level: str, mix: Mix) -> str:
+    given = mix.weights.get(level) or {}
+    return f"case {_column(level)} " + " ".join(f"when '{n}' then {float(w)}::double" for n, w in given.items()) + " else 1.0::double end" if given else "1.0::double"
+
+
+def _column(level: str) -> str:
+    return f'"{level}"'
+
+
+def _level(name: str, keys: list[str], mix: Mix, above: str) -> str:
     """SQL of one level of the tree."""
     part = f"partition by {', '.join(keys[:-1])}" if keys[:-1] else ""
     cols = ", ".join(keys)
     link = f"join {above} using ({', '.join(keys[:-1])})" if keys[:-1] else f"cross join {above}"
+    ratio = "case when w > 0 then cap / w end"
     return f"""
-{name}_n as (select {cols}, sum(cap) cap, {weight} w from leaves group by {cols}),
+{name}_n as (select {cols}, sum(cap) cap, {_weight(keys[-1].strip('"'), mix)} w from leaves group by {cols}),
 {name}_r as (
   select {cols}, cap, w, row_number() over o place,
-    ({budget} - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0.0)) / sum(w) over (o rows between current row and unbounded following) rate
-  from {name}_n {link} window o as ({part} order by cap / w, {cols})),
-{name}_f as (select *, min(case when cap > rate * w then place end) over ({part}) f from {name}_r),
+    (budget - coalesce(sum(case when w > 0 then cap else 0.0 end) over (o rows between unbounded preceding and 1 preceding), 0.0)) / nullif(sum(w) over (o rows between current row and unbounded following), 0.0) rate
+  from {name}_n {link} window o as ({part} order by {ratio} nulls last, {cols})),
+{name}_f as (select *, min(case when w > 0 and cap > rate * w then place end) over ({part}) f from {name}_r),
 {name} as (
-  select {cols}, case when f is null then cap else least(cap, max(case when place = f then rate end) over ({part}) * w) end budget
+  select {cols}, case when w <= 0 then 0.0 when f is null then cap else least(cap, max(case when place = f then rate end) over ({part}) * w) end budget
   from {name}_f)"""
 
 
-ORACLE = (
-    r"""
+def oracle_for(mix: Mix) -> str:
+    """DuckDB SQL for ``mixed`` over a table ``documents``."""
+    levels = [_column(x) for x in LEVELS]
+    cols = ", ".join(levels)
+    is_open = " and ".join(f"{_weight(x, mix)} > 0" for x in LEVELS)
+    return (
+        rf"""
 with d as (
-  select doc_id, coalesce('domain' || (nullif(regexp_extract(source, '(\d{1,9})$', 1), '')::bigint % 4), 'other') domain,
-    coalesce(lang, '(none)') "language", coalesce(source, '(none)') leaf_source,
+  select doc_id, coalesce('domain' || (nullif(regexp_extract(source, '(\d{{1,9}})$', 1), '')::bigint % 4), 'other') "domain",
+    coalesce(lang, '(none)') "language", coalesce(source, '(none)') "leaf_source",
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) n_tokens
   from documents),
-leaves as (select domain, "language", leaf_source, sum(n_tokens)::bigint tokens, sum(n_tokens) * 3.0::double cap from d group by all),
-total as (select floor(sum(tokens) * 0.6::double) budget from leaves),"""
-    + _level("l1", ["domain"], "case domain when 'domain0' then 4.0::double when 'domain1' then 3.0 when 'domain2' then 2.0 else 1.0 end", "total", "budget")
-    + ","
-    + _level("l2", ["domain", '"language"'], "case \"language\" when 'en' then 5.0::double when 'de' then 2.0 when 'fr' then 2.0 else 1.0 end", "l1", "budget")
-    + ","
-    + _level("l3", ["domain", '"language"', "leaf_source"], "1.0::double", "l2", "budget")
-    + r""",
+leaves as (select {cols}, sum(n_tokens)::bigint tokens, case when {is_open} then sum(n_tokens) * {float(mix.max_epochs)}::double else 0.0 end cap from d group by {cols}),
+total as (select floor(sum(tokens) * {mix.budget_share}::double) budget from leaves),"""
+        + ",".join(_level(f"l{k + 1}", levels[: k + 1], mix, f"l{k}" if k else "total") for k in range(len(levels)))
+        + rf""",
 plan as (
-  select domain, "language", leaf_source, tokens, least(floor(budget + 1e-6)::bigint, tokens * 3) goal,
+  select {cols}, tokens, least(floor(budget + 1e-6)::bigint, tokens * {mix.max_epochs}) goal,
     case when tokens > 0 then goal // tokens else 0 end whole, goal - whole * tokens rest
-  from leaves join l3 using (domain, "language", leaf_source)),
-k as (select d.*, whole, rest, md5('mix:' || whole || ':' || doc_id) key from d join plan using (domain, "language", leaf_source)),
+  from leaves join l3 using ({cols})),
+k as (select d.*, whole, rest, md5('{mix.seed}:' || whole || ':' || doc_id) key from d join plan using ({cols})),
 s as (
-  select *, coalesce(sum(n_tokens) over (partition by domain, "language", leaf_source order by key, n_tokens rows between unbounded preceding and 1 preceding), 0) before_
+  select *, coalesce(sum(n_tokens) over (partition by {cols} order by key, n_tokens rows between unbounded preceding and 1 preceding), 0) before_
   from k)
-select doc_id, domain, "language", leaf_source, n_tokens::bigint n_tokens, (whole + (before_ < rest)::int)::bigint copies
+select doc_id, {cols}, n_tokens::bigint n_tokens, (whole + (before_ < rest)::int)::bigint copies
 from s where whole + (before_ < rest)::int > 0
 """
-)
+    )
+
+
+ORACLE = oracle_for(Mix())
