@@ -81,7 +81,7 @@ def test_rows_of_null_and_present_keys(spark):
 
 
 def test_what_is_between_steps_is_released(tmp_path, spark, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr("traceqc.functions.lineage.shared_dir", lambda _: str(tmp_path))
     common.cut(spark.range(3))
     assert list(tmp_path.iterdir())
     common.released(spark)

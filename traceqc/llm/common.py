@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceqc.functions.lineage import cut, own_dir, released, shared_dir
+
+__all__ = ["cut", "fresh", "let", "narrowed", "own_dir", "released", "shared_dir", "split", "table", "without", "words_of"]
+
 #: What separates words in most contracts: space, tab, LF, VT, FF, CR.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -17,42 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is that of ``spark.checkpoint.dir``. Only a local master, where all run on one machine, may go without one.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def own_dir(spark: SparkSession) -> str:
-    """What this application writes between steps lies here."""
-    return f"{shared_dir(spark)}/traceqc-{spark.sparkContext.applicationId}"
-
-
-def released(spark: SparkSession) -> None:
-    """Deletes what this application wrote between steps; results that were not read to their end are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again.
-
-    A lost executor costs no recomputation, and the planner knows the table's real size; a checkpoint would keep the
-    estimate of the plan behind it, which grows with each join of a loop.
-    """
-    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, whatever number of times ``body`` names it."""
     return F.transform(F.array(value), body)[0]
