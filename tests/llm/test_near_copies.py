@@ -29,7 +29,7 @@ def varied(seed):
     return [*rows, rows[9], rows[9]]
 
 
-@pytest.mark.parametrize("width,percent,sizes", [(3, 90, {}), (5, 80, {}), (3, 90, {"block": 3, "cell": 2, "pivots": 2}), (3, 70, {"block": 2, "cell": 3, "pivots": 3})])
+@pytest.mark.parametrize("width,percent,sizes", [(3, 90, {}), (5, 80, {}), (3, 90, {"block": 300, "cell": 2, "pivots": 2}), (3, 70, {"block": 150, "cell": 3, "pivots": 3})])
 def test_components_equal_brute_force(spark, width, percent, sizes):
     rows = varied(width + percent)
     got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(width=width, percent=percent, **sizes)).collect()
@@ -57,7 +57,7 @@ def test_a_large_region_is_joined_in_recursion(spark):
         for _ in range(rng.choice([1, 2, 4, 8])):
             copy[rng.randrange(200)] = f"x{rng.random()}"
         rows.append((i, " ".join(copy)))
-    got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(block=16, cell=4, pivots=3)).collect()
+    got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(block=3000, cell=4, pivots=3)).collect()
     assert sorted(tuple(r) for r in got) == brute.components(rows, 3, 90)
 
 
@@ -76,13 +76,20 @@ def test_repeats_equal_brute_force(spark):
         rows.append((i, text))
     rows += [rows[20], (7, "another text of the same id " * 9), (None, rows[30][1]), (None, "without an id " * 12)]
     key = lambda r: str(r)
-    for length in (200, 40):
-        got = suffix_dedup.removed(frame(spark, rows), suffix_dedup.Dedup(length=length, block_bytes=4000))
-        if length < 2 * suffix_dedup.COVER:
-            continue
+    for length, most in ((200, 4096), (200, 2), (80, 3)):
+        got = suffix_dedup.removed(frame(spark, rows).repartition(5), suffix_dedup.Dedup(length=length, block_bytes=4000, most_holders=most))
         assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(brute.repeats(rows, length), key=key)
 
 
+def test_a_passage_that_all_documents_hold(spark):
+    """It makes no large block: what is sorted at once stays small, and the counts are whole."""
+    passage = "".join(random.Random(2).choice("abcdefgh ") for _ in range(320))
+    rows = spark.range(20_000).selectExpr("id doc_id", f"concat('own ', id, ' ', '{passage}', ' end ', id * 7) text")
+    got = suffix_dedup.removed(rows).groupBy("n_removed", "n_spans").count().collect()
+    sizes = sorted((r.n_removed, r.n_spans, r["count"]) for r in got)
+    assert sum(n for *_, n in sizes) == 20_000 and all(r >= len(passage) and s == 1 for r, s, _ in sizes)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert suffix_dedup.removed(frame(spark, [])).count() == 0
 

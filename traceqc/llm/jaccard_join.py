@@ -2,7 +2,9 @@
 
 A document is its set of hashed shingles; 1 - Jaccard similarity is a metric. Documents of equal sets are one class.
 
-Pivots and regions: most documents are at distance 1 from any pivot, so a pivot only draws those it can matter for. With
+Pivots and regions: almost all documents are about as far from the nearest of some random pivots as from all others (of
+9,270 sets, with 64 pivots 99 % at 0.8 or more, so that windows send a document to 63.4 regions; with 512 to 477), so a
+pivot only draws those it can matter for. With
 shingles in hash order, two sets that link share ``ell`` of their first ``m + ell`` shingles, ``m`` being how many
 shingles a set may lack in the other and ``ell`` a share of the smaller ``m`` plus 1. Classes that share too few of these with
 any others can't link and drop out. For each such shingle the smallest class that holds it is the pivot, and every
@@ -12,8 +14,8 @@ rarest make regions, as many as are needed for that.
 Regions join recursively: a region of more than ``cell`` members picks pivots among them, each member goes to its
 nearest pivot, and, by the triangle inequality, also to every pivot at most ``2 * eps`` farther (``eps`` is the link
 distance), so no link crosses cells; the cells do the same. Small cells, and cells that no longer shrink, are joined by
-exact intersection counts in blocks. A region of more than ``block`` members is dealt out in parts, each with the pivot.
-Members that are linked to the pivot within their part need no test among each other; only the others (the outer ones)
+exact intersection counts in blocks. A region of more than ``block`` shingles is dealt out in parts, each with the pivot, so
+what a task holds is bounded in bytes, however long its documents are. Members that are linked to the pivot within their part need no test among each other; only the others (the outer ones)
 are then sent to all parts of their region and tested there. Tasks return spanning forests of links, not all pairs.
 
 Defined results: a null or blank text has the empty set and links with nothing; a text of fewer words than a shingle has
@@ -40,12 +42,12 @@ from traceqc.llm.components import components
 
 @dataclass(frozen=True)
 class Join:
-    """Words of a shingle, least similarity in per cent, and sizes of blocks and cells (classes)."""
+    """Words of a shingle, least similarity in per cent, and sizes of blocks (shingles) and cells (classes)."""
 
     width: int = 3
     percent: int = 90
-    block: int = 2048
-    cell: int = 128
+    block: int = 1 << 20
+    cell: int = 32
     pivots: int = 8
     share: float = 0.5  # of the shingles a set may lack, that linked sets must share in hash order besides
 
@@ -89,7 +91,7 @@ def signatures(docs: DataFrame, join: Join, id_col: str) -> DataFrame:
 
 
 def regions(classes: DataFrame, join: Join) -> DataFrame:
-    """(pivot, member, members) for the classes (rep, n, head) that may link.
+    """(pivot, member, size) for the classes (rep, n, head) that may link; ``size`` counts the shingles of a region.
 
     Two classes that link share at least ``needed`` shingles of their heads. Those with fewer shared ones drop out; of
     the others' shared shingles, all but the ``needed - 1`` most frequent ones still hold one that both have, so only
@@ -113,12 +115,13 @@ def regions(classes: DataFrame, join: Join) -> DataFrame:
     pivots = rare.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1").select("token", "pivot")
     member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member"))
     member = member.union(pivots.select("pivot", F.col("pivot").alias("member"))).distinct()
-    several = member.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
-    member = cut(member.join(several, "pivot"))
+    member = member.join(classes.select(F.col("rep").alias("member"), "n"), "member")
+    several = member.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1").drop("members")
+    member = cut(member.drop("n").join(several, "pivot"))
     own = held.groupBy("rep").agg(F.collect_list("token").alias("set")).join(needs, "rep").withColumnRenamed("rep", "member")
-    large = F.col("members") > join.block
-    tight = member.where(~large).join(own, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, members long")
-    return cut(tight.unionByName(member.where(large).select("pivot", "member", "members")))
+    large = F.col("size") > join.block
+    tight = member.where(~large).join(own, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, size long")
+    return cut(tight.unionByName(member.where(large).select("pivot", "member", "size")))
 
 
 def promising(join: Join):
@@ -129,17 +132,23 @@ def promising(join: Join):
         bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
         needed = rows.column("needed").to_numpy()
         cells = Cells([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], join)
-        every, keep = np.arange(len(needed)), np.zeros(len(needed), bool)
-        for i in range(0, len(every), 512):
-            part = every[i : i + 512]
-            enough = cells.common(part, every) >= np.minimum(needed[part][:, None], needed[None, :])
-            enough[np.arange(len(part)), part] = False
-            keep[part] = enough.any(axis=1)
-        return rows.select(["pivot", "member", "members"]).filter(pa.array(keep))
+        keep = np.zeros(len(needed), bool)
+        pieces = list(cells.pieces(np.arange(len(needed))))
+        for k, some in enumerate(pieces):
+            for others in pieces[k:]:
+                enough = cells.common(some, others) >= np.minimum(needed[some][:, None], needed[others][None, :])
+                enough &= some[:, None] != others[None, :]
+                keep[some] |= enough.any(axis=1)
+                keep[others] |= enough.any(axis=0)
+        return rows.select(["pivot", "member", "size"]).filter(pa.array(keep))
 
     return region
 
 
+#: Members and shingles that are compared at once.
+MEMBERS, SPAN = 1024, 1 << 18
+
+
 class Cells:
     """The recursive exact join of one region."""
 
@@ -155,6 +164,16 @@ class Cells:
         self.token = where[common]
         self.parent = np.arange(len(sets))
 
+    def pieces(self, members: np.ndarray) -> Iterator[np.ndarray]:
+        """``members`` in parts of ``MEMBERS`` and about ``SPAN`` shingles at most, one member at least."""
+        total = np.cumsum(self.first[members + 1] - self.first[members])
+        at = 0
+        while at < len(members):
+            before = total[at - 1] if at else 0
+            to = min(at + MEMBERS, max(at + 1, int(np.searchsorted(total, before + SPAN, "right"))))
+            yield members[at:to]
+            at = to
+
     def root(self, x: int) -> int:
         while self.parent[x] != x:
             self.parent[x] = x = self.parent[self.parent[x]]
@@ -192,11 +211,11 @@ class Cells:
 
     def run(self, members: np.ndarray) -> None:
         if len(members) <= self.join.cell:
-            return self.link(members, members)
+            return self.blocks(members)
         # farthest-first pivots, from the first member on
         chosen, distance = [0], None
         while True:
-            inter = self.common(members, members[chosen[-1:]])[:, 0]
+            inter = np.concatenate([self.common(part, members[chosen[-1:]])[:, 0] for part in self.pieces(members)])
             d = 1 - inter / (self.n[members] + self.n[members[chosen[-1]]] - inter)
             distance = d[:, None] if distance is None else np.concatenate([distance, d[:, None]], axis=1)
             far = int(distance.min(axis=1).argmax())
@@ -214,16 +233,15 @@ class Cells:
                 self.run(cell)
 
     def against(self, some: np.ndarray, members: np.ndarray) -> None:
-        step = 1024
-        for i in range(0, len(some), step):
-            for j in range(0, len(members), step):
-                self.link(some[i : i + step], members[j : j + step])
+        for part in self.pieces(some):
+            for others in self.pieces(members):
+                self.link(part, others)
 
     def blocks(self, members: np.ndarray) -> None:
-        step = 1024
-        for i in range(0, len(members), step):
-            for j in range(i, len(members), step):
-                self.link(members[i : i + step], members[j : j + step])
+        pieces = list(self.pieces(members))
+        for k, part in enumerate(pieces):
+            for others in pieces[k:]:
+                self.link(part, others)
 
 
 def links(docs: DataFrame, member: DataFrame, join: Join, id_col: str) -> DataFrame:
@@ -269,7 +287,7 @@ def links(docs: DataFrame, member: DataFrame, join: Join, id_col: str) -> DataFr
     texts = docs.select(F.col(id_col).cast("long").alias("member"), "text")
     texts = narrowed(texts, needed, "member").join(needed, "member")
     sets = texts.mapInArrow(read, "member long, set array<long>")
-    parts = F.ceil(F.col("members") / join.block).cast("int")
+    parts = F.ceil(F.col("size") / join.block).cast("int")
     dealt = member.withColumn("parts", parts).withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("member"), parts)).otherwise(-1).cast("int"))
     # the pivot goes to all parts
     pivots = dealt.where("parts > 1 and pivot = member").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
