@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from traceqc.llm.common import cut, let, table, words_of
 
-SYMBOLS = "#*$%&|<>"
-BLANK_CHARS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
+#: More than the words of any text: a longer one has no room in an array of strings.
+PLACES = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -36,45 +37,60 @@ class Rules:
     good_share: float = 0.5  # share of the prior's mean below which a domain may keep documents with one failure
 
 
+def windows(h: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` of the hashes ``h`` (as many at least)."""
+    return F.transform(F.slice(h, F.lit(1), F.size(h) - (width - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width))))
+
+
 def repeated_words(words: Column, width: int) -> Column:
     """Words that stand in a window of ``width`` words found twice or more in the same text.
 
-    Windows are hashed, sorted with their places and compared with their neighbours: n log n for a text of n words.
+    Words are hashed once, and windows from these hashes. Where two windows are equal, numbers made of the upper bits of
+    a hash and of the place are sorted; those whose upper bits have an equal neighbour are compared in full: n log n
+    for a text of n words.
     """
 
-    def places(by_hash: Column) -> Column:
-        same = lambda k, step: F.get(by_hash, k + step)["h"] == F.get(by_hash, k)["h"]
-        found = F.filter(F.sequence(F.lit(0), F.size(by_hash) - 1), lambda k: F.coalesce(same(k, -1), F.lit(False)) | F.coalesce(same(k, 1), F.lit(False)))
-        return F.sort_array(F.transform(found, lambda k: F.get(by_hash, k)["p"]))
-
     def covered(at: Column) -> Column:
         step = lambda k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - F.get(at, k), F.lit(width)))
-        return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), F.lit(0), lambda total, k: total + step(k)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), F.lit(0), lambda total, k: total + step(k))
+
+    def twice(pairs: Column, same) -> Column:
+        """Of sorted ``pairs``, those that are the ``same`` as a neighbour."""
+        near = lambda x, y: F.coalesce(same(x, y), F.lit(False))
+        return F.filter(pairs, lambda x, k: near(x, F.get(pairs, k + 1)) | near(x, F.get(pairs, k - 1)))
+
+    def found(w: Column) -> Column:
+        low, high = (F.lit(m).cast("long") for m in (PLACES - 1, -PLACES))
+        packed = F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+        close = let(packed, lambda s: twice(s, lambda x, y: x.bitwiseXOR(y).bitwiseAND(high) == 0))
+        full = F.sort_array(F.transform(F.transform(close, lambda x: x.bitwiseAND(low).cast("int")), lambda p: F.struct(F.get(w, p).alias("h"), p.alias("p"))))
+        places = let(full, lambda s: F.transform(twice(s, lambda x, y: x["h"] == y["h"]), lambda x: x["p"]))
+        return let(F.sort_array(places), covered)
 
-    def windows(w: Column) -> Column:
-        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, width)).alias("h"), i.alias("p"))))
+    def counted(w: Column) -> Column:
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(found(w))
 
-    return let(words, lambda w: F.when(F.size(w) < width, F.lit(0)).otherwise(let(windows(w), lambda s: let(places(s), covered))))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < width, F.lit(0)).otherwise(let(hashes, lambda h: let(windows(h, width), counted)))
 
 
 def measures(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", domain_col: str = "source") -> DataFrame:
     """One slim row for each document: its domain, counts and failed rules."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANK_CHARS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.col(domain_col).alias("domain"),
         words_of(F.col("text")).alias("words"),
-        F.length(F.translate(text, BLANK_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     ).select(
         "doc_id",
         "text_hash",
         "domain",
         F.size("words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.col("lines.dup").alias("n_dup_lines"),
         F.col("lines.n").alias("n_lines"),
