@@ -79,9 +79,9 @@ def without(df: DataFrame, gone: DataFrame, key: str, also: tuple[str, ...] = ()
 
     A null key is in ``gone`` if a null key is there.
     """
-    keys = (key, *also)
-    right = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
-    on = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    named = {k: fresh(df, f"_gone_{k}") for k in (key, *also)}
+    right = gone.select(*(F.col(k).alias(name) for k, name in named.items()))
+    on = [F.col(k).eqNullSafe(F.col(name)) for k, name in named.items()]
     maybe, sure = split(df, gone, key)
     left = maybe.join(right, on, "left_anti")
     return left if sure is None else sure.unionByName(left)
