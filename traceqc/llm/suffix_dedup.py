@@ -11,11 +11,14 @@ bytes; strings never cross documents; equal texts are one class, of which one co
    last ``COVER`` bytes. Long ties are resolved by ranks precomputed for the sample positions of a difference cover
    modulo ``COVER``: for any two positions i and j the cover has a shift below ``COVER`` that takes both to samples, and
    equal ranks there say that the ``length - COVER + 1`` bytes from these on are equal; with the first and last bytes,
-   the whole strings are.
-3. Ranges of removed bytes come back to their documents and are merged there.
+   the whole strings are. Strings that are found equal are compared byte by byte before they count.
+3. A bucket that more than ``most_holders`` texts share (a passage that a large part of the corpus holds) would be a block
+   too large to sort. Its strings are told apart by two hashes of 64 bits instead and counted by a pre-aggregated
+   grouping, so no task holds more of it than its own part.
+4. Ranges of removed bytes come back to their documents and are merged there.
 
 Runs of suffixes that cover the same bytes (copies of a passage, periodic text) are merged within tasks before
-anything is shuffled. Hashes have 64 bits.
+anything is shuffled.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than ``length`` keep all; repeated rows
 are copies of each other; rows may lack an id; an empty table gives an empty result; texts of any length are read whole; further columns are
@@ -50,6 +53,7 @@ U = np.uint64
 class Dedup:
     length: int = 200
     block_bytes: int = 4 << 20  # of shipped bytes sorted at once, about
+    most_holders: int = 4096  # texts of a bucket that is sorted
 
 
 def shifts() -> np.ndarray:
@@ -143,12 +147,24 @@ def equal_suffixes(data: np.ndarray, bucket: np.ndarray, first: np.ndarray, coun
         x = shift[p[todo] % COVER, p[head] % COVER]
         same = rank[p[todo] + x] == rank[p[head] + x]
         partner = same & ~new
+        pairs = np.flatnonzero(partner)
+        partner[pairs] = equal_bytes(data, p[todo[pairs]], p[head[pairs]], length)
+        same &= partner | new
         found[todo[partner]] = True
         found[head[partner]] = True
         todo, key = todo[~same], key[~same]
     return found
 
 
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, most: int = 1 << 16) -> np.ndarray:
+    """Whether the strings of ``length`` bytes at ``a`` and ``b`` are equal, some at a time."""
+    out = np.ones(len(a), bool)
+    view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
+    for k in range(0, len(a), most):
+        out[k : k + most] = (view[a[k : k + most]] == view[b[k : k + most]]).all(axis=1)
+    return out
+
+
 def ranges(flags: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of stretches of set flags that stay in one run."""
     fresh, last = flags.copy(), flags.copy()
@@ -176,6 +192,18 @@ def bucket_rows(texts: DataFrame, dedup: Dedup) -> DataFrame:
     return texts.mapInArrow(run, "bucket long, class long, twice boolean")
 
 
+def held_runs(part: pa.RecordBatch, column: str, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Which runs are in the buckets that ``column`` lists for their text."""
+    shared = part.column(column)
+    bounds, flat = shared.offsets.to_numpy(), shared.values.to_numpy()
+    take = np.zeros(len(doc), bool)
+    edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    for d in range(part.num_rows):
+        mine = slice(edge[d], edge[d + 1])
+        take[mine] = np.isin(bucket[mine], flat[bounds[d] : bounds[d + 1]])
+    return take
+
+
 SHIPPED = "block int, doc long, start long, bucket long, n int, place int, certain boolean, body binary"
 
 
@@ -191,14 +219,8 @@ def shipped_runs(texts: DataFrame, dedup: Dedup, blocks: int) -> DataFrame:
         for batch in batches:
             for part, data, offsets in grams.sliced(batch):
                 doc, bucket, start, count, place = runs(data, offsets, length)
-                shared = part.column("buckets")
-                bounds, flat = shared.offsets.to_numpy(), shared.values.to_numpy()
-                take = np.zeros(len(doc), bool)
-                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 signed = bucket.view(np.int64)
-                for d in range(part.num_rows):
-                    mine = slice(edge[d], edge[d + 1])
-                    take[mine] = np.isin(signed[mine], flat[bounds[d] : bounds[d + 1]])
+                take = held_runs(part, "buckets", doc, signed)
                 doc, bucket, start, count, place = (x[take] for x in (doc, bucket, start, count, place))
                 if not len(doc):
                     continue
@@ -207,6 +229,10 @@ def shipped_runs(texts: DataFrame, dedup: Dedup, blocks: int) -> DataFrame:
                 ids = part.column("doc_id").to_numpy()
                 begin = start - offsets[doc]
                 body = [data[a : a + n + length - 1].tobytes() for a, n in zip(start[head], count[head])]
+                # equal hashes count only for equal bytes
+                alike = np.array([data[a : a + n + length - 1].tobytes() == body[k] if times[k] > 1 else True for a, n, k in zip(start, count, back)])
+                if not alike.all():
+                    raise ValueError("two runs of different bytes have one hash of 64 bits")
                 known = np.flatnonzero(times[back] > 1)
                 nulls = pa.nulls(len(known), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -251,6 +277,45 @@ def sort_block(length: int):
     return block
 
 
+def hot_spans(texts: DataFrame, dedup: Dedup) -> DataFrame:
+    """(doc, lo, hi): the repeated strings of the buckets that too many texts hold, by pre-aggregated counts of hashes."""
+    length, half = dedup.length, dedup.length // 2
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in grams.sliced(batch):
+                doc, bucket, start, count, _ = runs(data, offsets, length)
+                take = held_runs(part, "hot", doc, bucket.view(np.int64))
+                doc, start, count = doc[take], start[take], count[take]
+                if not len(doc):
+                    continue
+                run = np.repeat(np.arange(len(start)), count)
+                at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+                hashes = Hashes(data)
+                one, two = hashes.of(at, length), grams.mix(hashes.of(at, half) * U(0x9E3779B97F4A7C15) + hashes.of(at + half, length - half))
+                pair, head, back, times = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+                # strings that repeat within the slice are known; one of each tells the others
+                a, b = ranges(times[back.ravel()] > 1, run)
+                ids = part.column("doc_id").to_numpy()
+                local = at - offsets[doc[run]]
+                n = len(a)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(pair[:, 0].view(np.int64)), pa.nulls(n, pa.int64())]),
+                        pa.concat_arrays([pa.array(pair[:, 1].view(np.int64)), pa.nulls(n, pa.int64())]),
+                        pa.array(np.concatenate([ids[doc[run[head]]], ids[doc[run[a]]] if n else a])),
+                        pa.array(np.concatenate([local[head], local[a] if n else a])),
+                        pa.array(np.concatenate([local[head] + length, local[b - 1] + length if n else b])),
+                    ],
+                    ["one", "two", "doc", "lo", "hi"],
+                )
+
+    found = cut(texts.where(F.size("hot") > 0).mapInArrow(strings, "one long, two long, doc long, lo long, hi long"))
+    single = found.where("one is not null")
+    twice = single.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    return single.join(twice, ["one", "two"]).select("doc", "lo", "hi").unionByName(found.where("one is null").select("doc", "lo", "hi"))
+
+
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the ranges of each document and digests what remains of its text."""
     for batch in batches:
@@ -278,16 +343,19 @@ def removed(docs: DataFrame, dedup: Dedup = Dedup(), id_col: str = "doc_id") ->
     signed = long.withColumn("sha", F.sha2("text", 256))
     rows = bucket_rows(signed.select("text", F.xxhash64("sha").alias("class")), dedup)
     same = Window.partitionBy("bucket")
-    rows = rows.withColumn("shared", (F.min("class").over(same) != F.max("class").over(same)) | F.max("twice").over(same)).where("shared")
-    rows = rows.groupBy("class").agg(F.collect_set("bucket").alias("buckets"))
+    rows = rows.withColumn("shared", (F.min("class").over(same) != F.max("class").over(same)) | F.max("twice").over(same))
+    rows = rows.withColumn("many", F.count("*").over(same) > dedup.most_holders).where("shared")
+    rows = rows.groupBy("class").agg(F.collect_set(F.when(~F.col("many"), F.col("bucket"))).alias("buckets"), F.collect_set(F.when(F.col("many"), F.col("bucket"))).alias("hot"))
     # of each class, one copy: that of its smallest id
     held = classes.select(F.xxhash64("sha").alias("class"), "rep", "sha")
-    wanted = cut(rows.join(held, "class").select(F.col("rep").alias("doc_id"), "sha", "buckets"))
+    wanted = cut(rows.join(held, "class").select(F.col("rep").alias("doc_id"), "sha", "buckets", "hot"))
     total = wanted.agg(F.sum(F.size("buckets"))).first()[0] or 0
     blocks = max(1, total * (dedup.length + dedup.length // 3) // dedup.block_bytes)
     chosen = narrowed(signed, wanted, "doc_id").join(wanted, ["doc_id", "sha"]).dropDuplicates(["sha"])
-    chosen = chosen.select(F.xxhash64("sha").alias("doc_id"), "text", "buckets")
+    chosen = chosen.select(F.xxhash64("sha").alias("doc_id"), "text", "buckets", "hot")
     spans = shipped_runs(chosen, dedup, int(blocks)).groupBy("block").applyInArrow(sort_block(dedup.length), "doc long, lo long, hi long")
+    if wanted.where(F.size("hot") > 0).limit(1).count():
+        spans = spans.unionByName(hot_spans(chosen, dedup))
     spans = spans.groupBy(F.col("doc").alias("class")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     hit = cut(spans.join(classes.where("copies = 1").select(F.xxhash64("sha").alias("class"), F.col("rep").alias("doc_id"), "sha"), "class").drop("class"))
     done = narrowed(signed, hit, "doc_id").join(hit, ["doc_id", "sha"]).mapInArrow(cleaned, "sha string, n_removed long, n_spans long, kept_sha256 string")
