@@ -122,7 +122,7 @@ def test_classifier_on_held_out_documents(spark):
     """Fitted without a third of the labels, it separates these."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id < 6000")
-    out = quality_classifier.scored(docs, labels.where("doc_id % 3 <> 0"), quality_classifier.Training(max_labelled=1500, pool=500))
+    out = quality_classifier.scored(docs, labels.where("doc_id % 3 <> 0"), quality_classifier.Training(max_labelled=1500))
     rows = out.join(labels.where("doc_id % 3 = 0"), "doc_id").selectExpr("quality = 1 and toxic = 0 y", "score", "kept").collect()
     good, bad = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
     assert np.mean([g > b for g in good for b in bad]) > 0.88

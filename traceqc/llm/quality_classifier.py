@@ -2,30 +2,34 @@
 
 The text view sees hashed words, hashed word endings and a few shares of the text; the metadata view sees language,
 source and length. Each is a logistic regression, fitted on a bounded sample of labelled documents (``max_labelled``)
-and, round by round, on pseudo-labels: the documents of a bounded pool (``pool``) about which the other view is most
-confident. Held-out labelled documents then calibrate both views and weigh them against each other; the calibrated
-combination scores every document in one pass with weight vectors of fixed size. Good is ``quality = 1`` and not toxic.
+and, round by round, on pseudo-labels: in each round both views score all documents without a label in one pass, and
+those about which one view is most confident (``exchanged`` of each kind, more in later rounds) are labels for the other.
+Held-out labelled documents then calibrate both views and weigh them against each other; the calibrated combination
+scores every document in one pass with weight vectors of fixed size. Good is ``quality = 1`` and not toxic.
 
-Both samples are the smallest hashes of document ids, so they are the same in every run; only they reach the driver.
+The labelled sample is that of the smallest hashes of ids, so it is the same in every run. Only it and the exchanged
+documents reach the driver, one row an id.
 
 Defined results: null and empty texts have the empty text view; null languages and sources are values of their own; a
-document labelled more than once counts with its worst labels; without labels of both kinds all documents get the
-share of good labels (0.5 without any) as score; repeated rows are scored one by one; an empty table gives an empty
-result; further columns are ignored.
+document labelled more than once counts with its worst labels; of rows that repeat an id, that of the smallest text is
+in the sample; documents of equal confidence rank by the hash of their id; rows without an id are scored but never
+exchanged; without labels of both kinds all documents get the share of good labels (0.5 without any) as score; repeated
+rows are scored one by one; texts of any length are read whole; an empty table gives an empty result; further columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceqc.llm import grams
-from traceqc.llm.common import table
+from traceqc.llm.common import cut, table
 
 WORDS, ENDINGS, DENSE, META = 1 << 15, 1 << 11, 6, 1 << 10
 TEXT = WORDS + ENDINGS + DENSE
@@ -34,7 +38,6 @@ TEXT = WORDS + ENDINGS + DENSE
 @dataclass(frozen=True)
 class Training:
     max_labelled: int = 6_000
-    pool: int = 3_000
     rounds: int = 3
     exchanged: int = 150  # pseudo-labels of each kind that a view gives in a round
     confident: float = 0.9
@@ -54,8 +57,9 @@ class Rows:
     value: np.ndarray
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.index] * self.value)])
-        return total[self.first[1:]] - total[self.first[:-1]]
+        # each row is summed on its own, so the result doesn't depend on the rows beside it
+        n = len(self.first) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(self.first)), w[self.index] * self.value, n)
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(self.index, np.repeat(g, np.diff(self.first)) * self.value, n)
@@ -163,29 +167,28 @@ class Model:
         return sigmoid(z @ self.combined[:2] + self.combined[2])
 
 
-def co_trained(views: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows], t: Training) -> Model:
-    """The model after all rounds. Rows of ``views`` are in hash order, so their tail is a random held-out part."""
+def stacked(a: Rows, b: Rows) -> Rows:
+    return Rows(np.concatenate([a.first, a.first[-1] + b.first[1:]]), np.concatenate([a.index, b.index]), np.concatenate([a.value, b.value]))
+
+
+def co_trained(views: tuple[Rows, Rows], y: np.ndarray, exchange: Callable, t: Training) -> Model:
+    """The model after all rounds. Rows of ``views`` are in hash order, so their tail is a random held-out part.
+
+    ``exchange(weights, round)`` gives for each view the rows that the other view labels in this round, with their
+    labels, or nothing where there is nothing to label.
+    """
     good = float(y.mean()) if len(y) else 0.5
     n_fit = len(y) - round(len(y) * t.held_out)
     if n_fit < 10 or len(np.unique(y[:n_fit])) < 2 or len(np.unique(y[n_fit:])) < 2:
         return Model(np.zeros(TEXT), np.zeros(META), [(1, 0)] * 2, np.zeros(3), good)
     widths = (TEXT, META)
     own = [v.take(np.arange(n_fit)) for v in views]
-    extra: list[dict[int, float]] = [{}, {}]  # for each view, pool row: pseudo-label that the other view gave
-    weights = [np.zeros(n) for n in widths]
-    for round_ in range(t.rounds + 1):
-        for k in range(2):
-            rows = np.array(sorted(extra[k]), np.int64)
-            more = pool[k].take(rows)
-            x = Rows(np.concatenate([own[k].first, own[k].first[-1] + more.first[1:]]), np.concatenate([own[k].index, more.index]), np.concatenate([own[k].value, more.value]))
-            weights[k] = fit(x, np.concatenate([y[:n_fit], [extra[k][r] for r in rows.tolist()]]), widths[k], t.iterations, t.l2)
-        if round_ == t.rounds or len(pool[0].first) < 2:
+    weights = [fit(own[k], y[:n_fit], widths[k], t.iterations, t.l2) for k in range(2)]
+    for round_ in range(t.rounds):
+        given = exchange(weights, round_)
+        if given is None:
             break
-        for k in range(2):
-            p = sigmoid(pool[k].dot(weights[k]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                given = [r for r in np.argsort(-sure, kind="stable")[: t.exchanged * (round_ + 1)].tolist() if sure[r] >= t.confident]
-                extra[1 - k].update(dict.fromkeys(given, label))
+        weights = [fit(stacked(own[k], given[k][0]), np.concatenate([y[:n_fit], given[k][1]]), widths[k], t.iterations, t.l2) for k in range(2)]
     held = [np.clip(v.take(np.arange(n_fit, len(y))).dot(w), -30, 30) for v, w in zip(views, weights)]
     calibration = [tuple(line(h[:, None], y[n_fit:])) for h in held]
     z = np.stack([h * c[0] + c[1] for h, c in zip(held, calibration)], axis=1)
@@ -198,15 +201,16 @@ def views_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, text_view(data, offsets), meta_view(part)
 
 
-def sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, tuple[Rows, Rows]]:
-    """Features of the documents in ``ids`` (doc_id, place, y; of bounded size), in order of place."""
+def sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[Rows, Rows]]:
+    """(ids, y, features) of the documents in ``ids`` (doc_id, place, y; of bounded size), in order of place."""
 
     def run(batches):
         for part, text, meta in views_of(batches):
             cells = [pa.array([r[a:b] for a, b in zip(v.first[:-1], v.first[1:])], kind) for v in (text, meta) for r, kind in ((v.index, pa.list_(pa.int32())), (v.value, pa.list_(pa.float32())))]
-            yield pa.RecordBatch.from_arrays([part.column("place"), part.column("y"), *cells], ["place", "y", "ti", "tv", "mi", "mv"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "place", "y")), *cells], ["doc_id", "place", "y", "ti", "tv", "mi", "mv"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(run, "place long, y double, ti array<int>, tv array<float>, mi array<int>, mv array<float>")
+    chosen = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *(f"m{k}" for k in range(4)), "place", "y")).alias("_r")).select("doc_id", "_r.*")
+    rows = chosen.mapInArrow(run, "doc_id long, place long, y double, ti array<int>, tv array<float>, mi array<int>, mv array<float>")
     got = rows.toPandas().sort_values("place", kind="stable")
 
     def joined(index, value):
@@ -214,20 +218,60 @@ def sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, tuple[Rows, Row
         flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *got[c]]).astype(kind)
         return Rows(first, flat(index, np.int64), flat(value, np.float64))
 
-    return got["y"].to_numpy(np.float64), (joined("ti", "tv"), joined("mi", "mv"))
+    return got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(np.float64), (joined("ti", "tv"), joined("mi", "mv"))
+
+
+def nominated(rows: DataFrame, labelled: DataFrame, weights: list[np.ndarray], most: int, t: Training) -> list[list[tuple[int, float]]]:
+    """For each view, the (id, label) of the ``most`` documents of each label that it is surest of, at least ``confident``.
+
+    All documents without a label are scored by both views where they are read; only slim rows that one of them
+    is confident of are written.
+    """
+
+    def run(batches):
+        for part, text, meta in views_of(batches):
+            p = [np.round(sigmoid(v.dot(w)), 9) for v, w in zip((text, meta), weights)]
+            sure = np.flatnonzero(np.max([np.maximum(x, 1 - x) for x in p], axis=0) >= t.confident)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(sure)), *(pa.array(x[sure]) for x in p)], ["doc_id", "p0", "p1"])
+
+    sure = rows.where("doc_id is not null").select("doc_id", "text", *(f"m{k}" for k in range(4))).mapInArrow(run, "doc_id long, p0 double, p1 double")
+    sure = cut(sure.groupBy("doc_id").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1")).join(labelled.select("doc_id"), "doc_id", "left_anti"))
+    out = []
+    for k in range(2):
+        own: list[tuple[int, float]] = []
+        for label, p in ((1.0, F.col(f"p{k}")), (0.0, 1 - F.col(f"p{k}"))):
+            best = sure.where(p >= t.confident).orderBy(p.desc(), place_of(t)).limit(most).select("doc_id").collect()
+            own += [(r["doc_id"], label) for r in best]
+        out.append(own)
+    return out
+
+
+def place_of(t: Training) -> Column:
+    """What orders ids at random, alike in every run."""
+    return F.xxhash64(F.lit(t.seed), F.col("doc_id"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, t: Training, id_col: str = "doc_id") -> Model:
     rows = with_meta(docs, id_col)
-    place = F.xxhash64(F.lit(t.seed), F.col("doc_id")).alias("place")
-    labelled = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    labelled = labelled.agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")).alias("y"))
-    ids = rows.select("doc_id").distinct()
-    known = labelled.join(ids, "doc_id").select("doc_id", place, "y").orderBy("place").limit(t.max_labelled)
-    unknown = ids.join(labelled, "doc_id", "left_anti").select("doc_id", place, F.lit(None).cast("double").alias("y")).orderBy("place").limit(t.pool)
-    y, views = sample(rows, known)
-    _, pool = sample(rows, unknown)
-    return co_trained(views, y, pool, t)
+    spark = docs.sparkSession
+    labelled = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    labelled = cut(labelled.agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")).alias("y")))
+    known = labelled.join(rows.select("doc_id").distinct(), "doc_id").select("doc_id", place_of(t).alias("place"), "y").orderBy("place").limit(t.max_labelled)
+    _, y, views = sample(rows, known)
+    extra: list[dict[int, float]] = [{}, {}]  # for each view, document: label that the other view gave
+
+    def exchange(weights, round_):
+        for k, own in enumerate(nominated(rows, labelled, weights, t.exchanged * (round_ + 1), t)):
+            extra[1 - k].update(own)
+        every = sorted({*extra[0], *extra[1]})
+        if not every:
+            return None
+        ids = spark.createDataFrame([(i,) for i in every], "doc_id long").select("doc_id", place_of(t).alias("place"), F.lit(None).cast("double").alias("y"))
+        got, _, features = sample(rows, ids)
+        chosen = [np.array([r for r, i in enumerate(got.tolist()) if i in extra[k]], np.int64) for k in range(2)]
+        return [(features[k].take(chosen[k]), np.array([extra[k][int(got[r])] for r in chosen[k]])) for k in range(2)]
+
+    return co_trained(views, y, exchange, t)
 
 
 def scored(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col: str = "doc_id") -> DataFrame:
