@@ -9,13 +9,16 @@ A window that shares no shingle with an item of its size has similarity 0, so on
 fingerprinted; this loses nothing. Nor does leaving out a shorter document whose shingles of such items weigh less than
 ``similarity`` of the lightest of them.
 
-The items travel to the tasks in groups of about ``max_items`` rows, one pass over the documents for each group.
+The items travel to the tasks in groups of about ``max_items`` rows and ``max_bytes`` of text, one pass over the documents for each group.
 Frequencies are counted over all items in Spark, and each group weighs by them, so groups change no result. Shingles of
-one item weigh the same as unknown ones; only those of two or more are held as a table, 16 bytes each.
+one item weigh the same as unknown ones; only those of two or more are held as a table, 16 bytes each, of at most
+``max_shared`` rows (checked).
 Documents are read once, whole, in vectorised slices; nothing is shuffled but the verified pairs.
 
 Defined results: null and empty texts match nothing; items of fewer than five words have no shingles and match nothing;
-repeated items each match; repeated rows of a document give one pair with the best window; extra columns are ignored.
+repeated items each match; repeated rows of a document give one pair with the best window; of windows of equal
+similarity the first counts; texts of any length are read whole; empty tables give an empty result; extra columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ SPAN = 1 << 15  # shingles fingerprinted at once
 class Search:
     similarity: float = 0.8
     max_items: int = 20_000
+    max_bytes: int = 64 << 20
+    max_shared: int = 8_000_000  # shingles that two or more items hold
 
 
 def shingles_of(text: str) -> np.ndarray:
@@ -78,8 +83,8 @@ def weighed(total: int, shingles: np.ndarray, items: np.ndarray) -> Weights:
     return Weights(shingles[items > 1][order], np.array(scaled, np.int64)[where], round(16 * (1 + math.log(max(1, total)))))
 
 
-def weights_of(items: DataFrame) -> Weights:
-    """The weights over all items."""
+def weights_of(items: DataFrame, most: int = Search.max_shared) -> Weights:
+    """The weights over all items; more than ``most`` shared shingles are an error."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +94,9 @@ def weights_of(items: DataFrame) -> Weights:
 
     every = items.select("text").mapInArrow(distinct, "shingle long, head boolean")
     total = every.where("head").count()
-    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").limit(most + 1).toArrow()
+    if shared.num_rows > most:
+        raise ValueError(f"the items share more than {most} shingles")
     return weighed(total, shared.column("shingle").to_numpy().view(np.uint64), shared.column("n").to_numpy())
 
 
@@ -203,8 +210,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
     """Pairs of documents and items with the best window: its first word, its words, and its similarity."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    groups = max(1, math.ceil(items.count() / search.max_items))
-    weights = weights_of(items)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, math.ceil(n / search.max_items), math.ceil(size / search.max_bytes))
+    weights = weights_of(items, search.max_shared)
     sent = docs.sparkSession.sparkContext.broadcast((weights.shared, weights.scaled, weights.other))
     out = None
     for g in range(groups):
