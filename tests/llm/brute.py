@@ -80,8 +80,39 @@ def patience(a, b):
     return out
 
 
-def line_dedup(rows, anchor=25, block=50, share=0.1):
-    """{row number: removed places, None for all}."""
+def blocks_by_patience(later, earlier, block):
+    """Places of ``later`` in blocks shared with ``earlier``: aligned again without the aligned blocks until none is left."""
+    gone = set()
+    while True:
+        # lines that went are unlike all others
+        a = [("gone", p) if p in gone else x for p, x in enumerate(later)]
+        more, run = set(), []
+        for x, y in [*patience(a, earlier), (-9, -9)]:
+            if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
+                if sum(len(later[p]) for p, _ in run) >= block:
+                    more |= {p for p, _ in run}
+                run = []
+            run.append((x, y))
+        if not more:
+            return gone
+        gone |= more
+
+
+def shared_runs(later, earlier, block):
+    """Places of ``later`` in runs of ``block`` characters or more that ``earlier`` holds."""
+    gone = set()
+    for p in range(len(later)):
+        for q in range(len(earlier)):
+            n = 0
+            while p + n < len(later) and q + n < len(earlier) and later[p + n] == earlier[q + n]:
+                n += 1
+            if sum(map(len, later[p : p + n])) >= block:
+                gone |= set(range(p, p + n))
+    return gone
+
+
+def line_dedup(rows, block=50):
+    """{row number: removed places, None for all}: every pair of a document and an earlier one is compared."""
     lines = [[x.strip(" ") for x in t.split("\n")] if t else None for _, t in rows]
     reps = {}
     for k, (i, t) in enumerate(rows):
@@ -91,21 +122,14 @@ def line_dedup(rows, anchor=25, block=50, share=0.1):
     for k, (i, t) in enumerate(rows):
         if t and reps.get(t) == i:
             own.setdefault(i, lines[k])
+    # documents without a common line have no common block
     holders = defaultdict(set)
     for i, ls in own.items():
-        for x in ls:
-            if len(x) >= anchor:
-                holders[x].add(i)
-    pairs = {(d, min(h)) for h in holders.values() if 2 <= len(h) <= 2 + share * len(own) for d in h if d != min(h)}
+        for x in set(ls) - {""}:
+            holders[x].add(i)
     gone = defaultdict(set)
-    for later, earlier in pairs:
-        run = []
-        for x, y in [*patience(own[later], own[earlier]), (-9, -9)]:
-            if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-                if sum(len(own[later][p]) for p, _ in run) >= block:
-                    gone[later] |= {p for p, _ in run}
-                run = []
-            run.append((x, y))
+    for later, earlier in {(b, a) for h in holders.values() for a in h for b in h if a < b}:
+        gone[later] |= shared_runs(own[later], own[earlier], block)
     out = {}
     for k, (i, t) in enumerate(rows):
         if t and i is not None:
@@ -132,7 +156,7 @@ def contaminated(docs, items, least=0.8):
             if not hits & c.keys():
                 continue
             n = sum(c.values())
-            for p in range(len(s) - n + 1):
+            for p in range(max(1, len(s) - n + 1)):
                 win = Counter(s[p : p + n])
                 low = sum(min(win[x], c[x]) * weight(x) for x in c)
                 high = sum(max(win[x], c[x]) * weight(x) for x in win.keys() | c.keys())

@@ -1,23 +1,32 @@
-"""Line deduplication by the runs of lines that documents share.
+"""Line deduplication by pairwise alignment of documents that share runs of lines.
 
 Documents of equal texts are one class; only the smallest id of a class takes part, its copies lose all lines. Lines
-(trimmed) are hashed. A line is deleted where it lies in a block (lines that follow each other) of at least
-``block_chars`` characters that a document with a smaller id holds as a block too. That covers what an alignment with
-any earlier document finds, since aligned blocks follow each other in both; which of the earlier documents would be
-aligned with, how many hold the block and how short its lines are make no difference.
+(trimmed) are hashed.
 
-A block is the union of its shortest runs: for each first line the shortest run that reaches ``block_chars``, and for
-each last line likewise. So only these runs (two a line at most) are compared, by the hash of their lines, each with
-the smallest id that holds it; a run of n classes makes n rows, and no lines of two documents are brought together.
+1. Candidates: what two documents must share is a block (lines that follow each other) of ``block_chars`` characters.
+   A block is the union of its shortest runs: for each first line the shortest run that reaches ``block_chars``, and
+   for each last line likewise. These runs (two a line at most) are hashed instead of single lines, so a run is rare
+   where its lines are not, and no line is too short or too frequent to count. A document is paired with the first
+   document that holds one of its runs: a run of n classes makes n - 1 pairs.
+2. Alignment: the places of the runs that a pair shares are aligned by patience: those that occur once in the later
+   document are anchors, the longest chain of anchors in the order of both documents is kept, and the runs between two
+   anchors of the chain that continue it (those that repeat in the later document) join it. Lines outside shared runs are
+   in no block, so they take no part and their texts are not moved.
+3. Aligned runs that lie on one diagonal are one block. Blocks that stand in another order than the chain, which
+   a plain alignment would leave behind, are matched after it and marked as moved.
+4. The lines of all blocks go from the later document.
+
+Every block that a document with a smaller id holds goes, whatever the number of holders and the order of blocks.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line and is never a copy of
 another; rows that repeat an id and text are treated alike and never delete each other; a row without an id
-loses and deletes nothing; an empty table gives an empty
-result; texts of any length are compared whole; further columns are kept, but for ``n_lines`` and ``n_removed``.
+loses and deletes nothing; of several places of a run in the earlier document the first counts; an empty table gives an
+empty result; texts of any length are compared whole; further columns are kept, but for ``n_lines`` and ``n_removed``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,31 +98,146 @@ def runs_of(classes: DataFrame, block_chars: int) -> DataFrame:
     return classes.select("rep", "class", "hashes", "sizes").mapInArrow(cut_out, f"run long, rep {kind}, class long, first int, end int")
 
 
+def longest_chain(at: np.ndarray) -> np.ndarray:
+    """The places of a longest strictly growing part of ``at``, by patience sorting."""
+    if np.all(at[1:] > at[:-1]):
+        return np.arange(len(at))
+    tops: list[int] = []
+    last: list[int] = []
+    before = np.full(len(at), -1)
+    for k, x in enumerate(at.tolist()):
+        pile = bisect_left(tops, x)
+        if pile:
+            before[k] = last[pile - 1]
+        if pile == len(tops):
+            tops.append(x)
+            last.append(k)
+        else:
+            tops[pile], last[pile] = x, k
+    out, k = [], last[-1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return np.array(out[::-1])
+
+
+def chained(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For runs of a pair in order of ``first`` (places in the later document) with their places ``held`` in the earlier
+    one, whether the alignment keeps them in its chain."""
+    kinds, where, times = np.unique(held, return_inverse=True, return_counts=True)
+    anchors = np.flatnonzero(times[where] == 1)
+    chain = np.zeros(len(first), bool)
+    if len(anchors):
+        chain[anchors[longest_chain(held[anchors])]] = True
+    # between two anchors, and before and after all, what grows from the anchor before stays below the next one
+    if not chain.all():
+        ahead = np.iinfo(np.int64).max
+        limit = np.empty(len(first), np.int64)
+        for k in range(len(first) - 1, -1, -1):
+            limit[k] = ahead
+            if chain[k]:
+                ahead = held[k]
+        low = -1
+        for k in range(len(first)):
+            if chain[k] or low < held[k] < limit[k]:
+                chain[k], low = True, held[k]
+    return chain
+
+
+def blocks_of(first: np.ndarray, end: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, end, held, moved) of the common blocks of a pair, from the runs it shares."""
+    order = np.lexsort((end, first))
+    first, end, held = first[order], end[order], held[order]
+    chain = chained(first, held)
+    # runs of one diagonal that touch or overlap, both in the chain or both out of it, are one block
+    diagonal = first - held
+    order = np.lexsort((first, diagonal, chain))
+    first, end, held, chain, diagonal = (x[order] for x in (first, end, held, chain, diagonal))
+    group = np.concatenate([[0], np.cumsum((diagonal[1:] != diagonal[:-1]) | (chain[1:] != chain[:-1]))])
+    # ends that reach farthest so far within a group
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + group * wide) - group * wide
+    new = np.ones(len(first), bool)
+    new[1:] = (group[1:] != group[:-1]) | (first[1:] > reach[:-1])
+    heads = np.flatnonzero(new)
+    return first[heads], np.maximum.reduceat(end, heads), held[heads], ~chain[heads]
+
+
+BLOCKS = "class long, earlier {kind}, first int, end int, earlier_first int, moved boolean"
+
+
+def aligned(shared: DataFrame, kind: str) -> DataFrame:
+    """(class, earlier, first, end, earlier_first, moved): the blocks of each pair, from the runs that it shares."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("runs").combine_chunks() if isinstance(batch.column("runs"), pa.ChunkedArray) else batch.column("runs")
+            bounds = runs.offsets.to_numpy()
+            first, end, held = (runs.values.field(name).to_numpy().astype(np.int64) for name in ("first", "end", "held"))
+            parts, pair = [], []
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                found = blocks_of(first[a:b], end[a:b], held[a:b]) if b - a > 1 else (first[a:b], end[a:b], held[a:b], np.zeros(1, bool))
+                parts.append(found)
+                pair.append(np.full(len(found[0]), k))
+            if not parts:
+                continue
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            at = pa.array(np.concatenate(pair))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class").take(at), batch.column("earlier").take(at), *(pa.array(c.astype(np.int32)) for c in columns[:3]), pa.array(columns[3])],
+                ["class", "earlier", "first", "end", "earlier_first", "moved"],
+            )
+
+    pairs = shared.groupBy("class", "earlier").agg(F.collect_list(F.struct("first", "end", "held")).alias("runs"))
+    return pairs.mapInArrow(align, BLOCKS.format(kind=kind))
+
+
 def union_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, gone): the places that the runs of a class cover, from lists of their bounds."""
+    """(class, gone, moved): the places that the blocks of a class cover, and those that only moved ones do."""
     for batch in batches:
-        gone = []
-        for first, end in zip(batch.column(1), batch.column(2)):
-            first, end = first.values.to_numpy(), end.values.to_numpy()
+        gone, moved = [], []
+        for blocks in batch.column(1):
+            rows = blocks.values
+            first, end = (rows.field(name).to_numpy() for name in ("first", "end"))
+            kept = ~rows.field("moved").to_numpy(zero_copy_only=False)
             n = int(end.max()) + 1
-            gone.append(np.flatnonzero(np.cumsum(np.bincount(first, minlength=n) - np.bincount(end, minlength=n)) > 0).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["class", "gone"])
+            over = lambda x: np.cumsum(np.bincount(first[x], minlength=n) - np.bincount(end[x], minlength=n)) > 0
+            every = over(np.ones(len(first), bool))
+            gone.append(np.flatnonzero(every).astype(np.int32))
+            moved.append(int((every & ~over(kept)).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32())), pa.array(moved, pa.int64())], ["class", "gone", "moved"])
 
 
-def removals(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
-    """(id, key, gone) of the documents that lose lines; ``gone`` holds the places, null: all lines."""
-    every, classes = line_classes(docs, id_col)
+def alignments(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
+    """(later, earlier, first, end, earlier_first, moved): all aligned blocks, by their places in both documents."""
+    _, classes = line_classes(docs, id_col)
+    blocks, classes = pair_blocks(classes, limits)
+    return blocks.join(classes.select("class", F.col("rep").alias("later")), "class").select("later", "earlier", "first", "end", "earlier_first", "moved")
+
+
+def pair_blocks(classes: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """The blocks of all pairs of classes, and the classes with their numbers."""
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    kind = classes.schema["rep"].dataType.simpleString()
     runs = runs_of(classes, limits.block_chars)
-    held = runs.groupBy("run").agg(F.min("rep").alias("earlier"), F.max("rep").alias("last")).where("earlier < last").drop("last")
-    later = runs.join(held, "run").where("earlier < rep")
-    found = later.groupBy("class").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end")).mapInArrow(union_of, "class long, gone array<int>")
+    holder = F.min(F.struct("rep", "first"))
+    held = runs.groupBy("run").agg(holder.alias("holder"), F.max("rep").alias("last")).where("holder.rep < last")
+    held = held.select("run", F.col("holder.rep").alias("earlier"), F.col("holder.first").alias("held"))
+    return aligned(runs.join(held, "run").where("earlier < rep"), kind), classes
+
+
+def removals(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
+    """(id, key, gone, moved) of the documents that lose lines; ``gone`` holds the places, null: all lines; ``moved`` is
+    the number of those that only blocks in another order hold."""
+    every, classes = line_classes(docs, id_col)
+    blocks, classes = pair_blocks(classes, limits)
+    found = blocks.groupBy("class").agg(F.collect_list(F.struct("first", "end", "moved")).alias("blocks")).mapInArrow(union_of, "class long, gone array<int>, moved long")
     whole = F.aggregate("sizes", F.lit(0), lambda a, x: a + x) >= limits.block_chars
     decided = classes.select("_key", "rep", "class", whole.alias("whole")).join(found, "class", "left").drop("class").where("gone is not null or whole")
     copies = every.join(decided, "_key")
-    first = copies.where("doc_id = rep and gone is not null").select("doc_id", "_key", "gone")
-    other = copies.where("doc_id <> rep and whole").select("doc_id", "_key", F.lit(None).cast("array<int>").alias("gone"))
-    partly = copies.where("doc_id <> rep and not whole and gone is not null").select("doc_id", "_key", "gone")
+    first = copies.where("doc_id = rep and gone is not null").select("doc_id", "_key", "gone", "moved")
+    other = copies.where("doc_id <> rep and whole").select("doc_id", "_key", F.lit(None).cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("moved"))
+    partly = copies.where("doc_id <> rep and not whole and gone is not null").select("doc_id", "_key", "gone", "moved")
     return first.union(other).union(partly).dropDuplicates(["doc_id", "_key"])
 
 
@@ -122,7 +246,7 @@ def deduplicated(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # columns of names that are used here are kept aside
     aside = {c: f"_kept_{c}" for c in columns if c in ("_key", "gone", "_hit")}
-    gone = removals(docs.select(id_col, "text"), limits, id_col).withColumnRenamed("doc_id", id_col).withColumn("_hit", F.lit(True))
+    gone = removals(docs.select(id_col, "text"), limits, id_col).drop("moved").withColumnRenamed("doc_id", id_col).withColumn("_hit", F.lit(True))
     rows = with_key(docs.select(*columns).withColumnsRenamed(aside)).join(gone, [id_col, "_key"], "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n")
