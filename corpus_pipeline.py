@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again before the next.
+
+Defined results of odd rows, in any stage: a null or empty text fails the quality rules, so it goes there; further stages
+by themselves keep it (a null text stays null), but for the mixture, where a document without tokens is never read. A null
+language or source is a value of its own. Rows without an id take part like others; what is decided by id (near copies,
+benchmark) is decided for all rows of that id, also for those without. Rows that repeat each other are kept or dropped
+together by the quality rules, line dedup and benchmark; they are copies only where their ids differ. Texts of any length
+are read whole. Further columns are kept with their values, whatever their names; ``n_chars`` follows a changed text. An
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceqc.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules
-from traceqc.llm.common import cut, shared_dir, without
+from traceqc.llm.common import cut, fresh, own_dir, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules or their host's verdict reject go."""
-    rejected = cut(quality_rules.judged(docs).where("not kept").select("doc_id", "text_hash").distinct())
-    return without(docs.withColumn("text_hash", F.xxhash64("text")), rejected, "doc_id", ("text_hash",)).select(*docs.columns)
+    text_hash = fresh(docs, "text_hash")
+    rejected = cut(quality_rules.judged(docs).where("not kept").select("doc_id", F.col("text_hash").alias(text_hash)).distinct())
+    return without(docs.withColumn(text_hash, F.xxhash64("text")), rejected, "doc_id", (text_hash,)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds in an aligned block go; documents that lose all their text go with them."""
-    out = line_dedup.deduplicated(docs)
+    # the counts must not replace columns of their names
+    aside = {c: fresh(docs, f"own_{c}") for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup.deduplicated(docs.withColumnsRenamed(aside))
     changed = F.col("n_removed") > 0
     out = out.where(~changed | (F.trim("text") != ""))
-    return out.select(*(F.when(changed, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
+    return out.select(*(length if c == "n_chars" else F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``; what lies between two stages is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
