@@ -57,8 +57,10 @@ def test_a_large_region_is_joined_in_recursion(spark):
         for _ in range(rng.choice([1, 2, 4, 8])):
             copy[rng.randrange(200)] = f"x{rng.random()}"
         rows.append((i, " ".join(copy)))
-    got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(block=3000, cell=4, pivots=3)).collect()
-    assert sorted(tuple(r) for r in got) == brute.components(rows, 3, 90)
+    expected = brute.components(rows, 3, 90)
+    for sizes in ({}, {"block": 3000, "cell": 4, "pivots": 3}):
+        got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(**sizes)).collect()
+        assert sorted(tuple(r) for r in got) == expected
 
 
 def test_repeats_equal_brute_force(spark):

@@ -244,3 +244,33 @@ def scanner(index: Items, weights: Broadcast):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: All windows that hold a shingle of the item, without fingerprints: the larger weight of two counts is their sum less the
+#: smaller one.
+ORACLE = r"""
+with words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+item_words as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+s as materialized (select doc_id, p, array_to_string(w[p:p+4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) p from words where len(w) > 4)),
+i as materialized (select item_id, array_to_string(w[p:p+4], ' ') g from (select item_id, w, unnest(range(1, len(w) - 3)) p from item_words where len(w) > 4)),
+held as materialized (select item_id, g, count(*) m from i group by 1, 2),
+total as (select count(distinct item_id) t from held),
+known as materialized (select g, round(16 * (1 + ln(t / count(*)))) weight from held, total group by g, t),
+other as (select round(16 * (1 + ln(greatest(t, 1)))) weight from total),
+item as (select item_id, sum(m) n, sum(m * weight) mass from held join known using (g) group by 1),
+doc as (select doc_id, count(*) n from s group by 1),
+starts as materialized (
+  select distinct doc_id, item_id, least(item.n, doc.n) size,
+    unnest(case when doc.n < item.n then [1] else range(greatest(1, p - item.n + 1)::bigint, least(p, doc.n - item.n + 1)::bigint + 1) end) start
+  from s join held using (g) join item using (item_id) join doc using (doc_id)),
+cells as (
+  select doc_id, item_id, start, size, s.g, count(*) m from starts join s using (doc_id) where s.p between start and start + size - 1 group by all),
+found as (
+  select doc_id, item_id, start, size, sum(least(c.m, coalesce(h.m, 0)) * coalesce(k.weight, o.weight)) low, sum(c.m * coalesce(k.weight, o.weight)) mass
+  from cells c left join held h using (item_id, g) left join known k using (g) cross join other o group by all)
+select doc_id, item_id, (start - 1)::bigint start_word, (size + 4)::bigint n_words, low / (found.mass + item.mass - low) similarity
+from found join item using (item_id) where low / (found.mass + item.mass - low) >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by low / (found.mass + item.mass - low) desc, start) = 1
+"""

@@ -313,25 +313,33 @@ def joined(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id") -> Data
     classes = first.select("rep", "n", "head")
     edges = links(docs, regions(classes, join), join, id_col)
     linked = components(edges).select(F.col("node").alias("rep"), "component")
-    rows = base.select("doc_id", "n", "sig").join(reps, "sig", "left").join(linked, "rep", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # empty sets join nothing, so they don't meet in one task
+    rows = base.where("sig is not null").select("doc_id", "n", "sig").join(reps, "sig").join(linked, "rep", "left")
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return rows.unionByName(base.where("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
 
 
-ORACLE = r"""
+def oracle_for(join: Join) -> str:
+    """DuckDB SQL for ``joined`` over a table ``documents``."""
+    w = join.width
+    return rf"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
   from documents),
 s as materialized (
-  select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[p:p+2], ' ') end g
-  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) p from w where len(w) > 0)),
+  select distinct doc_id, case when len(w) < {w} then array_to_string(w, ' ') else array_to_string(w[p:p+{w - 1}], ' ') end g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {w - 2}, 2))) p from w where len(w) > 0)),
 n as materialized (select doc_id, count(*) n from s group by 1),
 c as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
-e as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+e as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= {join.percent} * (x.n + y.n - i)),
 r as (select doc_id a, doc_id b from documents union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, m.c component_id
 from documents d left join n on n.doc_id = d.doc_id join (select a, min(b) c from r group by 1) m on m.a = d.doc_id
 """
+
+
+ORACLE = oracle_for(Join())

@@ -259,3 +259,29 @@ def deduplicated(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: The lines that go are those of all shortest runs that a smaller id holds, which needs no alignment.
+ORACLE = """
+with d as (
+  select doc_id, text, string_split(text, chr(10)) raw, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) l
+  from documents where text is not null and text <> ''),
+r as (select text, min(doc_id) rep from d group by 1),
+c as (select rep id, l from r join d on d.doc_id = r.rep and d.text = r.text),
+x as (
+  select id, p, length(s) n, sum(length(s)) over (partition by id order by p) cum
+  from (select id, unnest(range(1, len(l) + 1)) p, unnest(l) s from c)),
+f as (select a.id, a.p, min(b.p) e from x a join x b on a.id = b.id and b.p >= a.p and b.cum - a.cum + a.n >= 50 group by 1, 2),
+b as (select b.id, max(a.p) p, b.p e from x a join x b on a.id = b.id and b.p >= a.p and b.cum - a.cum + a.n >= 50 group by b.id, b.p),
+k as (
+  select id, p, e, min(id) over (partition by array_to_string(l[p:e], chr(10))) low
+  from (select * from f union select * from b) join c using (id)),
+g as (select id, list(distinct q) q from (select id, unnest(range(p, e + 1)) q from k where low < id) group by 1),
+v as (
+  select d.doc_id, raw, q, doc_id <> rep and list_sum(list_transform(l, lambda s: length(s))) >= 50 whole
+  from d join r using (text) left join g on g.id = rep)
+select o.doc_id, case when o.text is null then 0 else coalesce(len(raw), 1) end::bigint n_lines,
+  case when whole then len(raw) else coalesce(len(q), 0) end::bigint n_removed,
+  case when whole then '' when q is null then o.text else array_to_string(list_filter(raw, lambda s, i: not list_contains(q, i)), chr(10)) end text
+from documents o left join v using (doc_id)
+"""

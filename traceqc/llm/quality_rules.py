@@ -6,7 +6,8 @@ comes back to its documents by a join of slim rows (never of texts), which adapt
 domain holds a third of them.
 
 Defined results: a null text has no words, lines or symbols and fails the base rules; null domains are one domain of
-their own; repeated rows are measured one by one; an empty table gives an empty result; further columns are ignored.
+their own; repeated rows are measured one by one; a rate that equals a limit is within it; texts are measured whole,
+whatever their length; an empty table gives an empty result; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations

@@ -20,6 +20,9 @@ QUERIES = {
 ORACLE = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op1_warc": warc.ORACLE,
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }

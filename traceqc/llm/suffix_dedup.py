@@ -372,3 +372,19 @@ def removed(docs: DataFrame, dedup: Dedup = Dedup(), id_col: str = "doc_id") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
+
+
+#: All strings of 200 bytes by digest; removed runs by gaps between their starts. Bytes are pairs of hexadecimal digits.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, '')))::bigint n from documents),
+p as (select doc_id, s, md5(substr(h, 2 * s + 1, 400)) g from (select doc_id, h, unnest(range(0, n - 199)) s from d where n >= 200)),
+r as (select doc_id, s from p qualify count(*) over (partition by g) > 1),
+i as (select *, sum(fresh) over (partition by doc_id order by s) island from (select *, (s > coalesce(lag(s) over (partition by doc_id order by s), -1000) + 200)::int fresh from r)),
+spans as (select doc_id, min(s) lo, max(s) + 200 hi from i group by doc_id, island),
+pieces as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) before_ from spans),
+kept as (
+  select doc_id, sum(hi - lo)::bigint n_removed, count(*) n_spans, string_agg(substr(h, 2 * before_ + 1, 2 * (lo - before_)), '' order by lo) || substr(any_value(h), 2 * max(hi) + 1) rest
+  from pieces join d using (doc_id) group by 1)
+select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(rest, h))) kept_sha256
+from d left join kept using (doc_id)
+"""

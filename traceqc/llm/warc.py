@@ -16,7 +16,8 @@ Defined results: a null or empty payload gives a response record without payload
 ends its file's chain, and nothing after it is trusted (the writer escapes the magic in URLs, so that headers never hold
 it); archives without records give an empty result; a page without an id is a
 response and comes back without one; repeated page
-ids are written as they are, and a revisit refers to the smallest id; further columns are ignored.
+ids are written as they are, and a revisit refers to the smallest id; payloads of any length are stored and read whole;
+further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
