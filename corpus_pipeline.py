@@ -11,6 +11,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,10 @@ from traceqc.llm import decontamination, jaccard_join, line_dedup, mixing, quali
 from traceqc.llm.common import cut, fresh, own_dir, without
 
 
+#: What makes two documents near copies.
+NEAR = jaccard_join.Join(width=5, percent=80)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules or their host's verdict reject go."""
     text_hash = fresh(docs, "text_hash")
@@ -40,7 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles (similarity 0.8 or more), that of the smallest id stays."""
-    joined = jaccard_join.joined(docs, jaccard_join.Join(width=5, percent=80))
+    joined = jaccard_join.joined(docs, NEAR)
     gone = cut(joined.where("doc_id <> component_id").select("doc_id").distinct())
     return without(docs, gone, "doc_id")
 
@@ -64,8 +69,22 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Line alignment and windowed SimHashes have no SQL form; the tests hold run() against brute force.
-ORACLE_SQL = None
+def _over(sql: str, documents: str) -> str:
+    """SQL of an operator over another table of documents."""
+    return re.sub(r"\bdocuments\b", documents, sql)
+
+
+#: Each stage by the SQL of its operator over what its predecessor kept.
+ORACLE_SQL = f"""
+with s1 as materialized (select * from documents where doc_id in (select doc_id from ({quality_rules.ORACLE}) where kept)),
+s2 as materialized (
+  select s1.doc_id, x.text, lang, source, case when n_removed > 0 then length(x.text) else n_chars end n_chars
+  from s1 join ({_over(line_dedup.ORACLE, "s1")}) x on x.doc_id = s1.doc_id where n_removed = 0 or trim(x.text, ' ') <> ''),
+s3 as materialized (select * from s2 where doc_id in (select doc_id from ({_over(jaccard_join.oracle_for(NEAR), "s2")}) where doc_id = component_id)),
+s4 as materialized (select * from s3 where doc_id not in (select doc_id from ({_over(decontamination.ORACLE, "s3")}))),
+s5 as (select doc_id, unnest(range(copies)) epoch from ({_over(mixing.ORACLE, "s4")}))
+select s4.doc_id, text, lang, source, n_chars, epoch::int epoch from s4 join s5 on s5.doc_id = s4.doc_id
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from traceqc.functions.lineage import released  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    released(session)
     session.stop()

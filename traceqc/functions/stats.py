@@ -96,7 +96,7 @@ def robust_z(df: DataFrame, metric: str, group: str = "ch", log: bool = False, n
     """
     value = F.log10(F.greatest(known(metric), F.lit(1e-6))) if log else known(metric)
     rows = df.withColumn("_v", F.when(known(metric).isNotNull(), value))
-    slim = rows.select(group, "_v")
+    slim = cut(rows.select(group, "_v").where("_v is not null"))
     middle = medians(slim, [group], "_v", "_m")
     spread = medians(slim.join(middle, group).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))), [group], "_d", "_s")
     return rows.join(middle.join(spread, group), group).withColumn(name, (F.col("_v") - F.col("_m")) / (1.4826 * F.col("_s") + 1e-12)).drop("_v", "_m", "_s")
