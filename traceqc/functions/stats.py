@@ -113,13 +113,18 @@ def histogram(df: DataFrame, metric: str, bins: int = 60, log: bool = False) ->
     return counted.select(F.lit(metric).alias("metric"), "bin", (F.col("lo") + F.col("bin") * F.col("_w")).alias("low"), "n")
 
 
-def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Adds the average rank of ``value`` within ``group`` (ties share theirs) without bringing a group into one task.
+def ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """(group, value, name): the average rank of each distinct ``value`` within its group, without bringing a group into
+    one task.
 
     A value's rank is the rows below its range, those below it in its range, and half of its ties.
     """
-    parts, below = ranged(df, [group], value)
-    inside = Window.partitionBy(group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    parts, below = ranged(rows, group, value)
+    inside = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ranks = parts.join(below, [group, "_part"]).select(group, value, (F.col("_below") + before + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [group, value], "left")
+    return parts.join(below, [*group, "_part"]).select(*group, value, (F.col("_below") + before + (F.col("_n") + 1) / 2).alias(name))
+
+
+def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Adds the average rank of ``value`` within ``group``; ties share theirs, a missing value has none."""
+    return df.join(ranks(df, [group], value, name), [group, value], "left")

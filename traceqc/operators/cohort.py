@@ -276,8 +276,12 @@ def half_stability(enriched_channels: DataFrame) -> DataFrame:
     page = enriched_channels.where(F.col("montage") == REFERENCE).groupBy(*PAGE).agg(*(F.median(c).alias(c) for c in names))
     bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"h1_{b}").alias("x"), F.col(f"h2_{b}").alias("y")) for b in HALVES)))
     rows = cut(page.select(bands.alias("_b")).select("_b.*").where("x is not null and y is not null"))
-    rows = stats.average_rank(stats.average_rank(rows, "band", "x", "rx"), "band", "y", "ry")
-    out = rows.groupBy("band").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y"))))
+    rank = stats.ranks(rows.select("band", sides.alias("_s")).select("band", "_s.*"), ["band", "side"], "v", "r")
+    ranked = rows
+    for c in ("x", "y"):
+        ranked = ranked.join(rank.where(F.col("side") == c).select("band", F.col("v").alias(c), F.col("r").alias(f"r{c}")), ["band", c])
+    out = ranked.groupBy("band").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
     out = out.join(stats.medians(rows.select("band", F.abs(F.col("x") - F.col("y")).alias("d")), ["band"], "d", "difference"), "band")
     return out.withColumn("unstable", F.col("pearson") < 0.7)
 
