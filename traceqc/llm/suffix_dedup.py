@@ -312,8 +312,11 @@ def hot_spans(texts: DataFrame, dedup: Dedup) -> DataFrame:
 
     found = cut(texts.where(F.size("hot") > 0).mapInArrow(strings, "one long, two long, doc long, lo long, hi long"))
     single = found.where("one is not null")
-    twice = single.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return single.join(twice, ["one", "two"]).select("doc", "lo", "hi").unionByName(found.where("one is null").select("doc", "lo", "hi"))
+    # most strings stand once: what is exchanged of these is one hash
+    twice = cut(single.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"))
+    near = narrowed(single, twice, "one")
+    equal = near.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    return near.join(equal, ["one", "two"]).select("doc", "lo", "hi").unionByName(found.where("one is null").select("doc", "lo", "hi"))
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
