@@ -13,8 +13,8 @@ bytes; strings never cross documents; equal texts are one class, of which one co
    equal ranks there say that the ``length - COVER + 1`` bytes from these on are equal; with the first and last bytes,
    the whole strings are. Strings that are found equal are compared byte by byte before they count.
 3. A bucket that more than ``most_holders`` texts share (a passage that a large part of the corpus holds) would be a block
-   too large to sort. Its strings are told apart by two hashes of 64 bits instead and counted by a pre-aggregated
-   grouping, so no task holds more of it than its own part.
+   too large to sort. Its strings are told apart by two hashes of 64 bits instead and counted; strings that a
+   slice of texts repeats are merged before, and rows of one string spill, so no task gathers them.
 4. Ranges of removed bytes come back to their documents and are merged there.
 
 Runs of suffixes that cover the same bytes (copies of a passage, periodic text) are merged within tasks before
@@ -278,7 +278,7 @@ def sort_block(length: int):
 
 
 def hot_spans(texts: DataFrame, dedup: Dedup) -> DataFrame:
-    """(doc, lo, hi): the repeated strings of the buckets that too many texts hold, by pre-aggregated counts of hashes."""
+    """(doc, lo, hi): the repeated strings of the buckets that too many texts hold, by counts of hashes."""
     length, half = dedup.length, dedup.length // 2
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,12 +311,10 @@ def hot_spans(texts: DataFrame, dedup: Dedup) -> DataFrame:
                 )
 
     found = cut(texts.where(F.size("hot") > 0).mapInArrow(strings, "one long, two long, doc long, lo long, hi long"))
-    single = found.where("one is not null")
-    # most strings stand once: what is exchanged of these is one hash
-    twice = cut(single.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"))
-    near = narrowed(single, twice, "one")
-    equal = near.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return near.join(equal, ["one", "two"]).select("doc", "lo", "hi").unionByName(found.where("one is null").select("doc", "lo", "hi"))
+    # a string stands once for each slice that holds it; what many slices share spills, it isn't gathered
+    times = F.count("*").over(Window.partitionBy("one", "two"))
+    single = found.where("one is not null").withColumn("times", times).where("times > 1")
+    return single.select("doc", "lo", "hi").unionByName(found.where("one is null").select("doc", "lo", "hi"))
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
