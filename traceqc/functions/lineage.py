@@ -42,3 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` as a table of ``n`` buckets by ``key`` in the shared folder, each bucket one sorted file, read again.
+
+    Joins of two such tables (with equal ``n``) and aggregates by ``key`` need no exchange. Rows are dealt out once, here,
+    unless ``df`` comes from such a table already. The catalog keeps no name for it.
+    """
+    spark, name = df.sparkSession, f"traceqc_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", f"{own_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay
+    return out
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes the files behind a table that ``cut`` or ``bucketed`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if folder.rsplit("/", 1)[0].endswith(own_dir(spark).rsplit("/", 1)[1]):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
