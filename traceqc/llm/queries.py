@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceqc.llm import decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
+from traceqc.llm import centroids, decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_url_filters": url_filters.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
+    "op13_centroids": centroids.query,
 }
 
 ORACLE = {
@@ -25,4 +26,5 @@ ORACLE = {
     "op7_mixing": mixing.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
