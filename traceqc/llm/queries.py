@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceqc.llm import centroids, decontamination, jaccard_join, licenses, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
+from traceqc.llm import centroids, chat_format, decontamination, jaccard_join, lexical_search, licenses, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op4_url_filters": url_filters.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
+    "op11_chat_format": chat_format.query,
+    "op12_lexical_search": lexical_search.query,
     "op13_centroids": centroids.query,
 }
 
@@ -26,5 +28,7 @@ ORACLE = {
     "op7_mixing": mixing.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_chat_format": chat_format.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }
