@@ -1,4 +1,8 @@
-"""Exact statistics over columns: NaN counts as missing."""
+"""Exact statistics over columns: NaN counts as missing.
+
+Quantiles, medians, robust deviations and ranks run passes over their rows when they are called, and write what they count
+to the shared folder (see ``lineage``); the plans they return start from these tables.
+"""
 
 from __future__ import annotations
 
@@ -27,48 +31,108 @@ def frequencies(df: DataFrame, value: Column, order: Column, total: Column | Non
     return best.crossJoin(F.broadcast(sums)).select("value", "n", share.alias("share"), F.greatest(F.col("_values") - top, F.lit(0)).alias("further"))
 
 
+EMPTY = "(空)"
+
+
+def counted(rows: DataFrame, values: Column, order: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(key, value, n, _first) over all keys in one aggregate of one scan. ``values`` is an array of structs (key, value) for
+    each row, ``order`` says which row is first; ``extra`` are further sums of numbers for each row and key."""
+    extra = extra or {}
+    flat = rows.select(order.alias("_order"), *(c.alias(n) for n, c in extra.items()), F.posexplode(values).alias("_at", "_v"))
+    key = flat.groupBy(F.col("_v.key").alias("key"), F.col("_v.value").alias("value"))
+    return key.agg(F.count("*").alias("n"), F.min(F.struct("_order", "_at")).alias("_first"), *(F.sum(n).alias(n) for n in extra))
+
+
+def entries(values: dict[str, Column]) -> Column:
+    """Arrays of texts by key as one array of (key, value); null values are left out, empty ones are ``EMPTY``."""
+    pair = lambda k: lambda v: F.struct(F.lit(k).alias("key"), F.when(v == "", EMPTY).otherwise(v).alias("value"))
+    return F.flatten(F.array(*(F.transform(F.filter(a, lambda v: v.isNotNull()), pair(k)) for k, a in values.items())))
+
+
+def most_common(counts: DataFrame, tops: dict[str, int]) -> DataFrame:
+    """Of counts by (key, value) the ``tops[key]`` most common of each key with their share of all, and the number of further
+    values; ties in order of first appearance.
+
+    Values and totals come from one aggregate (grouping sets). Ranks are limited in each task before rows of a key meet.
+    """
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in tops.items() for x in pair)), F.col("key"))
+    both = counts.groupingSets([["key", "value"], ["key"]], "key", "value").agg(F.sum("n").alias("n"), F.min("_first").alias("_first"), F.count("*").alias("_values"), F.grouping("value").alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_total"), F.desc("n"), "_first"))
+    best = both.withColumn("_rank", rank).where(F.col("_rank") <= max(tops.values()) + 1).where(F.col("_rank") <= limit + 1)
+    total = lambda c: F.max(F.when(F.col("_total") == 1, F.col(c))).over(Window.partitionBy("key"))
+    out = best.withColumns({"_all": total("n"), "_values": total("_values")}).where("_total = 0")
+    return out.select("key", "value", "n", (F.col("n") / F.col("_all")).alias("share"), F.greatest(F.col("_values") - limit, F.lit(0)).alias("further"))
+
+
 def unpivot(df: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, value) for each row and metric; missing values left out."""
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), known(m).alias("value")) for m in metrics)))
     return df.select(pairs.alias("_p")).select("_p.*").where("value is not null")
 
 
-def ranged(rows: DataFrame, group: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with their counts ``_n``, dealt out by range, and for each range the rows ``_below`` it in its group,
-    those ``_in`` it, and ``_all`` of the group.
+#: Bins in each power of two.
+BINS = 1 << 16
 
-    The ranges are written before they are used twice, since each dealing samples anew. No group is brought together.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    parts = cut(counts.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()))
-    sums = parts.groupBy(*group, "_part").agg(F.sum("_n").alias("_in"))  # a row for each range
-    lower = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    below = sums.select(*group, "_part", "_in", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_below"), F.sum("_in").over(Window.partitionBy(*group)).alias("_all"))
-    return parts, below
 
+def placed(v: str) -> Column:
+    """The bin of a double, in the order of doubles: its power of two and the next sixteen bits."""
+    power = f"if({v} = 0, -1100, floor(log2(abs({v}))))"
+    inner = f"transform(array({power}), p -> (p + 1101) * {BINS} + if({v} = 0, 0, floor((abs({v}) / pow(2, p) - 1) * {BINS})))[0]"
+    return F.expr(f"cast(signum({v}) * if(abs({v}) = double('inf'), {BINS} * 3000, {inner}) as long)")
 
-def quantiles(rows: DataFrame, group: list[str], value: str, probs: tuple, names: list[str]) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` in each group, with its number of values ``n``.
 
-    Their ranks are looked up in ranges of values, so that memory doesn't grow with the distinct values of a group as
-    it does for an aggregate. Only ranges that hold a rank are read again. Null groups are one group.
-    """
-    parts, below = ranged(rows, group, value)
-    at = [(F.col("_all") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array(*(f(x).cast("long") for x in at for f in (F.floor, F.ceil)))
-    held = below.withColumn("_wanted", wanted).where(F.exists("_wanted", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_in"))))
-    keys = [*group, "_part"]
-    right = held.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_below", "_all")
+def among(rows: DataFrame, few: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+    """Rows whose keys are in ``few`` (null is equal to null), with its columns ``more``."""
+    right = few.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *more)
     on = F.lit(True)
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    near = parts.join(right, on).drop(*(f"_of_{k}" for k in keys))
-    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = near.withColumn("_from", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    has = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("_n"))
-    found = placed.groupBy(*group).agg(F.first("_all").alias("_all"), *(F.max(F.when(has(f(x)), F.col(value))).alias(f"_{tag}{k}") for k, x in enumerate(at) for f, tag in ((F.floor, "lo"), (F.ceil, "hi"))))
-    between = lambda k, x: F.when(F.ceil(x) == F.floor(x), F.col(f"_lo{k}")).otherwise((F.ceil(x) - x) * F.col(f"_lo{k}") + (x - F.floor(x)) * F.col(f"_hi{k}"))
-    return found.select(*group, F.col("_all").alias("n"), *(between(k, x).cast("double").alias(name) for k, (x, name) in enumerate(zip(at, names))))
+    return rows.join(right, on).drop(*(f"_of_{k}" for k in keys))
+
+
+def value_counts(rows: DataFrame, group: list[str], value: Column | str) -> DataFrame:
+    """The values ``_v`` of each group with their counts ``_n``, as a table; missing values are left out."""
+    return cut(rows.select(*group, known(value).alias("_v")).where("_v is not null").groupBy(*group, "_v").agg(F.count("*").alias("_n")))
+
+
+def binned(counts: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Values with their bin, and for each bin the rows ``_from`` below it in its group, those in it and ``_all`` of the group."""
+    of = Window.partitionBy(*group)
+    slim = counts.withColumn("_bin", placed("_v"))
+    bins = slim.groupBy(*group, "_bin").agg(F.sum("_n").alias("_n"))
+    return slim, bins.withColumns({"_all": F.sum("_n").over(of), "_from": F.sum("_n").over(of.orderBy("_bin")) - F.col("_n")})
+
+
+def below(group: list[str]) -> Column:
+    """Rows of the same bin with smaller values."""
+    inside = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(inside), F.lit(0))
+
+
+def selected(counts: DataFrame, group: list[str], probs: tuple, names: list[str]) -> DataFrame:
+    """Exact interpolated quantiles of each group, with its number of values ``n``, from values with counts.
+
+    Selection by refinement: the bins of all groups are counted in one aggregate, and only the values of bins that hold a
+    wanted rank are sorted. What comes together in one task are the bins of a group, or the distinct values of one bin,
+    which agree in 28 leading bits. Null groups are one group.
+    """
+    one = [*group, "_bin"]
+    wanted = F.expr(f"transform(array({', '.join(f'double({p})' for p in probs)}), p -> (_all - 1) * p)")
+    held = F.expr("exists(_at, r -> _from <= ceil(r) and floor(r) < _from + _n)")
+    slim, bins = binned(counts, group)
+    few = bins.withColumn("_at", wanted).where(held).select(*one, F.col("_from").alias("_base"), "_at", "_all")
+    found = among(slim, few, one, ["_base", "_at", "_all"]).withColumn("_from", F.col("_base") + below(group))
+    end = lambda f, k: F.expr(f"max(if(_from <= {f}(_at[{k}]) and {f}(_at[{k}]) < _from + _n, _v, null))")
+    ends = [end(f, k).alias(f"_{f}{k}") for k in range(len(probs)) for f in ("floor", "ceil")]
+    out = found.groupBy(*group).agg(F.first("_all").alias("n"), F.first("_at").alias("_at"), *ends).where("n is not null")
+    between = lambda k: f"if(ceil(_at[{k}]) = floor(_at[{k}]), _floor{k}, (ceil(_at[{k}]) - _at[{k}]) * _floor{k} + (_at[{k}] - floor(_at[{k}])) * _ceil{k})"
+    return out.select(*group, "n", *(F.expr(between(k)).alias(name) for k, name in enumerate(names)))
+
+
+def quantiles(rows: DataFrame, group: list[str], value: Column | str, probs: tuple, names: list[str]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` in each group, with its number of values ``n``. The rows are read once, when
+    this is called: their distinct values are counted into a table, which ``selected`` reads."""
+    return selected(value_counts(rows, group, value), group, probs, names)
 
 
 def medians(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -91,38 +155,38 @@ def profile(df: DataFrame, metrics: list[str], approx: bool = False) -> DataFram
 def robust_z(df: DataFrame, metric: str, group: str = "ch", log: bool = False, name: str = "z") -> DataFrame:
     """Adds the distance from the group's median in units of its scaled median absolute deviation.
 
-    Both medians come from slim rows by rank; the groups (channel names) come back by a join that adaptive execution
-    broadcasts when they are few.
+    Two passes: one counts the values of each group, from which both medians follow; one adds the distances. The medians
+    are a table of a row a group, which the planner broadcasts when it is small.
     """
-    value = F.log10(F.greatest(known(metric), F.lit(1e-6))) if log else known(metric)
-    rows = df.withColumn("_v", F.when(known(metric).isNotNull(), value))
-    slim = cut(rows.select(group, "_v").where("_v is not null"))
-    middle = medians(slim, [group], "_v", "_m")
-    spread = medians(slim.join(middle, group).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))), [group], "_d", "_s")
-    return rows.join(middle.join(spread, group), group).withColumn(name, (F.col("_v") - F.col("_m")) / (1.4826 * F.col("_s") + 1e-12)).drop("_v", "_m", "_s")
+    value = F.when(known(metric).isNotNull(), F.log10(F.greatest(known(metric), F.lit(1e-6)))) if log else known(metric)
+    counts = value_counts(df, [group], value)
+    middle = cut(selected(counts, [group], (0.5,), ["_m"]).drop("n"))
+    away = counts.join(middle, group).withColumn("_v", F.abs(F.col("_v") - F.col("_m")))
+    both = cut(selected(away, [group], (0.5,), ["_s"]).drop("n").join(middle, group))
+    return df.withColumn("_v", value).join(both, group).withColumn(name, (F.col("_v") - F.col("_m")) / (1.4826 * F.col("_s") + 1e-12)).drop("_v", "_m", "_s")
 
 
-def histogram(df: DataFrame, metric: str, bins: int = 60, log: bool = False) -> DataFrame:
-    """(metric, bin, low, n): equal bins from minimum to maximum, the last one closed; zeros and missing values dropped."""
-    v = F.log10(known(metric)) if log else known(metric)
-    rows = df.where(known(metric) != 0).select(v.alias("v")).where("v is not null")
-    span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counted = rows.crossJoin(F.broadcast(span)).groupBy(place.alias("bin"), "lo", width.alias("_w")).agg(F.count("*").alias("n"))
-    return counted.select(F.lit(metric).alias("metric"), "bin", (F.col("lo") + F.col("bin") * F.col("_w")).alias("low"), "n")
+def histograms(df: DataFrame, metrics: dict[str, bool], bins: int = 60) -> DataFrame:
+    """(metric, bin, low, n) for all metrics: equal bins from minimum to maximum, the last one closed; zeros and missing values
+    dropped; of those marked true the decimal logarithm.
+
+    Two scans whatever the number of metrics: one for the spans (a row a metric), one for the counts.
+    """
+    pair = lambda m, log: F.struct(F.lit(m).alias("metric"), F.when(known(m) != 0, F.log10(known(m)) if log else known(m)).alias("v"))
+    rows = df.select(F.explode(F.array(*(pair(m, log) for m, log in metrics.items()))).alias("_p")).select("_p.*").where("v is not null")
+    span = rows.groupBy("metric").agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("_w"))  # a row a metric
+    place = F.when(F.col("_w") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("_w")), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    counted_ = rows.join(F.broadcast(span), "metric").groupBy("metric", place.alias("bin"), "lo", "_w").agg(F.count("*").alias("n"))
+    return counted_.select("metric", "bin", (F.col("lo") + F.col("bin") * F.col("_w")).alias("low"), "n")
 
 
 def ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """(group, value, name): the average rank of each distinct ``value`` within its group, without bringing a group into
-    one task.
-
-    A value's rank is the rows below its range, those below it in its range, and half of its ties.
-    """
-    parts, below = ranged(rows, group, value)
-    inside = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return parts.join(below, [*group, "_part"]).select(*group, value, (F.col("_below") + before + (F.col("_n") + 1) / 2).alias(name))
+    one task: the rows in bins below its own, those below it in its bin, and half of its ties. The rows are read once, when
+    this is called."""
+    slim, bins = binned(value_counts(rows, group, value), group)
+    placed_ = among(slim, bins.withColumnRenamed("_from", "_base"), [*group, "_bin"], ["_base"])
+    return placed_.select(*group, F.col("_v").alias(value), (F.col("_base") + below(group) + (F.col("_n") + 1) / 2).alias(name))
 
 
 def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from traceqc.functions import stats
 from traceqc.functions.lineage import cut
-from traceqc.functions.text import seconds
+from traceqc.functions.text import FILTER_WORDS, seconds
 
 REFERENCE, REF, BIPOLAR = "A1/A2参考", "REF", "双极"
 RESTING = "背景"
@@ -80,38 +80,108 @@ def second_summary(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count(s).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"))
 
 
+#: What is counted over pages and over records, and how many values of each are shown.
+PAGE_TOPS = {"stage": 6, "sensitivity": 6, "speed": 6, "n_channels": 8, "marker_row": 2}
+RECORD_TOPS = {"n_pages": 8, "stages": 8, "examiner": 6, "length": 5}
+
+
+def page_values(keys: tuple[str, ...] = tuple(PAGE_TOPS)) -> dict[str, Column]:
+    """For each key its values over the pages of a record, as texts."""
+
+    def of(key: str) -> Column:
+        return F.transform("waveforms", lambda w: F.size(w["channels"]).cast("string") if key == "n_channels" else w[key].cast("string"))
+
+    return {k: of(k) for k in keys}
+
+
+def record_values(keys: tuple[str, ...] = tuple(RECORD_TOPS)) -> dict[str, Column]:
+    """For each key the value of a record, as an array of one text."""
+    shown = F.transform("waveforms", lambda w: F.when(w["stage"] == "", F.lit(stats.EMPTY)).otherwise(w["stage"]))
+    own = {"n_pages": F.size("waveforms").cast("string"), "stages": F.array_join(shown, " + "), "length": seconds(F.col("length")).cast("string")}
+    return {k: F.array(own.get(k, F.col(k))) for k in keys}
+
+
+def distributions(records: DataFrame, tops: dict[str, int] | None = None) -> DataFrame:
+    """(key, value, n, share, further): how often pages (stage, sensitivity, speed, number of channels, marker row) and records
+    (number of pages, combination of stages, examiner, length in seconds) have a value; ``tops`` names the keys and how
+    many values of each are shown. Empty texts are shown as such, missing lengths are left out; ties in order of records.
+
+    All keys are counted in one aggregate over one scan of the records.
+    """
+    tops = PAGE_TOPS | RECORD_TOPS if tops is None else tops
+    values = page_values(tuple(k for k in tops if k in PAGE_TOPS)) | record_values(tuple(k for k in tops if k not in PAGE_TOPS))
+    return stats.most_common(stats.counted(records, stats.entries(values), F.col("rec")), tops)
+
+
 def consistency(records: DataFrame, keys: list[str]) -> DataFrame:
     """For each key of the waveform entries: records with at most one value, distinct values over all pages, and whether
-    all pages agree."""
-    rows = None
-    for key in keys:
-        values = F.transform("waveforms", lambda w: w.getField(key))
-        one = records.select(F.lit(key).alias("key"), (F.size(F.array_distinct(values)) <= 1).cast("int").alias("same"), values.alias("values"))
-        part = one.agg(F.first("key").alias("key"), F.sum("same").alias("consistent"), F.count("*").alias("records"))
-        distinct = one.select(F.explode("values").alias("v")).agg(F.countDistinct("v").alias("n_values"))
-        part = part.crossJoin(distinct).withColumn("all_agree", F.col("n_values") == 1)  # one row each
-        rows = part if rows is None else rows.union(part)
-    return rows
+    all pages agree. One scan; what is counted is one row for each key and distinct value of a record."""
+    each = F.array(*(F.struct(F.lit(k).alias("key"), F.array_distinct(v).alias("values")) for k, v in page_values(tuple(keys)).items()))
+    rows = records.select(F.explode(each).alias("_k")).select("_k.key", F.size("_k.values").alias("_size"), F.posexplode_outer("_k.values").alias("_at", "value"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0  # a record without pages has one row too
+    values = rows.groupBy("key", "value").agg(F.count_if(first).alias("records"), F.count_if(first & (F.col("_size") <= 1)).alias("consistent"))
+    out = values.groupBy("key").agg(F.sum("consistent").alias("consistent"), F.sum("records").alias("records"), F.count("value").alias("n_values"))
+    return out.withColumn("all_agree", F.col("n_values") == 1)
 
 
 def stage_combinations(records: DataFrame) -> DataFrame:
-    shown = F.transform("waveforms", lambda w: F.when(w["stage"] == "", F.lit("(空)")).otherwise(w["stage"]))
-    return records.groupBy(F.array_join(shown, " + ").alias("stages")).agg(F.count("*").alias("n"))
+    return records.groupBy(record_values(("stages",))["stages"][0].alias("stages")).agg(F.count("*").alias("n"))
+
+
+def marker_by_examiner(records: DataFrame) -> DataFrame:
+    """Records of each examiner, and the share of their pages that have a marker row."""
+    pages = F.size(F.filter("waveforms", lambda w: w["marker_row"].isNotNull()))
+    marked = F.size(F.filter("waveforms", lambda w: w["marker_row"]))
+    return records.groupBy("examiner").agg(F.count("*").alias("n"), (F.sum(marked) / F.nullif(F.sum(pages), F.lit(0))).alias("marker_share"))
+
+
+# --- texts on pages
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """(text, n, records): how often each text stands on pages, and in how many records. Rows are pre-aggregated by record."""
+    return rows.groupBy("text", "rec").agg(F.count("*").alias("n")).groupBy("text").agg(F.sum("n").alias("n"), F.count("rec").alias("records"))
+
+
+def matching_texts(rows: DataFrame, pattern: str = FILTER_WORDS) -> DataFrame:
+    """The texts that match ``pattern`` (by default, words of filters and sampling)."""
+    return texts(rows.where(F.col("text").rlike(pattern)))
+
+
+def other_texts(rows: DataFrame, word: str = "滤波") -> DataFrame:
+    """The texts without ``word``; missing ones are left out."""
+    return texts(rows.where(~F.col("text").contains(word)))
+
+
+def text_search(rows: DataFrame, pattern: str = FILTER_WORDS, word: str = "滤波") -> DataFrame:
+    """One row: rows that match, their records and distinct texts in order, and rows without ``word``; two aggregates, of which
+    the first leaves a row for each text and record."""
+    hit = F.col("text").rlike(pattern)
+    slim = rows.groupBy(F.when(hit, F.col("text")).alias("text"), F.when(hit, F.col("rec")).alias("rec")).agg(F.count("*").alias("n"), F.count_if(~F.col("text").contains(word)).alias("others"))
+    return slim.agg(
+        F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0)).alias("hits"),
+        F.countDistinct("rec").alias("records"),
+        F.array_join(F.array_sort(F.collect_set("text")), "|").alias("texts"),
+        F.coalesce(F.sum("others"), F.lit(0)).alias("others"),
+    )
 
 
 # --- page and channel quality
 
 
+def sampling_values(pages: DataFrame) -> DataFrame:
+    """(key, value, n): pages by number of points, and by rates and step in their last shown digit; one scan."""
+    digit = {"points": F.col("n_points"), "fs_len_hundredths": F.round(F.col("fs_len") * 100), "fs_paper_tenths": F.round(F.col("fs_paper") * 10), "x_step_thousandths": F.round(F.col("x_step_pt") * 1000)}
+    values = F.array(*(F.struct(F.lit(k).alias("key"), c.cast("long").alias("value")) for k, c in digit.items()))
+    return pages.select(F.explode(values).alias("_v")).groupBy("_v.key", "_v.value").agg(F.count("*").alias("n")).where("value is not null")
+
+
 def sampling(pages: DataFrame) -> DataFrame:
-    """Distinct numbers of points, rates and steps, and whether all pages are sampled alike."""
-    distinct = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), " ")
-    return pages.agg(
-        distinct(F.col("n_points")).alias("points"),
-        distinct(F.round(F.col("fs_len") * 100).cast("long")).alias("fs_len_hundredths"),
-        distinct(F.round(F.col("fs_paper") * 10).cast("long")).alias("fs_paper_tenths"),
-        distinct(F.round(F.col("x_step_pt") * 1000).cast("long")).alias("x_step_thousandths"),
-        ((F.countDistinct("n_points") == 1) & (F.countDistinct(F.round("x_step_pt", 3)) == 1)).alias("uniform"),
-    )
+    """Distinct numbers of points, rates and steps, and whether all pages are sampled alike; from the counts of values."""
+    of = lambda key: F.when(F.col("key") == key, F.col("value"))
+    text = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(of(key))), lambda x: x.cast("string")), " ")
+    uniform = (F.count(of("points")) == 1) & (F.count(of("x_step_thousandths")) == 1)
+    return sampling_values(pages).agg(*(text(k).alias(k) for k in ("points", "fs_len_hundredths", "fs_paper_tenths", "x_step_thousandths")), uniform.alias("uniform"))
 
 
 def sensitivity_groups(pages: DataFrame) -> DataFrame:

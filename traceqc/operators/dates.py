@@ -20,6 +20,23 @@ def lenient(c: Column, formats: tuple = FORMATS) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
 
 
+def with_inferred(df: DataFrame, column: str, name: str, formats: tuple = FORMATS, order: Column | None = None) -> DataFrame:
+    """Adds ``name``: the timestamp of ``column`` in the one format of the whole column, null for texts in others.
+
+    With ``order``, the first value that is not null decides, by the first format it has; a first value in no format leaves
+    all null. Without, the format that most values have, the first of equals. One aggregate gives one row, which is broadcast.
+    """
+    parsed = [F.try_to_timestamp(F.col(column), F.lit(f)) for f in formats]
+    if order is None:
+        votes = [F.struct(F.count(p).alias("n"), F.lit(-k).alias("k")) for k, p in enumerate(parsed)]
+        best = df.agg(F.greatest(*votes).alias("_v")).select(F.when(F.col("_v.n") > 0, -F.col("_v.k")).alias("_format"))
+    else:
+        has = F.coalesce(*(F.when(p.isNotNull(), F.lit(k)) for k, p in enumerate(parsed)))
+        best = df.where(F.col(column).isNotNull()).agg(F.min_by(F.struct(has.alias("k")), order)["k"].alias("_format"))
+    chosen = F.coalesce(*(F.when(F.col("_format") == k, p) for k, p in enumerate(parsed)))
+    return df.crossJoin(F.broadcast(best)).withColumn(name, chosen).drop("_format")
+
+
 def strict(c: Column, formats: tuple = FORMATS) -> Column:
     """As ``lenient``, but a text in none of the formats is an error."""
     failed = F.raise_error(F.concat(F.lit("no date: "), c)).cast("timestamp")

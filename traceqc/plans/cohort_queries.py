@@ -32,7 +32,7 @@ def waves(spark, d):
 
 def records(spark, d):
     """Records with their nested waveform lists."""
-    row = F.struct("wave_idx", "channels", "stage", "sensitivity", "speed")
+    row = F.struct("wave_idx", "channels", "stage", "sensitivity", "speed", "marker_row")
     lists = waves(spark, d).groupBy("rec").agg(F.array_sort(F.collect_list(row)).alias("waveforms"))
     return frame(spark, d, RECORDS).join(lists, "rec", "left").withColumn("waveforms", F.coalesce("waveforms", F.array().cast(lists.schema["waveforms"].dataType)))
 
@@ -164,8 +164,49 @@ def c11(spark, d):
 
 @query("c11_marker_and_examiner", f"with {W}, {R} select examiner, count(distinct r.rec) n, round(avg(marker_row::int), 9) marker_share from r left join w using (rec) group by 1")
 def c11_examiner(spark, d):
-    r, w = frame(spark, d, RECORDS), waves(spark, d)
-    return rounded(r.join(w, "rec", "left").groupBy("examiner").agg(F.countDistinct("rec").alias("n"), F.avg(F.col("marker_row").cast("int")).alias("marker_share")), 9)
+    return rounded(C.marker_by_examiner(records(spark, d)), 9)
+
+
+def shown(rows: str, tops: dict[str, int]) -> str:
+    """The most common values of each key, from rows (key, value, first) in SQL."""
+    limit = "case \"key\" " + " ".join(f"when '{k}' then {n}" for k, n in tops.items()) + " end"
+    return f"""g as (select "key", "value", count(*) n, min(o) o from ({rows}) group by 1, 2), h as (select *, sum(n) over (partition by "key") s, count(*) over (partition by "key") m, row_number() over (partition by "key" order by n desc, o) k from g)
+    select "key", "value", n, round(n / s, 9) share, greatest(m - {limit}, 0) further from h where k <= {limit}"""
+
+
+def page_rows(keys: dict[str, str]) -> str:
+    return " union all ".join(f"select '{k}' \"key\", coalesce(nullif({c}::varchar, ''), '(空)') \"value\", struct_pack(a := rec, b := wave_idx) o from w" for k, c in keys.items())
+
+
+def record_rows(keys: dict[str, str]) -> str:
+    return " union all ".join(f"select '{k}' \"key\", coalesce(nullif({c}::varchar, ''), '(空)') \"value\", struct_pack(a := rec, b := 0) o from l where {c} is not null" for k, c in keys.items())
+
+
+PAGE_KEYS = {"stage": "stage", "sensitivity": "sensitivity", "speed": "speed", "n_channels": "len(c)", "marker_row": "marker_row"}
+RECORD_KEYS = {"n_pages": "len(a)", "stages": "array_to_string(list_transform(st, lambda x: case when x = '' then '(空)' else x end), ' + ')", "examiner": "examiner", "length": SEC.format(x="length")}
+
+
+def distribution_query(name: str, tops: dict[str, int]):
+    parts = [page_rows({k: PAGE_KEYS[k] for k in tops if k in PAGE_KEYS}), record_rows({k: RECORD_KEYS[k] for k in tops if k in RECORD_KEYS})]
+
+    @query(name, f"with {LISTS}, {shown(' union all '.join(p for p in parts if p), tops)}")
+    def run(spark, d):
+        return rounded(C.distributions(records(spark, d), tops), 9)
+
+
+distribution_query("c6_channels_per_page", {"n_channels": 8})
+distribution_query("c9_lengths", {"length": 5})
+distribution_query("c10_distributions", {"stage": 6, "sensitivity": 6, "speed": 6})
+distribution_query("c11_distributions", {"marker_row": 2, "stages": 8, "examiner": 6})
+distribution_query("c6_c11_distributions", C.PAGE_TOPS | C.RECORD_TOPS)
+
+
+DIGITS = {"points": "n_points", "fs_len_hundredths": "round(fs_len*100)::bigint", "fs_paper_tenths": "round(fs_paper*10)::bigint", "x_step_thousandths": "round(x_step_pt*1000)::bigint"}
+
+
+@query("c12_values", f"with {P} " + " union all ".join(f"select '{k}' \"key\", {c} \"value\", count(*) n from p group by 2" for k, c in DIGITS.items()))
+def c12_values(spark, d):
+    return C.sampling_values(pages(spark, d))
 
 
 @query("c12_sampling", f"with {P} select array_to_string(list_sort(list(distinct n_points)), ' ') points, array_to_string(list_sort(list(distinct round(fs_len*100)::bigint)), ' ') fs_len_hundredths, array_to_string(list_sort(list(distinct round(fs_paper*10)::bigint)), ' ') fs_paper_tenths, array_to_string(list_sort(list(distinct round(x_step_pt*1000)::bigint)), ' ') x_step_thousandths, count(distinct n_points) = 1 and count(distinct round(x_step_pt, 3)) = 1 uniform from p")
@@ -330,13 +371,14 @@ def histogram_sql() -> str:
 
 @query("c31_histograms", histogram_sql())
 def c31(spark, d):
-    c, out = channels(spark, d), None
-    for metric, log in HISTOGRAMS.items():
-        part = rounded(stats.histogram(c, metric, log=log))
-        out = part if out is None else out.union(part)
-    return out
+    return rounded(stats.histograms(channels(spark, d), HISTOGRAMS))
 
 
 @query("t19_other_texts", f"with t as ({plain(TEXTS)}) select text, count(*) n, count(distinct rec) records from t where not contains(text, '滤波') group by 1")
 def t19_texts(spark, d):
-    return frame(spark, d, TEXTS).where(~F.col("text").contains("滤波")).groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("rec").alias("records"))
+    return C.other_texts(frame(spark, d, TEXTS))
+
+
+@query("t19_matching_texts", f"with t as ({plain(TEXTS)}) select text, count(*) n, count(distinct rec) records from t where regexp_matches(text, '滤波|陷波|采样|Hz') group by 1")
+def t19_matching(spark, d):
+    return C.matching_texts(frame(spark, d, TEXTS))

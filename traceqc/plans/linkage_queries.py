@@ -118,6 +118,34 @@ def d1(spark, d):
     return frame(spark, d, EXAMS).select("source_file", "exam_date", D.lenient(F.col("exam_date")).cast("date").alias("parsed"))
 
 
+#: Dates of orders as one column of mixed formats, with texts that are none.
+MIXED = """select o_orderkey, case when o_orderkey%11 = 0 then null when o_orderkey%13 = 0 then 'n/a' when o_orderkey%5 = 1 then replace(substr(cast(o_orderdate as string), 1, 10), '-', '/')
+  when o_orderkey%7 = 2 then replace(substr(cast(o_orderdate as string), 1, 10), '-', '') else substr(cast(o_orderdate as string), 1, 10) end given from {orders}"""
+MIXED_FORMATS = {"y/M/d": "%Y/%m/%d", "yyyyMMdd": "%Y%m%d", "y-M-d": "%Y-%m-%d"}
+
+
+def inferred_sql(choice: str) -> str:
+    """Each value in the format whose number ``choice`` gives."""
+    case = " ".join(f"when {k} then try_strptime(given, '{f}')" for k, f in enumerate(MIXED_FORMATS.values()))
+    return f"with m as ({plain(MIXED)}), c as ({choice}) select o_orderkey, given, case k {case} end::date parsed from m, c"
+
+
+VOTES = "select k from (select unnest([" + ", ".join(f"count(try_strptime(given, '{f}'))" for f in MIXED_FORMATS.values()) + "]) n, unnest([0, 1, 2]) k from m) order by n desc, k limit 1"
+FIRST = "select case " + " ".join(f"when try_strptime(given, '{f}') is not null then {k}" for k, f in enumerate(MIXED_FORMATS.values())) + " end k from m where given is not null order by o_orderkey limit 1"
+
+
+@query("d1_format_by_votes", inferred_sql(VOTES))
+def d1_votes(spark, d):
+    out = D.with_inferred(frame(spark, d, MIXED), "given", "parsed", tuple(MIXED_FORMATS))
+    return out.withColumn("parsed", F.to_date("parsed"))
+
+
+@query("d1_format_of_first", inferred_sql(FIRST))
+def d1_first(spark, d):
+    out = D.with_inferred(frame(spark, d, MIXED), "given", "parsed", tuple(MIXED_FORMATS), F.col("o_orderkey"))
+    return out.withColumn("parsed", F.to_date("parsed"))
+
+
 @query("d2_first_report", f"with {G} select subject_id, record_id, nullif(x, '~') exam_date from f")
 def d2(spark, d):
     return D.first_reports(frame(spark, d, EXAMS))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from traceqc.functions import text as T
+from traceqc.operators import cohort
 from traceqc.operators import reports as R
 from traceqc.plans.fixtures import DOCUMENTS, TEXTS, WAVES, frame, plain
 from traceqc.plans.scratch import scratch
@@ -161,6 +163,20 @@ def s4(spark, d):
     return io.latest(R.reports(pages_of(spark, d)).select(key.alias("key"), "source_file"), "key")
 
 
+SECOND = "cast(substr(source_file, 2, 9) as int) % 3 = 0"
+
+
+@query("s4_upsert", f"select key, coalesce(max(source_file) filter ({SECOND}), max(source_file)) source_file, bool_or({SECOND}) replaced from (select * exclude (record_id), case when length(record_id) > 2 then left(record_id, length(record_id) - 1) else record_id end key from (with {REPORTS_SQL} select source_file, record_id from reports)) group by 1")
+def s4_upsert(spark, d):
+    """Reports in two batches, written one after the other: of documents with one key that of the later batch stays."""
+    key = F.when(F.length("record_id") > 2, F.left("record_id", F.length("record_id") - 1)).otherwise(F.col("record_id"))
+    rows = R.reports(pages_of(spark, d)).select(key.alias("key"), "source_file", F.expr(SECOND).alias("replaced"))
+    path = scratch(spark, "records")
+    for batch in (~F.col("replaced"), F.col("replaced")):
+        io.upsert(rows.where(batch), path, "key", parts=16)
+    return io.read_records(spark, path)
+
+
 @query("s2_csv_round_trip", f"with {REPORTS_SQL} select source_file, nullif(name, '') name, nullif(medication, '') medication, nullif(eeg_text, '') eeg_text, nullif(conclusion, '') conclusion from reports")
 def s2(spark, d):
     """Reports written as CSV and read back as strings; what was empty is null."""
@@ -209,13 +225,7 @@ def t18(spark, d):
 
 @query("t19_text_search", f"with t as ({plain(TEXTS)}) select count(*) filter (regexp_matches(text, '{T.FILTER_WORDS}')) hits, count(distinct rec) filter (regexp_matches(text, '{T.FILTER_WORDS}')) records, array_to_string(list_sort(list(distinct text) filter (regexp_matches(text, '{T.FILTER_WORDS}'))), '|') texts, count(*) filter (not contains(text, '滤波')) others from t")
 def t19(spark, d):
-    hit = F.col("text").rlike(T.FILTER_WORDS)
-    return frame(spark, d, TEXTS).agg(
-        F.count_if(hit).alias("hits"),
-        F.countDistinct(F.when(hit, F.col("rec"))).alias("records"),
-        F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("text")))), "|").alias("texts"),
-        F.count_if(~F.col("text").contains("滤波")).alias("others"),
-    )
+    return cohort.text_search(frame(spark, d, TEXTS))
 
 
 @query("s5_signal_store", "select cast(floor(vec_id/13) as int) trace_id, len(flatten(list(embedding order by vec_id)))::int n, round(list_sum(flatten(list(embedding order by vec_id))::double[]), 4) total from embeddings group by 1")
@@ -227,3 +237,24 @@ def s5(spark, d):
     io.write_signals(traces, path)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return io.read_signals(spark, path).select("trace_id", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
+
+
+#: A trace of 13 vectors a page, four pages a record.
+TRACES = "select cast(cast(floor(vec_id/52) as bigint) as string) rec, cast(floor(vec_id/13) as bigint) % 4 page_no, vec_id, label, embedding from {embeddings}"
+SHARDS = 16
+
+
+@query(
+    "s5_signals_of_pages",
+    f"with t as ({plain(TRACES)}), p as (select rec, page_no, max_by(label, vec_id) last from t group by 1, 2) select rec, page_no, len(flatten(list(embedding order by vec_id)))::int n, round(list_sum(flatten(list(embedding order by vec_id))::double[]), 4) total from t join p using (rec, page_no) where last > 1 group by 1, 2",
+)
+def s5_pages(spark, d):
+    """Signals in a table by page, of which the pages are read whose last vector has a label above 1."""
+    t = frame(spark, d, TRACES)
+    signals = t.groupBy("rec", "page_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    wanted = t.groupBy("rec", "page_no").agg(F.max_by("label", "vec_id").alias("last")).where("last > 1")
+    table = f"signals_{uuid.uuid4().hex}"
+    io.write_signal_table(signals, table, scratch(spark, "signals"), SHARDS)
+    stored = spark.table(table)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return io.signals_of(stored, wanted, SHARDS).select("rec", "page_no", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
