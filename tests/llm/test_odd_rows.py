@@ -57,10 +57,28 @@ def test_near_copies(spark):
 
 def test_benchmark(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
-    rows = [*ROWS, (11, "x " + item, "en", "s"), (11, prose(99), "en", "s"), (None, item, None, None)]
+    clean = [(None, prose(200 + i), "en", "s") for i in range(20)] + [(11, prose(99), "en", "s")]
+    rows = [*ROWS, (11, "x " + item, "en", "s"), (None, item, None, None), *clean]
     got = apply(spark, "benchmark_decontamination", rows)
-    # what is decided for an id holds for all its rows
-    assert got == expected(lambda i, t: i is not None)
+    # only rows that hold the item go, whatever others have their id or none
+    assert got == sorted(((i, t) for i, t, *_ in [*ROWS, *clean]), key=str)
+
+
+def test_near_copies_without_ids(spark):
+    rows = [*ROWS, (None, prose(2), "en", "s"), (None, prose(3) + " more", "en", "s"), (None, prose(77), "en", "s"), (None, prose(77), "en", "t")]
+    got = apply(spark, "ngram_jaccard_join", rows)
+    left = sorted(((i, t) for i, t, *_ in [*ROWS, *rows[-2:]] if i not in (8, 9)), key=str)
+    # a copy of 2 goes; of two near copies without ids one stays; equal rows stay together
+    either = [sorted([r for r in left if r != (None, prose(3))] + [(None, prose(3) + " more")], key=str), left]
+    assert got in either
+
+
+def test_the_budget_holds_without_ids(spark):
+    rows = [(i, "word " * 5, "en", "src0") for i in range(1000)] + [(None, f"w{i} " * 5, "en", "src4") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.Mix(budget_share=0.1)
+    for out in (mixing.mixed(docs, mix).selectExpr("n_tokens * copies n"), mixing.mixture(docs, mix).selectExpr("5 n")):
+        assert 990 <= out.agg(F.sum("n")).first()[0] <= 1000
 
 
 def test_mixing(spark):

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import brute
+import numpy as np
 
 from traceqc.llm import decontamination
 
@@ -57,3 +58,41 @@ def test_groups_of_items_change_no_similarity(spark):
     assert one == contaminated(docs, items)
     assert found(spark, docs, items, max_items=1)[0] == one
     assert found(spark, docs, items, max_items=4)[0] == one
+
+
+def test_items_of_one_template_take_little_memory():
+    """Many items share template words; a long clean text repeats them, another holds one item."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(9)
+    head, tail = "choose the one best answer to this".split(), "mark it".split()
+    items = [(i, " ".join([*head, *(f"q{rng.randrange(10**6)}" for _ in range(25)), *tail])) for i in range(8000)]
+    index = decontamination.Items(items, decontamination.Search())
+    clean = " ".join(" ".join([*head, *(f"x{rng.randrange(10**6)}" for _ in range(18)), *tail]) for _ in range(4000))
+    dirty = clean[:200_000] + " " + items[4321][1] + " " + clean[200_000:400_000]
+    tracemalloc.start()
+    s, d = decontamination.shingles_of(clean), decontamination.shingles_of(dirty)
+    assert index.matches(s, np.array([0, len(s)])) == {}
+    assert {k for _, k in index.matches(d, np.array([0, len(d)]))} == {4321}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_candidates_come_in_parts_without_loss(monkeypatch):
+    """Windows like many items: the same pairs, however few are looked at at once."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(2)}"
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(300)]
+    index = decontamination.Items(items, decontamination.Search())
+    s = decontamination.shingles_of(" ".join(word() for _ in range(2000)) + " " + items[5][1])
+    prints = index.prints(s, np.arange(len(s) - 15), 16)
+    pairs = lambda: [tuple(x) for w, m in index.candidates(prints, 16) for x in zip(w.tolist(), m.tolist())]
+    whole = pairs()
+    close = np.bitwise_count(prints[:, None] ^ index.sizes[16]["prints"][None, :]) <= decontamination.RADIUS
+    assert whole == list(zip(*(x.tolist() for x in np.nonzero(close)))) and len(whole) > 30
+    monkeypatch.setattr(decontamination, "PAIRS", 50)
+    assert pairs() == whole

@@ -6,8 +6,9 @@ words than the item is one window as a whole. A window's 64-bit SimHash is looke
 so no fingerprint within distance 15 is missed (a fingerprint that differs by 2 bits or more in each of 8 blocks
 differs by 16 at least). Candidates are verified by the exact weighted Jaccard similarity of the shingle multisets.
 A window that shares no shingle with an item of its size has similarity 0, so only windows that hold one are
-fingerprinted; this loses nothing. Nor does leaving out a shorter document whose shingles of such items weigh less than
-``similarity`` of the lightest of them.
+fingerprinted, and of these only such whose shingles of items of their size weigh ``similarity`` of the window, and of the
+lightest of these items; this loses nothing. Nor does leaving out a shorter document whose shingles of such items weigh
+less than ``similarity`` of the lightest of them.
 
 The items travel to the tasks in groups of about ``max_items`` rows and ``max_bytes`` of text, one pass over the documents for each group.
 Frequencies are counted over all items in Spark, and each group weighs by them, so groups change no result. Shingles of
@@ -40,6 +41,7 @@ from traceqc.llm.common import table
 WIDTH = 5
 BLOCKS, REACH, RADIUS = 8, 1, 15
 SPAN = 1 << 15  # shingles fingerprinted at once
+PAIRS = 1 << 20  # pairs of windows and items looked at at once
 
 
 @dataclass(frozen=True)
@@ -136,19 +138,25 @@ class Items:
         bits = (total[starts + size] - total[starts]) > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
-    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, member) of all pairs within the radius."""
+    def candidates(self, prints: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, member) of all pairs within the radius, of so many windows at a time that their blocks hold ``PAIRS``
+        pairs (one window at least)."""
         own = self.sizes[size]
-        pairs = []
-        for b, (heads, members) in enumerate(own["index"]):
-            value = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-            lo, n = heads[value], heads[value + 1] - heads[value]
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.repeat(np.arange(len(prints)), n) * len(own["members"]) + members[at])
-        pairs = np.unique(np.concatenate(pairs))
-        window, member = pairs // len(own["members"]), pairs % len(own["members"])
-        close = np.bitwise_count(prints[window] ^ own["prints"][member]) <= RADIUS
-        return window[close], member[close]
+        values = [((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64) for b in range(BLOCKS)]
+        pairs = np.cumsum(sum(np.diff(heads)[v] for (heads, _), v in zip(own["index"], values)))
+        at = 0
+        while at < len(prints):
+            to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, "right")))
+            found = []
+            for (heads, members), value in zip(own["index"], values):
+                lo, n = heads[value[at:to]], np.diff(heads)[value[at:to]]
+                place = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                window, member = np.repeat(np.arange(at, to), n), members[place]
+                close = np.bitwise_count(prints[window] ^ own["prints"][member]) <= RADIUS
+                found.append(window[close] * len(own["members"]) + member[close])
+            both = np.unique(np.concatenate(found))
+            yield both // len(own["members"]), both % len(own["members"])
+            at = to
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of two shingle multisets."""
@@ -157,6 +165,30 @@ class Items:
         w = self.weight(every)
         return float((np.minimum(x, y) * w).sum() / (np.maximum(x, y) * w).sum())
 
+    def heavy(self, s: np.ndarray, h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Windows whose shingles of items of their size, at the places ``h``, can make up the similarity.
+
+        What a window shares with an item weighs no more than these, and the similarity no more than that over the whole
+        window's weight, or over the lightest item's.
+        """
+        if not len(starts):
+            return np.zeros(0, bool)
+        out = np.zeros(len(starts), bool)
+        known = np.concatenate([[0], np.cumsum(self.weight(s[h]))])
+        for at in range(0, len(starts), SPAN):
+            part = starts[at : at + SPAN]
+            held = known[np.searchsorted(h, part + size)] - known[np.searchsorted(h, part)]
+            # shingles of no item of this size weigh ``lightest`` at least
+            n_known = np.searchsorted(h, part + size) - np.searchsorted(h, part)
+            least = np.maximum(held + (size - n_known) * self.lightest, self.sizes[size]["least"])
+            out[at : at + SPAN] = held + 1e-6 >= self.search.similarity * least
+        return out
+
+    @property
+    def lightest(self) -> int:
+        """No shingle weighs less."""
+        return int(min(self.weight.scaled.min(initial=self.weight.other), self.weight.other))
+
     def matches(self, s: np.ndarray, first: np.ndarray) -> dict:
         """(document, item row): best similarity and its start, for the documents of a slice."""
         best: dict = {}
@@ -168,12 +200,13 @@ class Items:
 
         def verify(prints: np.ndarray, size: int, starts: np.ndarray, n: int) -> None:
             own = self.sizes[size]
-            for w, m in zip(*self.candidates(prints, size)):
-                k = own["members"][m]
-                value = self.similarity(s[starts[w] : starts[w] + n], self.rows[k][1])
-                doc = int(np.searchsorted(first, starts[w], "right")) - 1
-                if value >= self.search.similarity and (value, -starts[w]) > best.get((doc, k), (0.0, 0)):
-                    best[doc, k] = (value, -starts[w])
+            for windows, members in self.candidates(prints, size):
+                for w, m in zip(windows, members):
+                    k = own["members"][m]
+                    value = self.similarity(s[starts[w] : starts[w] + n], self.rows[k][1])
+                    doc = int(np.searchsorted(first, starts[w], "right")) - 1
+                    if value >= self.search.similarity and (value, -starts[w]) > best.get((doc, k), (0.0, 0)):
+                        best[doc, k] = (value, -starts[w])
 
         for size, own in self.sizes.items():
             h = hits[np.isin(s[hits], own["shingles"])]
@@ -191,6 +224,7 @@ class Items:
             lo, hi = np.maximum(h - size + 1, begin), np.minimum(h, stop - size)
             n = np.maximum(hi - lo + 1, 0)
             starts = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            starts = starts[self.heavy(s, h, starts, size)]
             at = 0
             while at < len(starts):
                 # windows that lie close together share their sums

@@ -12,7 +12,7 @@ bucket_digits`` hash ranges, sums of ranges tell where the budget ends, and only
 
 Defined results: null texts have no tokens; null languages or sources are the node ``(none)``; nodes without a given
 weight have weight 1, those of weight 0 get nothing; repeated rows count each, and rows of one id are selected together
-(so are those whose hashes tie); texts of any length count whole; columns of names that are used here are kept aside by
+(so are those whose hashes tie, and rows without an id of one text, which are told apart by their texts); texts of any length count whole; columns of names that are used here are kept aside by
 ``mixture`` and ignored by ``mixed``; an empty table gives an empty result.
 """
 
@@ -104,9 +104,14 @@ def with_leaf(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"domain": domain_of(F.col("source")), "language": F.coalesce("lang", F.lit("(none)")), "leaf_source": F.coalesce("source", F.lit("(none)"))})
 
 
-def epoch_key(mix: Mix, id_col: str) -> Column:
-    """Where a document stands in the leaf's last epoch."""
-    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.col(id_col).cast("string")))
+def unnamed(id_col: str) -> Column:
+    """What stands for the id of a document without one: a digest of its text."""
+    return F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5("text")))
+
+
+def epoch_key(mix: Mix, id_col: str, text_name: Column) -> Column:
+    """Where a document stands in the leaf's last epoch; ``text_name`` is ``unnamed``."""
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), text_name)))
 
 
 def with_plan(df: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
@@ -118,7 +123,7 @@ def with_plan(df: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
 def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     """One row for each leaf: whole epochs, and the last key of the prefix of the next one (null: none)."""
     leaves = cut(leaf_budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), mix))
-    planned = with_plan(rows, leaves, mix).where("rest > 0").withColumn("key", epoch_key(mix, "doc_id")).withColumn("range", F.substring("key", 1, mix.bucket_digits))
+    planned = with_plan(rows, leaves, mix).where("rest > 0").withColumn("key", epoch_key(mix, "doc_id", F.col("unnamed"))).withColumn("range", F.substring("key", 1, mix.bucket_digits))
     cell = [*LEVELS, "range"]
     sums = planned.groupBy(*cell).agg(F.sum("n_tokens").alias("in_range"))
     order = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,22 +134,22 @@ def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     return cut(leaves.join(last, LEVELS, "left").select(*LEVELS, "whole", "last"))
 
 
-def select(rows: DataFrame, plan: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
+def select(rows: DataFrame, plan: DataFrame, mix: Mix, id_col: str, text_name: Column) -> DataFrame:
     """The selected rows with ``copies``, the number of epochs that read them; rows of one id go together."""
-    copies = F.col("whole") + F.coalesce(epoch_key(mix, id_col) <= F.col("last"), F.lit(False)).cast("long")
+    copies = F.col("whole") + F.coalesce(epoch_key(mix, id_col, text_name) <= F.col("last"), F.lit(False)).cast("long")
     return with_plan(rows, plan, mix).withColumn("copies", copies).where("copies > 0").drop("whole", "last")
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A slim row for each document: id, leaf and tokens."""
     tokens = F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long")
-    return cut(with_leaf(docs).select(F.col(id_col).alias("doc_id"), *LEVELS, tokens.alias("n_tokens")))
+    return cut(with_leaf(docs).select(F.col(id_col).alias("doc_id"), unnamed(id_col).alias("unnamed"), *LEVELS, tokens.alias("n_tokens")))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
     """The selected documents: id, leaf, tokens and copies."""
     rows = token_rows(docs, id_col)
-    return select(rows, leaf_plan(rows, mix), mix).select("doc_id", *LEVELS, "n_tokens", "copies")
+    return select(rows, leaf_plan(rows, mix), mix, "doc_id", F.col("unnamed")).select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
 def mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
@@ -156,7 +161,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFr
     plan = leaf_plan(token_rows(docs, id_col), mix)
     # a column of a level's name is kept aside
     kept = {c: f"_{c}" for c in columns if c in (*LEVELS, "whole", "last", "copies")}
-    chosen = select(with_leaf(docs.select(*columns).withColumnsRenamed(kept)), plan, mix, id_col)
+    chosen = select(with_leaf(docs.select(*columns).withColumnsRenamed(kept)), plan, mix, id_col, unnamed(id_col))
     return chosen.select(*(F.col(kept.get(c, c)).alias(c) for c in columns), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
 
 
