@@ -56,48 +56,6 @@ def repeats(rows, length):
     return out
 
 
-def patience(a, b):
-    """Pairs of equal places, by recursion over the text of the definition."""
-    if not a or not b:
-        return []
-    if a[0] == b[0]:
-        return [(0, 0)] + [(x + 1, y + 1) for x, y in patience(a[1:], b[1:])]
-    if a[-1] == b[-1]:
-        return patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
-    ca, cb = Counter(a), Counter(b)
-    pairs = [(k, b.index(x)) for k, x in enumerate(a) if ca[x] == 1 and cb[x] == 1]
-    best = [None] * len(pairs)
-    for k, (_, y) in enumerate(pairs):
-        longer = [best[j] for j in range(k - 1, -1, -1) if pairs[j][1] < y]  # of equal lengths, the latest
-        best[k] = max(longer, key=len, default=[]) + [pairs[k]]
-    chain = max(reversed(best), key=len, default=[])
-    if not chain:
-        return []
-    out, i, j = [], 0, 0
-    for x, y in [*chain, (len(a), len(b))]:
-        out += [(i + p, j + q) for p, q in patience(a[i:x], b[j:y])]
-        i, j = x, y
-    return out
-
-
-def blocks_by_patience(later, earlier, block):
-    """Places of ``later`` in blocks shared with ``earlier``: aligned again without the aligned blocks until none is left."""
-    gone = set()
-    while True:
-        # lines that went are unlike all others
-        a = [("gone", p) if p in gone else x for p, x in enumerate(later)]
-        more, run = set(), []
-        for x, y in [*patience(a, earlier), (-9, -9)]:
-            if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-                if sum(len(later[p]) for p, _ in run) >= block:
-                    more |= {p for p, _ in run}
-                run = []
-            run.append((x, y))
-        if not more:
-            return gone
-        gone |= more
-
-
 def shared_runs(later, earlier, block):
     """Places of ``later`` in runs of ``block`` characters or more that ``earlier`` holds."""
     gone = set()
@@ -111,6 +69,34 @@ def shared_runs(later, earlier, block):
     return gone
 
 
+def aligned(later, earlier, block):
+    """Places of ``later`` in blocks shared with ``earlier``, found by alignment alone: a longest common sequence of lines;
+    its stretches of ``block`` characters go, and what is left is aligned again, until an alignment has no such stretch.
+
+    Lines that are in no stretch of ``block`` characters with the other text are set aside first, as nothing else could be
+    deleted by them. A place may be aligned with any equal stretch of the earlier text.
+    """
+    gone = set()
+    pairs = [(p, q, n) for p in range(len(later)) for q in range(len(earlier)) for n in [run(later, earlier, p, q)] if sum(map(len, later[p : p + n])) >= block]
+    while True:
+        left = [(p, q, n) for p, q, n in pairs if not set(range(p, p + n)) <= gone]
+        best = {}
+        for k, (p, q, n) in enumerate(left):  # in order of p; the longest chain of stretches that grow in both texts
+            best[k] = max((best[j] for j in range(k) if left[j][0] < p and left[j][1] < q), key=len, default=[]) + [k]
+        chain = max(best.values(), key=len, default=[])
+        if not chain:
+            return gone
+        for k in chain:
+            gone |= set(range(left[k][0], left[k][0] + left[k][2]))
+
+
+def run(a, b, p, q):
+    n = 0
+    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+        n += 1
+    return n
+
+
 def line_dedup(rows, block=50):
     """{row number: removed places, None for all}: every pair of a document and an earlier one is compared."""
     lines = [[x.strip(" ") for x in t.split("\n")] if t else None for _, t in rows]
@@ -129,7 +115,7 @@ def line_dedup(rows, block=50):
             holders[x].add(i)
     gone = defaultdict(set)
     for later, earlier in {(b, a) for h in holders.values() for a in h for b in h if a < b}:
-        gone[later] |= shared_runs(own[later], own[earlier], block)
+        gone[later] |= aligned(own[later], own[earlier], block)
     out = {}
     for k, (i, t) in enumerate(rows):
         if t and i is not None:

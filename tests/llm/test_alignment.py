@@ -42,12 +42,40 @@ def test_a_repeated_passage_goes_each_time(spark):
 
 
 def test_repeated_alignment_finds_every_shared_run():
-    """What step 3 of the operator relies on: patience diff, aligned again without what it found, leaves no shared run."""
+    """What the operator's SQL relies on: alignment, repeated on what it leaves, ends when no shared run is left."""
     rng = random.Random(5)
-    for _ in range(150):
-        pool = [c * 30 for c in "abcdefgh"]
+    for _ in range(400):
+        pool = [c * rng.choice([10, 30, 60]) for c in "abcdefgh"]
         a, b = ([rng.choice(pool) for _ in range(rng.randint(2, 9))] for _ in range(2))
-        assert brute.blocks_by_patience(a, b, 50) <= brute.shared_runs(a, b, 50)
+        assert brute.aligned(a, b, 50) == brute.shared_runs(a, b, 50)
+
+
+def test_piles_grow_and_are_few():
+    """Each pile is a chain in both documents; no cover by chains has fewer (it is as many as a longest run of falling ones)."""
+    rng = random.Random(2)
+    for _ in range(300):
+        at = np.array([rng.randrange(10) for _ in range(rng.randint(1, 12))])
+        pile = line_dedup.piles(at)
+        for k in set(pile.tolist()):
+            assert np.all(np.diff(at[pile == k]) > 0)
+        falling = [1] * len(at)
+        for i in range(len(at)):
+            falling[i] = 1 + max((falling[j] for j in range(i) if at[j] >= at[i]), default=0)
+        assert len(set(pile.tolist())) == max(falling)
+
+
+def test_only_what_is_aligned_goes(spark, monkeypatch):
+    """Chains decide: runs that no chain holds stay, and with the first chain alone moved passages do."""
+    one, two = passage("first", 4), passage("second", 3)
+    first, end, held = np.array([0, 4]), np.array([4, 7]), np.array([3, 0])
+    assert sorted(zip(*(x.tolist() for x in line_dedup.blocks_of(first, end, held)))) == [(0, 4, 3, True), (4, 7, 0, False)]
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "piles", lambda held: np.full(len(held), -2))
+        assert [x.tolist() for x in line_dedup.blocks_of(first, end, held)] == [[4], [7], [0], [False]]
+        m.setattr(line_dedup, "chains", lambda first, held: np.full(len(first), -1))
+        assert [len(x) for x in line_dedup.blocks_of(first, end, held)] == [0, 0, 0, 0]
+    rows = [(1, "\n".join(two + one)), (2, "\n".join(one + two))]
+    assert {(r[2], r[3], r[5]) for r in rows_of(spark, rows)} == {(0, 4, False), (4, 7, True)}
 
 
 def test_pairs_and_holders(spark):

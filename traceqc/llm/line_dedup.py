@@ -11,9 +11,11 @@ Documents of equal texts are one class; only the smallest id of a class takes pa
 2. Alignment: the places of the runs that a pair shares are aligned by patience: those that occur once in the later
    document are anchors, the longest chain of anchors in the order of both documents is kept, and the runs between two
    anchors of the chain that continue it (those that repeat in the later document) join it. Lines outside shared runs are
-   in no block, so they take no part and their texts are not moved.
-3. Aligned runs that lie on one diagonal are one block. Blocks that stand in another order than the chain, which
-   a plain alignment would leave behind, are matched after it and marked as moved.
+   in no block, so they take no part and their texts are not moved. What the chain leaves behind (passages in another
+   order, or more often in the later document) is aligned again: patience deals it into piles, each of which grows in both
+   documents and is a chain of its own.
+3. Runs of one chain that lie on one diagonal are one block; a run in no chain is in no block. Blocks of further chains are
+   marked as moved.
 4. The lines of all blocks go from the later document.
 
 Every block that a document with a smaller id holds goes, whatever the number of holders and the order of blocks.
@@ -26,7 +28,7 @@ empty result; texts of any length are compared whole; further columns are kept,
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,12 +146,43 @@ def chained(first: np.ndarray, held: np.ndarray) -> np.ndarray:
     return chain
 
 
+def piles(held: np.ndarray) -> np.ndarray:
+    """The pile of each place by patience: the one with the largest top below it, a new one where there is none. Each pile
+    grows."""
+    tops: list[int] = []  # sorted, negated: the largest first
+    name: list[int] = []
+    out = np.empty(len(held), np.int64)
+    for k, x in enumerate(held.tolist()):
+        at = bisect_right(tops, -x)
+        if at == len(tops):
+            tops.append(-x)
+            name.append(len(name))
+        else:
+            # a larger top takes the place of the one it grows from; order among tops stays, as all before are x or more
+            tops[at] = -x
+        out[k] = name[at]
+    return out
+
+
+def chains(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The alignment of a pair's runs: for each the number of its chain. Chain 0 is the patience chain; what it leaves is
+    aligned again in piles."""
+    number = np.where(chained(first, held), 0, -1)
+    rest = np.flatnonzero(number < 0)
+    if len(rest):
+        number[rest] = 1 + piles(held[rest])
+    return number
+
+
 def blocks_of(first: np.ndarray, end: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first, end, held, moved) of the common blocks of a pair, from the runs it shares."""
+    """(first, end, held, moved) of the common blocks of a pair, from the alignment of the runs it shares."""
     order = np.lexsort((end, first))
     first, end, held = first[order], end[order], held[order]
-    chain = chained(first, held)
-    # runs of one diagonal that touch or overlap, both in the chain or both out of it, are one block
+    chain = chains(first, held)
+    first, end, held, chain = (x[chain >= 0] for x in (first, end, held, chain))
+    if not len(first):
+        return first, end, held, chain > 0
+    # runs of one diagonal and chain that touch or overlap are one block
     diagonal = first - held
     order = np.lexsort((first, diagonal, chain))
     first, end, held, chain, diagonal = (x[order] for x in (first, end, held, chain, diagonal))
@@ -160,7 +193,7 @@ def blocks_of(first: np.ndarray, end: np.ndarray, held: np.ndarray) -> tuple[np.
     new = np.ones(len(first), bool)
     new[1:] = (group[1:] != group[:-1]) | (first[1:] > reach[:-1])
     heads = np.flatnonzero(new)
-    return first[heads], np.maximum.reduceat(end, heads), held[heads], ~chain[heads]
+    return first[heads], np.maximum.reduceat(end, heads), held[heads], chain[heads] > 0
 
 
 BLOCKS = "class long, earlier {kind}, first int, end int, earlier_first int, moved boolean"
@@ -176,7 +209,7 @@ def aligned(shared: DataFrame, kind: str) -> DataFrame:
             first, end, held = (runs.values.field(name).to_numpy().astype(np.int64) for name in ("first", "end", "held"))
             parts, pair = [], []
             for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                found = blocks_of(first[a:b], end[a:b], held[a:b]) if b - a > 1 else (first[a:b], end[a:b], held[a:b], np.zeros(1, bool))
+                found = blocks_of(first[a:b], end[a:b], held[a:b])
                 parts.append(found)
                 pair.append(np.full(len(found[0]), k))
             if not parts:
