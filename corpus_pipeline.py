@@ -2,10 +2,10 @@
 
 Defined results of odd rows, in any stage: a null or empty text fails the quality rules, so it goes there; further stages
 by themselves keep it (a null text stays null), but for the mixture, where a document without tokens is never read. A null
-language or source is a value of its own. Rows without an id take part like others; what is decided by id (near copies,
-benchmark) is decided for all rows of that id, also for those without. Rows that repeat each other are kept or dropped
-together by the quality rules, line dedup and benchmark; they are copies only where their ids differ. Texts of any length
-are read whole. Further columns are kept with their values, whatever their names; ``n_chars`` follows a changed text. An
+language or source is a value of its own. Rows without an id take part like others and are told apart by their texts; as
+near copies they come after all that have one. Decisions are made for an id and text, near copies for an id. Rows that
+repeat each other are kept or dropped together; they are copies only where their ids differ. Texts of any length are read
+whole. Further columns are kept with their values, whatever their names; ``n_chars`` follows a changed text. An
 empty table gives an empty result.
 """
 
@@ -45,15 +45,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles (similarity 0.8 or more), that of the smallest id stays."""
-    joined = jaccard_join.joined(docs, NEAR)
-    gone = cut(joined.where("doc_id <> component_id").select("doc_id").distinct())
-    return without(docs, gone, "doc_id")
+    key = fresh(docs, "key")
+    # beyond all ids, by text
+    unnamed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    joined = jaccard_join.joined(keyed.select(key, "text"), NEAR, key)
+    gone = cut(joined.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
+    return without(keyed, gone, key).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut(found.select("doc_id").distinct()), "doc_id")
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontamination.contaminated(keyed.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return without(keyed, cut(found.select(F.col("doc_id").alias(key)).distinct()), key).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
