@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and a logistic regression on hashed character n-grams for all other URLs.
 
 The classifier is fitted by Spark's own machine learning on a small labelled table of URLs (url, label; at most
-``max_labelled`` rows, checked), by default one of the rows below; features are hashed character n-grams of host and path, built by SQL functions. Scoring is one narrow
+``max_labelled`` rows, checked), by default the one that ``default_labels`` makes of the words in ``url_words.csv``; features are hashed
+character n-grams of host and path, built by SQL functions. Scoring is one narrow
 pass over the pages with a weight vector of fixed size; nothing is shuffled.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; an empty
@@ -12,6 +13,7 @@ rules can't be, since the longest wins and rules differ; further columns, of wha
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -26,36 +28,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host and path prefix, verdict) as the contract fixes them.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-#: A small labelled table by host, in words that such hosts use anywhere. Unwanted: gambling, pills, adult content, quick
-#: loans, advertising, cracked software, prizes, spam.
-UNWANTED = """
-royal-casino-online casino777 grand-casino poker-stars-play pokerroom bet-now sportbets24 betting-tips online-bets
-slots-jackpot bingo-jackpot roulette-win lottery-winner lucky-win win-big-cash viagra-discount buy-cialis
-pills-without-prescription diet-pills cheap-meds pharmacy-discount-pills online-pharma weight-loss-pills steroids-shop
-cheapviagra adult-videos adult-dating adultchat xxx-movies free-xxx hot-porn porn-tube sex-cams live-sex escort-girls
-nude-cams erotic-chat sexshop milf-tube webcam-girls payday-loans fast-cash-loan loans-no-credit quick-credit
-easy-money earn-cash-home forex-profit get-rich-quick free-money ads-server adserver click-track tracker-ads
-banner-ads popads ad-click tracking-pixel affiliate-clicks adsnetwork warez-download crack-keygen serial-keys
-free-cracked-software torrent-warez free-gift-cards free-iphone free-prizes survey-reward claim-your-prize
-cheap-watches-replica replica-bags buy-followers cheap-backlinks spam-mailer adults-only adult-shop spam-blog
-spamlinks link-farm ads-tracker track-clicks free-casino sports-bet herbal-pills
-"""
-
-#: Wanted: institutions, news, trades, hobbies, names of places and made-up names.
-WANTED = """
-city-library library-of-the-coast university physics.university school-district museum national-museum hospital
-clinic-east parliament ministry statistics-office weather weather-service news-today news evening-post daily-herald
-radio-north tv-guide recipes cooking-at-home bakery restaurant-lisboa coffee-roasters gardening garden-club birdwatch
-hiking-trails mountain-hut railway bus-lines airport ferry travel-notes history-society archaeology old-maps genealogy
-folklore science-journal astronomy chemistry-notes math-forum biology docs.software wiki code-forge opendata
-linux-users orchestra jazz-club choir theatre film-festival football-club chess cycling swimming-pool tennis poetry
-novels bookshop publisher translation carpenter plumber-smith bicycle-repair print-shop flower-shop insurance
-savings-bank tax-office lawyer-miller notary parents kindergarten teachers students-union exams brandorf kallinga
-oberwald montessa ferrano tellvik harrowdale estrela andersson lindquist quintero moreau shimizu novakova eriksen
-"""
+#: Words by kind: of unwanted and of wanted sites and pages, modifiers and made-up names that both have.
+WORDS = Path(__file__).with_name("url_words.csv")
 
-#: Each host stands in the table with each of these in front of it and behind it, so that neither tells hosts apart.
-BEFORE, BEHIND = ("", "www.", "blog."), ("/", "/en/12", "/de/7.html", "/fr/34?page=2")
+#: What stands behind a host that says enough by itself.
+BEHIND = ("/", "/en/12", "/de/7.html", "/fr/34?page=2")
 
 
 @dataclass(frozen=True)
@@ -66,7 +43,7 @@ class Model:
     features: int = 1 << 14
     reg: float = 0.001
     iterations: int = 60
-    threshold: float = 0.3  # of hosts held out from the table below: precision 0.75, recall 0.85 (0.82 and 0.79 at 0.5)
+    threshold: float = 0.5  # on each of four folds precision is over 0.98 and recall over 0.9 from 0.3 to 0.7
     max_labelled: int = 10_000
     max_rules: int = 1_000
 
@@ -110,11 +87,33 @@ def fitted(spark: SparkSession, labelled: DataFrame, model: Model):
         rows.unpersist()
 
 
+def words_by_kind() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for line in WORDS.read_text().splitlines()[1:]:
+        kind, word = line.split(",")
+        out.setdefault(kind, []).append(word)
+    return out
+
+
 def default_labels(spark: SparkSession) -> DataFrame:
-    """(url, label) of the table above: 1 is unwanted."""
-    rows = ", ".join(f"('{host}', {label})" for hosts, label in ((UNWANTED, 1), (WANTED, 0)) for host in hosts.split())
-    urls = [F.concat(F.lit(f"http://{before}"), "host", F.lit(f".test{behind}")) for before in BEFORE for behind in BEHIND]
-    return spark.sql(f"select * from values {rows} as t(host, label)").select(F.explode(F.array(*urls)).alias("url"), "label")
+    """(url, label, word, fold) made of the words by rule: 1 is unwanted.
+
+    Each word stands four times with other modifiers, each time twice in a host, with paths that say nothing, and twice
+    in a path below a host that says nothing, so that host and path are told apart from their own n-grams. ``fold`` (0 to 3)
+    keeps the URLs of a word and its modifiers together.
+    """
+    words = words_by_kind()
+    rows = ", ".join(f"({i}, '{word}', {label})" for kind, label in (("unwanted", 1), ("wanted", 0)) for i, word in enumerate(words[kind]))
+    names = ", ".join(f"({i}, '{word}')" for i, word in enumerate(words["name"]))
+    of = lambda kind, at: f"element_at(array({', '.join(repr(w) for w in words[kind])}), cast(({at}) % {len(words[kind])} as int) + 1)"
+    behind = f"element_at(array({', '.join(map(repr, BEHIND))}), cast((i + j) % {len(BEHIND)} as int) + 1)"
+    known = spark.sql(f"select *, explode(sequence(0, 3)) j from values {rows} as t(i, word, label)")
+    parts = known.selectExpr("*", f"{of('modifier', '7 * i + 5 * j')} a", f"{of('modifier', '3 * i + 5 * j + 1')} b", f"{of('name', 'i + j')} n", f"{behind} behind")
+    urls = "array('http://www.' || a || '-' || word || '.test' || behind, 'http://' || word || b || '.test' || behind, 'http://' || n || '.test/' || word || '-' || a || '/', 'http://www.' || n || '.test/en/' || b || '/' || word || '.html')"
+    plain = spark.sql(f"select *, 0 j from values {names} as t(i, word)").selectExpr("*", f"{of('modifier', 'i')} a", f"{of('modifier', 'i + 5')} b")
+    others = "array('http://' || word || '.test/', 'http://www.' || word || '.test/en/12', 'http://' || word || '-' || a || '.test/de/7.html', 'http://blog.' || word || '.test/fr/34', 'http://' || word || '.test/' || b || '/1.html')"
+    fold = "pmod(xxhash64(word, j), 4) fold"
+    return parts.selectExpr(f"explode({urls}) url", "label", "word", fold).union(plain.selectExpr(f"explode({others}) url", "0", "word", fold))
 
 
 def judged(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] | None = None, model: Model = Model(), id_col: str = "page_id") -> DataFrame:
