@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 LINE_END = "\\R|[\x1c-\x1e]"
 
+#: Channel names and markers over text, where a conclusion ends, and sensitivities (fixed values).
+OVERLAY = r"(?U)\b(?:FP|F|C|P|O|T)\d-[A-Z]+\d\b|标记"
+CONCLUSION_END = r"(?U)仅供参考|起点\d+秒|处理长度"
+SENSITIVITY = r"^(\d+(?:\.\d+)?)uV/(\d+(?:\.\d+)?)mm"
+
 
 def strip(c: Column) -> Column:
     """Without blanks of any kind at both ends."""
@@ -60,7 +65,7 @@ def header_and_body(c: Column, head: Column | None = None) -> tuple[Column, Colu
 
 def without_overlays(c: Column) -> Column:
     """Without channel names and markers drawn over the text."""
-    return F.regexp_replace(c, r"(?U)\b(?:FP|F|C|P|O|T)\d-[A-Z]+\d\b|标记", "")
+    return F.regexp_replace(c, OVERLAY, "")
 
 
 def split_once(c: Column, mark: str) -> tuple[Column, Column]:
@@ -79,7 +84,7 @@ def sections(body: Column) -> tuple[Column, Column, Column]:
 
 def cut_conclusion(c: Column) -> Column:
     """Up to the disclaimer or the recording details."""
-    return F.split(c, r"(?U)仅供参考|起点\d+秒|处理长度", 2)[0]
+    return F.split(c, CONCLUSION_END, 2)[0]
 
 
 def without_rules(c: Column) -> Column:
@@ -94,8 +99,7 @@ def seconds(c: Column) -> Column:
 
 def sensitivity(c: Column) -> tuple[Column, Column]:
     """Microvolts and millimetres of ``<n>uV/<m>mm`` at the start of a text, else nulls."""
-    pattern = r"^(\d+(?:\.\d+)?)uV/(\d+(?:\.\d+)?)mm"
-    return tuple(F.nullif(F.regexp_extract(c, pattern, g), F.lit("")).try_cast("double") for g in (1, 2))
+    return tuple(F.nullif(F.regexp_extract(c, SENSITIVITY, g), F.lit("")).try_cast("double") for g in (1, 2))
 
 
 #: Texts that pages are known to hold, names of channels, and words of filters (fixed values).
