@@ -7,11 +7,12 @@ bytes; strings never cross documents; equal texts are one class, of which one co
    ``length / 2``-byte strings that start in its first half. Equal strings of ``length`` bytes share it and its place, so
    they meet in one bucket whatever document they are in. Buckets that hold one suffix run are dropped at once; for the
    others only the bytes that their suffixes cover are shipped.
-2. One block of buckets is sorted at a time, in bounded memory. Suffixes are ordered by bucket, place and their first and
-   last ``COVER`` bytes. Long ties are resolved by ranks precomputed for the sample positions of a difference cover
-   modulo ``COVER``: for any two positions i and j the cover has a shift below ``COVER`` that takes both to samples, and
-   equal ranks there say that the ``length - COVER + 1`` bytes from these on are equal; with the first and last bytes,
-   the whole strings are. Strings that are found equal are compared byte by byte before they count.
+2. One block of buckets is sorted at a time, in bounded memory. Suffixes are grouped by bucket, place and their first and
+   last bytes. Long ties are resolved by ranks precomputed for the sample positions of a difference cover modulo ``COVER``:
+   the samples are sorted by their first ``COVER`` bytes, and as a sample and the position ``COVER`` later are both
+   samples, ranks of twice and four times that depth follow by doubling. For any two positions i and j the cover has a
+   shift below ``COVER`` that takes both to samples, and equal ranks there say that the ``DEPTH`` bytes from these on are
+   equal; the first ``COVER`` bytes and those behind ``DEPTH`` are compared themselves, so the whole strings are.
 3. A bucket that more than ``most_holders`` texts share (a passage that a large part of the corpus holds) would be a block
    too large to sort. Its strings are told apart by two hashes of 64 bits instead and counted; strings that a
    slice of texts repeats are merged before, and rows of one string spill, so no task gathers them.
@@ -111,6 +112,61 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return np.searchsorted(offsets, start, "right") - 1, every[place], start, count, place
 
 
+def depth_of(length: int) -> int:
+    """How many bytes ranks of samples compare: as many times ``COVER`` as leave no less than that of the string."""
+    return (length - COVER) // COVER * COVER
+
+
+def eight_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that orders as they do; beyond the end they are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view(">u8").ravel().astype(U)
+
+
+def dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks of tuples of keys, equal for equal ones."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def sample_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """For each place of the cover the rank of its ``depth`` bytes in byte order, -1 for other places and too near the end.
+    Strings so short that their ends are all of them (``depth`` 0) need none."""
+    if not depth:
+        return np.zeros(len(data) + 1, np.int64)
+    out = np.full(len(data) + 1, -1)
+    grid = np.arange(max(0, len(data) - depth + 1))
+    at = grid[np.isin(grid % COVER, RESIDUES)]
+    if not len(at):
+        return out
+    every = np.arange(len(data) - COVER + 1)
+    every = every[np.isin(every % COVER, RESIDUES)]
+    words = [eight_bytes(data, every + k) for k in range(0, COVER, 8)]
+    words[-1] >>= U(8 * (8 * len(words) - COVER))
+    first = np.full(len(data) + 1, 0)
+    first[every] = dense(*words)
+    # ranks of the first d bytes of all samples that have so many, by doubling; what is left over is put together from those
+    ranks, d, place = {COVER: first}, COVER, every
+    while 2 * d <= depth:
+        place = place[place + 2 * d <= len(data)]
+        wider = np.full(len(data) + 1, 0)
+        wider[place] = dense(ranks[d][place].astype(U) << U(32) | ranks[d][place + d].astype(U))
+        d *= 2
+        ranks[d] = wider
+    rank, done = ranks[d][at], d
+    while done < depth:
+        d = max(x for x in ranks if done + x <= depth)
+        rank = dense(rank.astype(U) << U(32) | ranks[d][at + done].astype(U))
+        done += d
+    out[at] = rank
+    return out
+
+
 def equal_suffixes(data: np.ndarray, bucket: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """For runs of suffixes laid out in ``data``, which of their suffixes start a string that another one starts too.
 
@@ -121,16 +177,10 @@ def equal_suffixes(data: np.ndarray, bucket: np.ndarray, first: np.ndarray, coun
     found = np.zeros(len(run), bool)
     if not len(run):
         return found
-    hashes = Hashes(data)
+    hashes, depth = Hashes(data), depth_of(length)
     tied = grams.mix(bucket[run] + (place[run] - p).astype(U) * U(0x9E3779B97F4A7C15)) ^ hashes.of(p, COVER)
-    tied = grams.mix(tied) ^ hashes.of(p + length - COVER, COVER)
-    # ranks of the cover's sample positions among all samples, by their length - COVER + 1 bytes
-    deep = length - COVER + 1
-    grid = np.arange(max(0, len(data) - deep + 1))
-    sample = grid[np.isin(grid % COVER, RESIDUES)]
-    rank = np.full(len(data) + 1, -1)
-    rank[sample] = np.unique(hashes.of(sample, deep), return_inverse=True)[1]
-    shift = shifts()
+    tied = grams.mix(tied) ^ hashes.of(p + depth, length - depth)
+    rank, shift = sample_ranks(data, depth), shifts()
     todo = np.argsort(tied, kind="stable")
     key = tied[todo]
     while len(todo):
@@ -148,7 +198,8 @@ def equal_suffixes(data: np.ndarray, bucket: np.ndarray, first: np.ndarray, coun
         same = rank[p[todo] + x] == rank[p[head] + x]
         partner = same & ~new
         pairs = np.flatnonzero(partner)
-        partner[pairs] = equal_bytes(data, p[todo[pairs]], p[head[pairs]], length)
+        a, b = p[todo[pairs]], p[head[pairs]]
+        partner[pairs] = equal_bytes(data, a, b, COVER) & equal_bytes(data, a + depth, b + depth, length - depth)
         same &= partner | new
         found[todo[partner]] = True
         found[head[partner]] = True
