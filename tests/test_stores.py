@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from traceqc.functions import lineage
 from traceqc.operators import dates, spectral
 from traceqc.sources import io
 
@@ -127,3 +128,22 @@ def test_mean_spectrum_is_the_median_of_medians(spark):
     got = spectral.mean_spectrum(df, ["rec", "page_no"]).orderBy("freq").collect()
     f, p = spectral.welch(x - x.mean(axis=2, keepdims=True), 100, 200, 100)
     assert np.allclose([r.freq for r in got], f) and np.allclose([r.power for r in got], np.median(np.median(p, axis=1), axis=0))
+
+
+def test_tables_in_buckets_join_without_exchange_and_can_be_forgotten(spark):
+    left = lineage.bucketed(spark.range(100).selectExpr("id k", "id * 2 v").repartition(4, "k"), "k", 4)
+    right = lineage.bucketed(left.selectExpr("k", "v + 1 w"), "k", 4)  # in the same buckets as it is read
+    both = left.join(right.hint("merge"), "k")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.where("w = v + 1").count() == 100
+    assert len(left.inputFiles()) == 4 and not [t for t in spark.catalog.listTables() if t.name.startswith("traceqc_")]
+    folder = os.path.dirname(left.inputFiles()[0]).removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(folder)
+    lineage.forgotten(left)
+    assert not os.path.isdir(folder) and right.count() == 100
+
+
+def test_only_own_tables_are_forgotten(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    lineage.forgotten(spark.read.parquet(str(tmp_path / "given")))
+    assert spark.read.parquet(str(tmp_path / "given")).count() == 3
