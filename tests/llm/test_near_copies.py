@@ -4,6 +4,7 @@ import brute
 import pytest
 
 from traceqc.llm import jaccard_join, suffix_dedup
+from traceqc.llm.common import cut
 from traceqc.llm.components import components
 
 SCHEMA = "doc_id long, text string, n long, sig string, member long, bucket int"
@@ -36,6 +37,22 @@ def test_components_equal_brute_force(spark, width, percent, sizes):
     assert sorted(tuple(r) for r in got) == brute.components(rows, width, percent)
 
 
+def test_regions_are_found_with_few_joins(spark, monkeypatch):
+    """Each join of a small table is a table broadcast by the driver, and plans of many joins are what fills it: the
+    near copies of sf0.01 took more than 1500 MB there."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(jaccard_join, "cut", noted)
+    rows = varied(85)
+    got = jaccard_join.joined(frame(spark, rows), jaccard_join.Join(width=5, percent=80)).collect()
+    assert sorted(tuple(r) for r in got) == brute.components(rows, 5, 80)
+    assert sum(plan.count("Join ") for plan in plans) <= 9
+
+
 def test_jaccard_of_an_empty_table_and_missing_ids(spark):
     assert jaccard_join.joined(frame(spark, [])).count() == 0
     got = jaccard_join.joined(frame(spark, [(None, "a b c d"), (5, "a b c d"), (None, "x y z")])).collect()

@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     moves = []
-    while left.limit(1).count():
+    while not left.isEmpty():
         k = len(moves)
         places = [F.xxhash64("b", F.lit(k)).alias("place"), F.xxhash64("a", F.lit(k)).alias("own")]
         if k == 0:

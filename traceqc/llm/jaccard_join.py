@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceqc.llm import grams
@@ -90,37 +90,42 @@ def signatures(docs: DataFrame, join: Join, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, head array<long>")
 
 
+def needed_of(n: Column, join: Join) -> Column:
+    """How many shingles of its head a set of ``n`` shares at least with any that it links with."""
+    least = F.lit(join.percent)
+    other = F.floor((n * least + 99) / 100).cast("long")  # size of the smallest set it may link with
+    return F.floor((other - F.floor((other * least + 99) / 100)).cast("long") * join.share).cast("long") + 1
+
+
 def regions(classes: DataFrame, join: Join) -> DataFrame:
     """(pivot, member, size) for the classes (rep, n, head) that may link; ``size`` counts the shingles of a region.
 
     Two classes that link share at least ``needed`` shingles of their heads. Those with fewer shared ones drop out; of
     the others' shared shingles, all but the ``needed - 1`` most frequent ones still hold one that both have, so only
     these rarest ones make regions.
+
+    Rows of a shingle carry the size of their class, and what concerns one class (no more rows than its head) is counted
+    in a window: joins are left only where one shingle or region may have many rows, so few small tables are broadcast
+    and plans stay small on the driver.
     """
-    least = F.lit(join.percent)
-    other = F.floor((F.col("n") * least + 99) / 100).cast("long")  # size of the smallest set it may link with
-    needed = F.floor((other - F.floor((other * least + 99) / 100)).cast("long") * join.share).cast("long") + 1
-    needs = classes.select("rep", needed.alias("needed"))
+    needed, own = needed_of(F.col("n"), join), Window.partitionBy("rep")
     # counted in a window, so that postings are exchanged once; a frequent shingle's rows spill, they aren't gathered
-    postings = classes.select("rep", F.explode("head").alias("token"))
-    held = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"))
+    postings = classes.select("rep", "n", F.explode("head").alias("token"))
+    held = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
     for _ in range(2):  # without the classes that can't link, more shingles have one holder
-        enough = held.groupBy("rep").agg(F.count("*").alias("got")).join(needs, "rep").where("got >= needed").select("rep")
-        left = held.drop("df").join(enough, "rep")
+        left = held.select("rep", "n", "token", F.count("*").over(own).alias("got")).where(F.col("got") >= needed).drop("got")
         shared = left.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        held = cut(left.join(shared, "token"))
-    own = Window.partitionBy("rep")
-    rare = held.withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("got", F.count("*").over(own)).join(needs, "rep")
-    rare = cut(rare.where("got >= needed and place <= got - needed + 1").select("rep", "token"))
+        held = cut(left.join(shared, "token").select("rep", "n", "token", "df"))
+    rare = held.withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("got", F.count("*").over(own))
+    rare = cut(rare.where((F.col("got") >= needed) & (F.col("place") <= F.col("got") - needed + 1)).select("rep", "n", "token"))
+    # a pivot is a holder itself
     pivots = rare.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1").select("token", "pivot")
-    member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member"))
-    member = member.union(pivots.select("pivot", F.col("pivot").alias("member"))).distinct()
-    member = member.join(classes.select(F.col("rep").alias("member"), "n"), "member")
+    member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member"), "n").distinct()
     several = member.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1").drop("members")
     member = cut(member.drop("n").join(several, "pivot"))
-    own = held.groupBy("rep").agg(F.collect_list("token").alias("set")).join(needs, "rep").withColumnRenamed("rep", "member")
+    sets = held.groupBy("rep").agg(F.collect_list("token").alias("set"), F.min(needed).alias("needed")).withColumnRenamed("rep", "member")
     large = F.col("size") > join.block
-    tight = member.where(~large).join(own, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, size long")
+    tight = member.where(~large).join(sets, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, size long")
     return cut(tight.unionByName(member.where(large).select("pivot", "member", "size")))
 
 
@@ -294,10 +299,10 @@ def links(docs: DataFrame, member: DataFrame, join: Join, id_col: str) -> DataFr
     first = dealt.where("parts = 1 or pivot <> member").unionByName(pivots)
     found = sets.join(first.select("pivot", "member", "part", F.lit(False).alias("outer")), "member").groupBy("pivot", "part").applyInArrow(part, "pivot long, a long, b long")
     found = cut(found)
+    if found.where("a = b").isEmpty():
+        return found.select("a", "b").where("a <> b")
     outer = found.where("a = b").select("pivot", F.col("a").alias("member")).distinct()
     large = dealt.where("parts > 1 and pivot <> member")
-    if outer.limit(1).count() == 0:
-        return found.select("a", "b").where("a <> b")
     moved = large.join(outer, ["pivot", "member"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     stay = large.join(outer, ["pivot", "member"], "left_anti")
     again = stay.withColumn("outer", F.lit(False)).unionByName(moved.withColumn("outer", F.lit(True)))
