@@ -4,12 +4,14 @@ A document is its set of hashed shingles; 1 - Jaccard similarity is a metric. Do
 
 Pivots and regions: almost all documents are about as far from the nearest of some random pivots as from all others (of
 9,270 sets, with 64 pivots 99 % at 0.8 or more, so that windows send a document to 63.4 regions; with 512 to 477), so a
-pivot only draws those it can matter for. With
-shingles in hash order, two sets that link share ``ell`` of their first ``m + ell`` shingles, ``m`` being how many
-shingles a set may lack in the other and ``ell`` a share of the smaller ``m`` plus 1. Classes that share too few of these with
-any others can't link and drop out. For each such shingle the smallest class that holds it is the pivot, and every
-holder joins its region; any two classes that link therefore meet in a region. Of a class's shared shingles only the
-rarest make regions, as many as are needed for that.
+pivot only draws those it can matter for. Two sets that link differ in ``d`` shingles at most, which follows from the size
+of the smaller one. All shingles are dealt by hash into more than ``d`` parts, the same for all sets of a class of sizes; a
+shingle in which the two differ spoils one part, so some part is equal in both, and not empty. What a set holds of a part
+is its token. Classes that share too few tokens with any others can't link and drop out. For each shared token the
+smallest class that holds it is the pivot, and every holder joins its region; any two classes that link therefore meet in a
+region. Of a class's shared tokens only the rarest make regions, as many as are needed for that. A part has some
+six shingles, so a passage that many documents hold, which grow in number with the table, gives them no common token,
+as single shingles would.
 
 Regions join recursively: a region of more than ``cell`` members picks pivots among them, each member goes to its
 nearest pivot, and, by the triangle inequality, also to every pivot at most ``2 * eps`` farther (``eps`` is the link
@@ -27,12 +29,14 @@ texts of any length are read whole; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceqc.llm import grams
@@ -49,7 +53,7 @@ class Join:
     block: int = 1 << 20
     cell: int = 32
     pivots: int = 8
-    share: float = 0.5  # of the shingles a set may lack, that linked sets must share in hash order besides
+    growth: float = 1.5  # from a class of sizes to the next
 
 
 def sets_of(w: grams.Words, width: int) -> list[np.ndarray]:
@@ -70,84 +74,121 @@ def sets_of(w: grams.Words, width: int) -> list[np.ndarray]:
     return out
 
 
-def slack(n: np.ndarray | int, percent: int):
-    """How many of n shingles a set may lack in a set it links with."""
-    return n - (n * percent + 99) // 100
+def apart(n: int, percent: int) -> int:
+    """In how many shingles two sets that link differ at most, of which the smaller has ``n``."""
+    return n * (100 - percent) // percent
+
+
+@cache
+def size_classes(percent: int, growth: float) -> list[tuple[int, int, int, int]]:
+    """Classes of sizes: first size, end, number of parts, and how many of these may be empty.
+
+    Smaller sets than those of the first class link with equal ones only. A set has some parts without a shingle by chance;
+    ``spare`` parts more than needed let most sets have as many.
+    """
+    out = []
+    lo = -(-percent // (100 - percent)) if percent < 100 else LONGEST
+    while lo < LONGEST:
+        hi = max(lo + 1, int(lo * growth))
+        least = apart(hi - 1, percent) + 1
+        empty = least * math.exp(-lo / least)
+        spare = int(empty + 2 * math.sqrt(empty))
+        out.append((lo, hi, least + spare, spare))
+        lo = hi
+    return out
+
+
+#: No set is as large; how often a set is dealt out anew if too many of its parts are empty.
+LONGEST, TRIES = 1 << 40, 4
+
+
+def tokens(s: np.ndarray, join: Join) -> list[tuple[int, np.ndarray]]:
+    """The tokens of a set of sorted shingles by group, each with the number that it shares with any set it links with.
+
+    A group is a class of sizes and a way to deal. A set belongs to the classes of all sizes that the smaller one of a pair
+    with it may have. Where over ``spare`` of its parts are empty, equal parts may be no more than these: such a set is dealt
+    out in another way besides, and a pair meets in the first way that leaves one of both few empty parts. In the end,
+    empty parts are tokens as well.
+    """
+    out, n, smallest, ways = [], len(s), (len(s) * join.percent + 99) // 100, []
+    for c, (lo, hi, k, spare) in enumerate(size_classes(join.percent, join.growth)):
+        if lo > n:
+            break
+        if hi <= smallest:
+            continue
+        equal = k - apart(min(n, hi - 1), join.percent)
+        for way in range(TRIES):
+            if way == len(ways):
+                h = s if way == 0 else np.sort(grams.mix(s + np.uint64(way)))
+                sums = np.zeros(n + 1, np.uint64)
+                ways.append((h, np.cumsum(grams.mix(h), out=sums[1:]), sums))
+            h, _, sums = ways[way]
+            starts, labels = dealt(k, c * TRIES + way)
+            bounds = np.append(h.searchsorted(starts), n)
+            total = sums[bounds]
+            token, held = grams.mix(total[1:] - total[:-1] + labels), bounds[1:] > bounds[:-1]
+            out.append((equal - spare, token[held]))
+            if len(out[-1][1]) >= k - spare:
+                break
+        else:
+            out.append((equal, grams.mix(token + np.uint64(1))))
+    return out
+
+
+@cache
+def dealt(k: int, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least shingle of each of ``k`` parts, and a label of each part in a group."""
+    return np.array([-(-(j << 64) // k) for j in range(k)], np.uint64), grams.mix(np.arange(k, dtype=np.uint64) + np.uint64(group << 40))
 
 
 def signatures(docs: DataFrame, join: Join, id_col: str) -> DataFrame:
-    """(doc_id, n, sig, head): size, digest of the set (null: empty) and the first shingles in hash order."""
+    """(doc_id, n, sig, groups): size, digest of the set (null: empty) and its tokens by group."""
     inside = grams.blank_table()
 
+    def nested(groups: list[list[tuple[int, np.ndarray]]]) -> pa.Array:
+        flat = [group for of in groups for group in of]
+        held = pa.array(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in flat)]).view(np.int64))
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(t) for _, t in flat)], dtype=np.int32), held)
+        each = pa.StructArray.from_arrays([pa.array([needed for needed, _ in flat], pa.int32()), lists], ["needed", "tokens"])
+        return pa.ListArray.from_arrays(np.cumsum([0, *(len(of) for of in groups)], dtype=np.int32), each)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in grams.sliced(batch):
                 sets = sets_of(grams.words(data, offsets, inside), join.width)
                 sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                head = [s[: m + int(m * join.share) + 1].view(np.int64) for s in sets for m in [slack(len(s), join.percent)]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(head, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "head"])
+                groups = nested([tokens(s, join) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), groups], ["doc_id", "n", "sig", "groups"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, head array<long>")
-
-
-def needed_of(n: Column, join: Join) -> Column:
-    """How many shingles of its head a set of ``n`` shares at least with any that it links with."""
-    least = F.lit(join.percent)
-    other = F.floor((n * least + 99) / 100).cast("long")  # size of the smallest set it may link with
-    return F.floor((other - F.floor((other * least + 99) / 100)).cast("long") * join.share).cast("long") + 1
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, groups array<struct<needed: int, tokens: array<long>>>")
 
 
 def regions(classes: DataFrame, join: Join) -> DataFrame:
-    """(pivot, member, size) for the classes (rep, n, head) that may link; ``size`` counts the shingles of a region.
+    """(pivot, member, size) for the classes (rep, n, groups) that may link; ``size`` counts the shingles of a region.
 
-    Two classes that link share at least ``needed`` shingles of their heads. Those with fewer shared ones drop out; of
-    the others' shared shingles, all but the ``needed - 1`` most frequent ones still hold one that both have, so only
+    Two classes that link share at least ``needed`` tokens of a group. What has fewer shared ones in a group drops out of it;
+    of the others' shared tokens, all but the ``needed - 1`` most frequent ones still hold one that both have, so only
     these rarest ones make regions.
 
-    Rows of a shingle carry the size of their class, and what concerns one class (no more rows than its head) is counted
-    in a window: joins are left only where one shingle or region may have many rows, so few small tables are broadcast
-    and plans stay small on the driver.
+    What concerns one class (no more rows than its tokens) is counted in a window: joins are left only where one token or
+    region may have many rows, so few small tables are broadcast and plans stay small on the driver.
     """
-    needed, own = needed_of(F.col("n"), join), Window.partitionBy("rep")
-    # counted in a window, so that postings are exchanged once; a frequent shingle's rows spill, they aren't gathered
-    postings = classes.select("rep", "n", F.explode("head").alias("token"))
+    own = Window.partitionBy("rep", "g")
+    # counted in a window, so that postings are exchanged once; a frequent token's rows spill, they aren't gathered
+    postings = classes.select("rep", F.posexplode("groups").alias("g", "_group")).select("rep", "g", "_group.needed", F.explode("_group.tokens").alias("token"))
     held = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
-    for _ in range(2):  # without the classes that can't link, more shingles have one holder
-        left = held.select("rep", "n", "token", F.count("*").over(own).alias("got")).where(F.col("got") >= needed).drop("got")
-        shared = left.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        held = cut(left.join(shared, "token").select("rep", "n", "token", "df"))
+    # without the classes that can't link, more tokens have one holder
+    left = held.withColumn("got", F.count("*").over(own)).where("got >= needed").drop("got")
+    shared = left.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = cut(left.join(shared, "token").select("rep", "g", "needed", "token", "df"))
     rare = held.withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("got", F.count("*").over(own))
-    rare = cut(rare.where((F.col("got") >= needed) & (F.col("place") <= F.col("got") - needed + 1)).select("rep", "n", "token"))
+    rare = cut(rare.where("got >= needed and place <= got - needed + 1").select("rep", "token"))
     # a pivot is a holder itself
     pivots = rare.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1").select("token", "pivot")
-    member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member"), "n").distinct()
+    member = rare.join(pivots, "token").select("pivot", F.col("rep").alias("member")).distinct()
+    member = member.join(classes.select(F.col("rep").alias("member"), "n"), "member")
     several = member.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1").drop("members")
-    member = cut(member.drop("n").join(several, "pivot"))
-    sets = held.groupBy("rep").agg(F.collect_list("token").alias("set"), F.min(needed).alias("needed")).withColumnRenamed("rep", "member")
-    large = F.col("size") > join.block
-    tight = member.where(~large).join(sets, "member").groupBy("pivot").applyInArrow(promising(join), "pivot long, member long, size long")
-    return cut(tight.unionByName(member.where(large).select("pivot", "member", "size")))
-
-
-def promising(join: Join):
-    """Keeps the members of a region that share enough head shingles with another one; only their sets are read."""
-
-    def region(rows: pa.Table) -> pa.Table:
-        sets = rows.column("set").combine_chunks()
-        bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
-        needed = rows.column("needed").to_numpy()
-        cells = Cells([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], join)
-        keep = np.zeros(len(needed), bool)
-        pieces = list(cells.pieces(np.arange(len(needed))))
-        for k, some in enumerate(pieces):
-            for others in pieces[k:]:
-                enough = cells.common(some, others) >= np.minimum(needed[some][:, None], needed[others][None, :])
-                enough &= some[:, None] != others[None, :]
-                keep[some] |= enough.any(axis=1)
-                keep[others] |= enough.any(axis=0)
-        return rows.select(["pivot", "member", "size"]).filter(pa.array(keep))
-
-    return region
+    return cut(member.drop("n").join(several, "pivot"))
 
 
 #: Members and shingles that are compared at once.
@@ -314,8 +355,8 @@ def joined(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id") -> Data
     """One row for each document: id, size of its set, and the smallest id that it reaches by links."""
     base = cut(signatures(docs, join, id_col))
     reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    first = base.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
-    classes = first.select("rep", "n", "head")
+    first = base.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("groups").alias("groups"))
+    classes = first.select("rep", "n", "groups")
     edges = links(docs, regions(classes, join), join, id_col)
     linked = components(edges).select(F.col("node").alias("rep"), "component")
     # empty sets join nothing, so they don't meet in one task
